@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, warc
+from . import mixing, neardup, quality_rules, warc
 from .common import Workspace
 
 
@@ -19,6 +19,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parse(warc.restore(archive)).drop("url")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(Workspace(spark, "op3"), table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op4")
     measured = ws.save(quality_rules.stats(table(spark, sf_dir, "documents")), "stats")
@@ -34,7 +38,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op4_quality_rules, op8_mixing)
+    for f in (op1_warc, op3_near_duplicates, op4_quality_rules, op8_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -50,4 +54,23 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
         FROM f
     """,
+    "op3_near_duplicates": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+            FROM w
+        ), u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))
+        ), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+        ), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+        ), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+        FROM s JOIN c ON s.doc_id = c.a
+    """,
 }
