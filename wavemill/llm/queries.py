@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, quality_rules, warc
+from . import mixing, neardup, packing, quality_rules, warc
 from .common import Workspace
 
 
@@ -19,6 +19,16 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parse(warc.restore(archive)).drop("url")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(Workspace(spark, "op2"), table(spark, sf_dir, "documents"), packing.Packing(tokenizer_path()))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(Workspace(spark, "op3"), table(spark, sf_dir, "documents"))
 
@@ -38,7 +48,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op3_near_duplicates, op4_quality_rules, op8_mixing)
+    for f in (op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op8_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
