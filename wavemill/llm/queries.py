@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, quality_rules, warc
+from . import mixing, neardup, packing, pii, quality_rules, warc
 from .common import Workspace
 
 
@@ -41,6 +41,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(measured, rules).select(*base)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(Workspace(spark, "op5"), table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(Workspace(spark, "op8"), table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,7 +52,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op8_mixing)
+    for f in (op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op5_pii, op8_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
