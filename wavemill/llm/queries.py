@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, pii, quality_rules, warc
+from . import chat, mixing, neardup, packing, pii, quality_rules, warc
 from .common import Workspace
 
 
@@ -45,6 +45,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(Workspace(spark, "op5"), table(spark, sf_dir, "documents")))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.build(Workspace(spark, "op7"), conversations))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(Workspace(spark, "op8"), table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,7 +59,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op5_pii, op8_mixing)
+    for f in (op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op5_pii, op7_chat, op8_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +94,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
         FROM s JOIN c ON s.doc_id = c.a
     """,
+    "op7_chat": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+        ), e AS (
+            SELECT *, replace(replace(replace(role, '\\', '\\\\'), '<turn', '<\\turn'), '</turn', '<\\/turn') AS r,
+                replace(replace(replace(text, '\\', '\\\\'), '<turn', '<\\turn'), '</turn', '<\\/turn') AS x
+            FROM t
+        ), f AS (
+            SELECT *, length('<turn ') + length(replace(r, '>', '\\>')) + 2 + length(x) + length('</turn>') + 1 AS n FROM e
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
 }
