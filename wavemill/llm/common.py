@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+U = np.uint64
+
+
+class WordHashes(dict):
+    """Word (bytes) -> 64-bit hash, forgotten when there are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's words in lower case (A-Z). Bytes split at the six ASCII white-space characters alone."""
+        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return np.fromiter(map(self.__getitem__, found), U, len(found))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(31))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(29))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, packing, pii, quality_rules, warc
+from . import ann, chat, importance, langid, mixing, neardup, packing, pii, quality_rules, warc
 from .common import Workspace
 
 
@@ -45,6 +46,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(Workspace(spark, "op5"), table(spark, sf_dir, "documents")))
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(Workspace(spark, "op6"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
@@ -57,9 +62,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(Workspace(spark, "op9"), table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op5_pii, op7_chat, op8_mixing)
+    for f in (
+        op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op5_pii,
+        op6_importance, op7_chat, op8_mixing, op9_neighbours, op10_language,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
