@@ -9,12 +9,12 @@ places by their rank among the pieces of their length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,27 +36,60 @@ class Packing:
     ranked: int = 64
 
 
-class Ids(dict):
-    """Run of non-blank characters -> its ids as little-endian bytes, forgotten when there are many.
+class Ids:
+    """The ids of texts, as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its runs' ids.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its runs of other characters.
+    Each run is encoded once and remembered, up to a number of runs; new ones are encoded together, a mark between any two.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    MARK, LONG = "\x01", 64
+    held: dict[str, Ids] = {}  # by path: a worker keeps them from task to task
+
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(run) <= 64:
-            if len(self) > self.most:
-                self.clear()
-            self[run] = ids
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, re.split("[ \n\t]+", text or "")))
+        self.mark = self._encode(self.MARK)
+        self.known: dict[str, bytes] = {"": b""}
+
+    @classmethod
+    def at(cls, path: str) -> Ids:
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, runs: set[str]) -> None:
+        alone = [r for r in runs if len(r) > self.LONG or self.MARK in r or "<|" in r]
+        for run in alone:
+            self.known[run] = self._encode(run).tobytes()
+        rest = list(runs.difference(alone))
+        if len(self.mark) != 1:  # a tokenizer without such a mark
+            self.known |= {r: self._encode(r).tobytes() for r in rest}
+            return
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
+            ids = self._encode(f" {self.MARK} ".join(part))
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) != len(part) - 1:
+                raise ValueError("the mark does not stand alone")
+            self.known |= zip(part, (x[i > 0 :].tobytes() for i, x in enumerate(np.split(ids, ends))), strict=True)
+
+    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 256):
+            runs = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at : at + 256]]
+            new = set(chain.from_iterable(runs)).difference(self.known)
+            self._learn(new)
+            for own in runs:
+                yield b"".join(map(self.known.__getitem__, own))
+            for run in new:
+                if len(run) > self.LONG:
+                    del self.known[run]
+            if len(self.known) > self.most:
+                self.known = {"": b""}
 
 
 def pieces(docs: DataFrame, how: Packing, with_ids: bool = False) -> DataFrame:
@@ -65,11 +98,11 @@ def pieces(docs: DataFrame, how: Packing, with_ids: bool = False) -> DataFrame:
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, end, width = Ids(how.tokenizer), np.array([how.end], "<u4").tobytes(), 4 * how.capacity
+        ids, end, width = Ids.at(how.tokenizer), np.array([how.end], "<u4").tobytes(), 4 * how.capacity
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = ids.of(text) + end
+            for doc, own in zip(batch["doc_id"], ids.of(batch["text"].tolist()), strict=True):
+                own += end
                 for k, at in enumerate(range(0, len(own), width)):
                     part = own[at : at + width]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
