@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
+from .common import WordHashes, Workspace, components, mixed
 
 U = np.uint64
 
@@ -38,32 +38,16 @@ class Forest:
     seed: int = 7
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, forgotten when there are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> U(29))
-
-
-def shingle_set(text: str | None, size: int, hashes: dict) -> np.ndarray:
+def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles; fewer words than `size` are one shingle, none give none."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: just A-Z and the six white-space characters
-    if not found:
-        return np.zeros(0, U)
-    h = np.fromiter(map(hashes.__getitem__, found), U, len(found))
+    h = hashes.of(text)
+    if not len(h):
+        return h
     k = min(size, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, U)
     for i in range(k):
-        out = _mixed(out * U(0x9E3779B97F4A7C15) + h[i : i + n])
+        out = mixed(out * U(0x9E3779B97F4A7C15) + h[i : i + n])
     return np.unique(out)
 
 
@@ -71,31 +55,45 @@ def _labels(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
     low = np.full(len(a), np.iinfo(U).max, U)
     for i in range(0, len(x), 2048):
         np.minimum(low, ((x[None, i : i + 2048] ^ b[:, None]) * a[:, None]).min(1), out=low)
-    return (_mixed(low) >> U(48)).astype(">u2").tobytes()
+    return (mixed(low) >> U(48)).astype(">u2").tobytes()
+
+
+def _sketch(labels: bytes) -> np.ndarray:
+    """The lowest bit of each min-hash, 64 to a number."""
+    bits = np.frombuffer(labels, ">u2").astype(np.uint8) & 1
+    bits = np.pad(bits, (0, -len(bits) % 64))
+    return np.packbits(bits).view(">i8").astype(np.int64)
+
+
+def _least_bits(how: Forest) -> int:
+    """Equal bits of two sketches that a linked pair has but once in millions: five standard deviations below their mean."""
+    n, p = how.trees * how.depth, (1 + how.percent / 100) / 2
+    return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
 
 
 def signatures(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
-    """doc_id, n_shingles, shingles (128-bit digest of the set) and labels (of all trees) of every whole text."""
+    """doc_id, n_shingles, shingles (128-bit digest of the set), labels (of all trees) and sketch (their lowest bits) of every whole text."""
     rng = np.random.default_rng(how.seed)
     a, b = rng.integers(0, 2**63, (2, how.trees * how.depth), dtype=U)
     a = a * U(2) + U(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
+        hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, how.shingle, hashes) for t in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
                 "n_shingles": [len(x) for x in sets],
                 "shingles": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets],
-                "labels": [_labels(x, a, b) if len(x) else b"" for x in sets],
+                "labels": (labels := [_labels(x, a, b) if len(x) else b"" for x in sets]),
+                "sketch": [_sketch(x) for x in labels],
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, shingles binary, labels binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, shingles binary, labels binary, sketch array<long>")
 
 
 def _neighbours(how: Forest):
-    width = 2 * how.depth
+    width, hashes, least = 2 * how.depth, how.trees * how.depth, _least_bits(how)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -104,6 +102,7 @@ def _neighbours(how: Forest):
             old = 0 if held is None else len(held)
             label = np.frombuffer(b"".join(both["label"]), ">u2").reshape(-1, width // 2)
             tree, node, n = (both[c].to_numpy() for c in ("tree", "node", "n"))
+            sketch = np.stack(both["sketch"].to_numpy())
             for k in range(1, how.near + 1):
                 first = max(0, old - k)
                 i, j = np.arange(first, len(both) - k), np.arange(first + k, len(both))
@@ -112,8 +111,10 @@ def _neighbours(how: Forest):
                 size_ok = 100 * np.minimum(n[i], n[j]) >= how.percent * np.maximum(n[i], n[j])
                 ok = (agree >= how.least) & (node[i] != node[j]) & size_ok
                 i, j = i[ok], j[ok]
+                bits = hashes - np.bitwise_count((sketch[i] ^ sketch[j]).view(U)).sum(1).astype(np.int64)
+                i, j, bits = i[bits >= least], j[bits >= least], bits[bits >= least]
                 if len(i):
-                    yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "depth": agree[ok]})
+                    yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "bits": bits})
             held = both.iloc[-how.near :]
 
     return run
@@ -146,50 +147,61 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
     signed = ws.save(signatures(docs, how), "signed")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     # the smallest doc_id names a class; rows with null doc_ids stay alone
-    classes = ws.save(some.groupBy("shingles").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("labels").alias("labels")), "classes")
+    own = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("labels", "labels"), ("sketch", "sketch"))]
+    classes = ws.save(some.groupBy("shingles").agg(F.min("doc_id").alias("node"), *own), "classes")
     width = 2 * how.depth
     trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(how.trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("labels"), t * width + 1, F.lit(width)).alias("label"))))
-    forest = classes.select("node", "n", trees.alias("t")).select("node", "n", "t.tree", "t.label")
+    forest = classes.select("node", "n", "sketch", trees.alias("t")).select("node", "n", "sketch", "t.tree", "t.label")
     order = ("tree", "label", "node")
-    pairs = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(how), "a long, b long, depth long")
-    pairs = ws.save(pairs.groupBy("a", "b").agg(F.sum("depth").alias("depth")), "pairs")
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "set": [shingle_set(t, how.shingle, hashes).tobytes() for t in batch["text"]]})
-
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(nodes, "doc_id", "left_semi")
-    sets = ws.save(texts.mapInPandas(to_sets, "node long, set binary").filter("octet_length(set) > 0"), "sets")
-    # first each node's three deepest candidates: they join most of every group
-    ends = F.explode(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node"))))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("depth"), F.xxhash64("a", "b"), "a", "b"))
-    best = pairs.select("a", "b", "depth", ends.alias("e")).select("a", "b", "depth", "e.node").withColumn("r", rank).filter("r <= 3").select("a", "b").distinct()
+    pairs = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(how), "a long, b long, bits long")
+    pairs = ws.save(pairs.groupBy("a", "b").agg(F.max("bits").alias("bits")), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashes = WordHashes()
+            for batch in batches:
+                yield pd.DataFrame({"node": batch["doc_id"], "set": [shingle_set(t, how.shingle, hashes).tobytes() for t in batch["text"]]})
+
+        texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
+        return texts.mapInPandas(run, "node long, set binary").filter("octet_length(set) > 0")
+
+    sets = ws.save(sets_of(nodes), "sets")
+    # first each node's most alike candidate, which joins most of every group; then the two most alike between any two parts
+    ends = F.explode(F.array("a", "b")).alias("node")
+    alike = (F.desc("bits"), F.xxhash64("a", "b"), "a", "b")
+    best = pairs.select("a", "b", "bits", ends).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*alike))).filter("r = 1").select("a", "b").distinct()
     links = ws.save(_confirmed(best, sets, how.percent), "links")
     joined = components(ws, links)
-    # then what is still apart, with the best connected members of each crowded region
-    group = lambda side: F.coalesce(F.col(f"root_{side}"), F.col(side))
-    of = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(group("a") != group("b")).select("a", "b")
+    known = links
+
+    def apart() -> DataFrame:
+        of = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
+        out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"_a": F.coalesce("_a", "a"), "_b": F.coalesce("_b", "b")})
+        return out.filter("_a <> _b").withColumns({"_a": F.least("_a", "_b"), "_b": F.greatest("_a", "_b")})
+
+    rank = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(*alike))
+    links = ws.save(_confirmed(apart().withColumn("r", rank).filter("r <= 2"), sets, how.percent), "links")
+    known = known.unionByName(links)
+    joined = components(ws, joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+    # last all that are still apart, and what is apart in a crowded region with the region's best connected members
     region = forest.withColumn("region", F.xxhash64("tree", F.substring("label", 1, 2 * how.least)))
     crowded = region.groupBy("region").agg(F.count("*").alias("_n")).filter(F.col("_n") > how.near + 1).select("region")
-    degree = links.select(ends.alias("e")).groupBy("e.node").agg(F.count("*").alias("links"))
+    degree = known.select(ends).groupBy("node").agg(F.count("*").alias("links"))
     members = region.join(crowded, "region").join(joined, "node", "left").join(degree, "node", "left")
-    members = ws.save(members.select("region", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "members")
+    members = ws.save(members.select("region", "node", "n", "sketch", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "members")
     share = F.pmod(F.xxhash64("node"), F.lit(how.pivots))
-    pivots = members.groupBy("region", share.alias("share")).agg(F.max(F.struct("links", "node", "n", "root")).alias("p"))
-    pivots = ws.save(pivots.select("region", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot")), "pivots")
-    size_ok = 100 * F.least("n", "pn") >= how.percent * F.greatest("n", "pn")
-    far = members.join(pivots, "region").filter((F.col("root") != F.col("proot")) & size_ok)
-    far = far.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+    pivots = members.groupBy("region", share.alias("share")).agg(F.max(F.struct("links", "node", "n", "root", "sketch")).alias("p"))
+    pivots = ws.save(pivots.select("region", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "n", "root", "sketch")]), "pivots")
+    size_ok = 100 * F.least("n", "p_n") >= how.percent * F.greatest("n", "p_n")
+    other = F.aggregate(F.zip_with("sketch", "p_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    far = members.join(pivots, "region").filter((F.col("root") != F.col("p_root")) & size_ok & (how.trees * how.depth - other >= _least_bits(how)))
+    far = far.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
+    more = ws.save(apart().select("a", "b").unionByName(far).distinct(), "more")
     # a pivot may be in no pair so far, and so lack its set: those texts are read now
-    more = ws.save(apart.unionByName(far).distinct(), "more")
-    late = more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(nodes, "doc_id", "left_anti")
-    late = docs.select(F.col("doc_id").cast("long"), "text").join(late, "doc_id", "left_semi").mapInPandas(to_sets, "node long, set binary").filter("octet_length(set) > 0")
-    sets = ws.save(sets.unionByName(late), "sets") if not more.isEmpty() else sets
-    links2 = _confirmed(more, sets, how.percent)
-    links = ws.save(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links2), "links")
+    late = ws.save(more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(nodes, "doc_id", "left_anti"), "late")
+    sets = sets if late.isEmpty() else sets.unionByName(ws.save(sets_of(late), "sets"))
+    links = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirmed(more, sets, how.percent))
     joined = components(ws, links)
     # every class gets its component, then every document its class's
     of_class = ws.save(classes.join(joined, "node", "left").select("shingles", F.coalesce("root", "node").alias("root")), "of_class")
