@@ -27,14 +27,14 @@ def window_hashes(w: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def stats(docs: DataFrame) -> DataFrame:
-    """doc_id and the integer statistics of every whole text. A null text counts as empty: all statistics are 0.
+def stats(docs: DataFrame, keep: list[str] | tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep and the integer statistics of every whole text. A null text counts as empty: all statistics are 0.
 
-    Repeated doc_ids give a row each. Columns of docs other than doc_id and text are ignored.
+    Repeated doc_ids give a row each. Columns of docs that are not kept and are not text are ignored.
     """
     size = 5
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select("doc_id", text.alias("_t")).withColumn("_w", words(F.col("_t")))
+    a = docs.select(*keep, text.alias("_t")).withColumn("_w", words(F.col("_t")))
     a = a.withColumn("_h", window_hashes(F.col("_w"), size))
     a = a.withColumn("_rep", F.size(F.array_distinct("_h")) < F.size("_h"))
     # only where a window repeats: windows sorted by hash, the places of those with an equal neighbour, in order
@@ -52,7 +52,7 @@ def stats(docs: DataFrame) -> DataFrame:
         return F.regexp_count("_t", F.lit(pattern)).cast("long")
 
     return a.select(
-        "doc_id",
+        *keep,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),

@@ -71,11 +71,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op5_pii,
-        op6_importance, op7_chat, op8_mixing, op9_neighbours, op10_language,
+        op6_importance, op7_chat, op8_mixing, op9_neighbours, op10_language, pipeline,
     )
 }
 
