@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import shapes, signal, timing  # noqa: F401
+from . import curation, shapes, signal, timing  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -11,13 +11,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name."""
+def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own or another name."""
 
     def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if oracle:
-            ORACLE_SQL[f.__name__] = oracle
+            ORACLE_SQL[name or f.__name__] = oracle
         return f
 
     return put

@@ -65,20 +65,17 @@ SPATIAL = {
 }
 
 
-def _spatial(order: int):
-    @query(sql(f", y AS (SELECT session, sample, {SPATIAL[order]} AS y FROM traces) SELECT session, sample, CAST(y[1] AS DOUBLE) AS y0, CAST(y[2] AS DOUBLE) AS y1, CAST(y[3] AS DOUBLE) AS y2, CAST(y[4] AS DOUBLE) AS y3 FROM y", "traces"))
+def _spatial(order: int) -> None:
+    oracle = f", y AS (SELECT session, sample, {SPATIAL[order]} AS y FROM traces) SELECT session, sample, CAST(y[1] AS DOUBLE) AS y0, CAST(y[2] AS DOUBLE) AS y1, CAST(y[3] AS DOUBLE) AS y2, CAST(y[4] AS DOUBLE) AS y3 FROM y"
+
+    @query(sql(oracle, "traces"), name=f"spatial_difference_{order}")
     def spatial(spark: SparkSession, d: str) -> DataFrame:
         y = A.spatial(F.col("xs"), order)
         return traces(spark, d).withColumn("y", y).select("session", "sample", *[F.get("y", i).alias(f"y{i}") for i in range(4)])
 
-    return spatial
-
-
-for _k in SPATIAL:  # one query per order
-    from .registry import ORACLE_SQL, QUERIES
 
-    _f = _spatial(_k)
-    QUERIES[f"spatial_difference_{_k}"], ORACLE_SQL[f"spatial_difference_{_k}"] = QUERIES.pop("spatial"), ORACLE_SQL.pop("spatial")
+for _order in SPATIAL:
+    _spatial(_order)
 
 
 @query(sql(", y AS (SELECT session, sample, xs[1] - xs[2] AS a FROM traces) SELECT session, sample, a - coalesce(lag(a) OVER (PARTITION BY session ORDER BY sample), 0) AS y FROM y", "traces"))
@@ -95,7 +92,7 @@ def channel_expressions(spark: SparkSession, d: str) -> DataFrame:
     return traces(spark, d).select("session", "sample", *[F.round(A.channel_expression(e), 6).alias(n) for n, e in told.items()], F.round(e2, 6).alias("e2"))
 
 
-@query(sql("SELECT session, sample, round(xs[1] * 1.5, 6) AS a, xs[3] - xs[1] AS b, -xs[4] AS c FROM traces WHERE sample BETWEEN 100 AND 199", "traces"))
+@query(sql("SELECT session, sample, round(CAST(xs[1] * 1.5 AS DOUBLE), 6) AS a, xs[3] - xs[1] AS b, -xs[4] AS c FROM traces WHERE sample BETWEEN 100 AND 199", "traces"))
 def extract_channels(spark: SparkSession, d: str) -> DataFrame:
     """A gain, a reference and a reversal on a slice of time."""
     at = lambda i: F.get("xs", i)
