@@ -86,7 +86,7 @@ def rename_events(spark: SparkSession, d: str) -> DataFrame:
     SELECT class, count(*) AS members, CAST(sum(off) AS BIGINT) AS offsets FROM g GROUP BY class""", "fx"))
 def class_membership(spark: SparkSession, d: str) -> DataFrame:
     """A multi-label bridge table with a class deleted and two merged."""
-    m = feature_values(spark, d).filter("d < 6").select("spike_id", F.col("d").alias("class"), F.when(F.abs("x") > 2000, F.floor(F.col("x") / 1000)).alias("off"))
+    m = feature_values(spark, d).filter("d < 6").select("spike_id", F.col("d").alias("class"), F.when(F.abs("x") > 2000, F.expr("x div 1000")).alias("off"))
     g = m.filter("off IS NOT NULL AND class <> 3").withColumn("class", F.when(F.col("class") == 5, 4).otherwise(F.col("class"))).groupBy("spike_id", "class").agg(F.min("off").alias("off"))
     return g.groupBy("class").agg(F.count("*").alias("members"), F.sum("off").alias("offsets"))
 
