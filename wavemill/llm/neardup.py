@@ -25,16 +25,18 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Forest:
-    """trees labels of `depth` min-hashes each; `least` must agree for a candidate; `near` neighbours after each label;
-    `pivots` members of a crowded region that its rest is compared with. Linked: similarity * union <= intersection, in hundredths."""
+    """trees labels of `depth` min-hashes each; `least` must agree for a candidate; `near` neighbours after each label, and
+    `dense` where more labels than those share that prefix, so where the order is deep; `pivots` members of a crowded region that its rest is compared with. Linked: similarity * union <= intersection, in hundredths."""
 
     trees: int = 16
     depth: int = 8
     least: int = 3
     near: int = 8
+    dense: int = 3
     pivots: int = 8
     shingle: int = 2
     percent: int = 80
+    sent: int = 1_000_000
     seed: int = 7
 
 
@@ -103,19 +105,23 @@ def _neighbours(how: Forest):
             label = np.frombuffer(b"".join(both["label"]), ">u2").reshape(-1, width // 2)
             tree, node, n = (both[c].to_numpy() for c in ("tree", "node", "n"))
             sketch = np.stack(both["sketch"].to_numpy())
+            # crowded: the label just beyond the neighbours still shares the least prefix
+            crowded = np.zeros(len(both), bool)
+            reach = how.near + 1
+            crowded[reach:] = (label[reach:, : how.least] == label[:-reach, : how.least]).all(1) & (tree[reach:] == tree[:-reach])
             for k in range(1, how.near + 1):
                 first = max(0, old - k)
                 i, j = np.arange(first, len(both) - k), np.arange(first + k, len(both))
                 i, j = i[j >= old], j[j >= old]
                 agree = (label[i] == label[j]).cumprod(1).sum(1) * (tree[i] == tree[j])
                 size_ok = 100 * np.minimum(n[i], n[j]) >= how.percent * np.maximum(n[i], n[j])
-                ok = (agree >= how.least) & (node[i] != node[j]) & size_ok
+                ok = (agree >= how.least) & (node[i] != node[j]) & size_ok & ((k <= how.dense) | ~crowded[j])
                 i, j = i[ok], j[ok]
                 bits = hashes - np.bitwise_count((sketch[i] ^ sketch[j]).view(U)).sum(1).astype(np.int64)
                 i, j, bits = i[bits >= least], j[bits >= least], bits[bits >= least]
                 if len(i):
                     yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "bits": bits})
-            held = both.iloc[-how.near :]
+            held = both.iloc[-how.near - 1 :]
 
     return run
 
@@ -155,7 +161,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
     order = ("tree", "label", "node")
     pairs = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(how), "a long, b long, bits long")
     pairs = ws.save(pairs.groupBy("a", "b").agg(F.max("bits").alias("bits")), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    nodes = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,6 +169,8 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
             for batch in batches:
                 yield pd.DataFrame({"node": batch["doc_id"], "set": [shingle_set(t, how.shingle, hashes).tobytes() for t in batch["text"]]})
 
+        # up to so many ids are sent to every task, which then reads the texts where they lie; more meet them by a shuffle
+        wanted = F.broadcast(wanted) if wanted.count() <= how.sent else wanted
         texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
         return texts.mapInPandas(run, "node long, set binary").filter("octet_length(set) > 0")
 
