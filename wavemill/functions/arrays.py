@@ -77,13 +77,21 @@ class ExpressionError(ValueError):
     """A channel expression that can't be read."""
 
 
+#: An operand: a channel, a number, or parentheses (with others inside) and what calls them.
+OPERAND = r"(?:[a-z]*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|[cd\w.]+)"
+
+
+def _divisors(text: str) -> str:
+    """Divisors of 0 as null."""
+    return re.sub(rf"/({OPERAND})", r"/nullif(\1,0)", text)
+
+
 def _powers(text: str) -> str:
     """a^b as pow(a, b), the rightmost first, so that powers bind to the right."""
-    operand = r"(?:[a-z]*\((?:[^()]|\([^()]*\))*\)|[cd\w.]+)"
     while "^" in text:
         at = text.rindex("^")
-        left = re.search(operand + "$", text[:at])
-        right = re.match(operand, text[at + 1 :])
+        left = re.search(OPERAND + "$", text[:at])
+        right = re.match(OPERAND, text[at + 1 :])
         if not left or not right:
             raise ExpressionError(text)
         text = text[: left.start()] + f"pow({left[0]},{right[0]})" + text[at + 1 + right.end() :]
@@ -99,7 +107,7 @@ def channel_expression(source: str, xs: str = "xs") -> Column:
     text = source.replace(" ", "")
     if not re.fullmatch(r"(?:c\d+|\d+(?:\.\d+)?|[-+*/^()])+", text):
         raise ExpressionError(source)
-    text = re.sub(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])", lambda m: f"{float(m[1])}D", _powers(text))
+    text = re.sub(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])", lambda m: f"{float(m[1])}D", _divisors(_powers(text)))
     text = re.sub(r"\bc(\d+)", rf"coalesce(CAST(get({xs}, \1) AS DOUBLE), 0D)", text)
     value = F.try_divide(F.expr(text), F.lit(1.0))
     return F.when(F.isnan(value) | value.isNull() | (F.abs(value) == float("inf")), 0.0).otherwise(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), value)))
