@@ -125,8 +125,8 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumns({"base": base_spans(F.col("_text")), "_row": F.xxhash64("doc_id", "_text")})
 
 
-def disclosing(ws: Workspace, docs: DataFrame, found: DataFrame, how: Disclosure = Disclosure()) -> DataFrame | None:
-    """term and removed (else generalised) of every term that gives an entity away; None if there are none.
+def disclosing(ws: Workspace, docs: DataFrame, found: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
+    """term and removed (else generalised) of every term that gives an entity away.
 
     found: _row, base and, where base has spans, text of every document.
 
@@ -149,33 +149,27 @@ def disclosing(ws: Workspace, docs: DataFrame, found: DataFrame, how: Disclosure
     pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("_row").alias("docs_et"), F.count_distinct("context").alias("contexts"))
     pairs = pairs.filter((F.col("contexts") >= how.contexts) & (2 * F.col("contexts") >= F.col("docs_et")))
     pairs = ws.save(pairs.join(spread, "entity"), "pairs")
-    if pairs.isEmpty():
-        return None
     spoken = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")), how)).alias("term")).groupBy("term").agg(F.count("*").alias("docs_t"))
     joint = pairs.join(spoken, "term")
     content = -F.log2(F.col("docs_e") / total)
     share = F.when(content > 0, (F.log2(F.col("docs_et") / F.col("docs_t")) + content) / content).otherwise(0.0)
     worst = joint.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= how.generalise)
-    risky = ws.save(worst.select("term", (F.col("share") >= how.remove).alias("removed")), "risky")
-    return None if risky.isEmpty() else risky
+    return ws.save(worst.select("term", (F.col("share") >= how.remove).alias("removed")), "risky")
 
 
 #: Up to so many terms a join sends them to every task.
 SMALL = 20_000
 
 
-def learn(ws: Workspace, docs: DataFrame, how: Disclosure = Disclosure()) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, _row, base and - where there are any - text of every document, the terms that give entities away)."""
+def learn(ws: Workspace, docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
+    """The terms of docs(doc_id, text) that give entities away."""
     found = find(docs.select("doc_id", "text")).select("doc_id", "_row", "base", F.when(F.size("base") > 0, F.col("_text")).alias("text"))
-    found = ws.save(found, "found")
-    return found, disclosing(ws, docs, found, how)
+    return disclosing(ws, docs, ws.save(found, "found"), how)
 
 
-def apply(ws: Workspace, docs: DataFrame, risky: DataFrame | None, how: Disclosure = Disclosure()) -> DataFrame:
+def apply(ws: Workspace, docs: DataFrame, risky: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """docs with _text, _row, base and spans (base and terms, by start and kind). Terms that touch a base span are part of it."""
     found = find(docs)
-    if risky is None:
-        return found.withColumn("spans", F.col("base"))
     text = F.coalesce("text", F.lit(""))
     said = docs.select(F.xxhash64("doc_id", text).alias("_row"), F.explode(_terms(text, how)).alias("term"))
     hits = said.join(F.broadcast(risky) if risky.count() <= SMALL else risky, "term")
@@ -196,15 +190,13 @@ def spans(ws: Workspace, docs: DataFrame, how: Disclosure = Disclosure()) -> Dat
 
     Null texts are empty and have none; repeated rows get the same spans each; null doc_ids are rows like others. Empty: no rows.
     """
-    found, risky = learn(ws, docs, how)
-    if risky is None:
-        return found.select("doc_id", "base", F.col("base").alias("spans"))
+    risky = learn(ws, docs, how)
     return apply(ws, docs.select("doc_id", "text"), risky, how).select("doc_id", "base", "spans")
 
 
 def sanitise(ws: Workspace, docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """docs with every span in text replaced; null texts stay null and all other columns stay as they are."""
-    risky = learn(ws, docs, how)[1]
+    risky = learn(ws, docs, how)
     clean = F.when(F.col("text").isNotNull(), redacted(F.col("_text"), F.col("spans")))
     out = apply(ws, docs, risky, how).withColumn("_clean", clean)
     return out.select(*[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns])
