@@ -18,12 +18,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a learned one go."""
-    ws = Workspace(spark, "quality")
+    """Documents that fail the base rules or a learned one go. Rules are learned from a bounded sample, and no row is stored twice."""
+    labels = table(spark, sf_dir, "labels")
+    rules = quality_rules.learn(Workspace(spark, "quality"), quality_rules.labelled(docs, labels), labels)
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    measured = ws.save(quality_rules.stats(rows, ["doc_id", "_row"]), "stats")
-    rules = quality_rules.learn(ws, measured.drop("_row"), table(spark, sf_dir, "labels"))
-    return quality_rules.apply(measured, rules).filter("kept").select("_row.*")
+    # a filter is not pushed below a column of row numbers, so the statistics it asks for are computed once
+    measured = quality_rules.stats(rows, ["doc_id", "_row"]).withColumn("_at", F.monotonically_increasing_id())
+    return quality_rules.apply(measured, rules).filter(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

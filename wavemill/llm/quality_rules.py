@@ -138,6 +138,14 @@ class Learning:
     cuts: int = 24
 
 
+def labelled(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> DataFrame:
+    """stats() of the documents that learn() takes, found by their ids before a text is read; at most max_rows ids are sent to tasks."""
+    known = labels.filter("doc_id is not null and quality is not null").select("doc_id").distinct()
+    ids = docs.select("doc_id").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    ids = ids.orderBy("_h", "doc_id").limit(how.max_rows).select("doc_id").distinct()
+    return stats(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+
+
 def learn(ws: Workspace, measured: DataFrame, labels: DataFrame, how: Learning = Learning()) -> DecisionList:
     """A decision list for low quality (label 0) from rows of stats() and labels(doc_id, quality).
 
