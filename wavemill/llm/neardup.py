@@ -174,7 +174,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
         texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
         return texts.mapInPandas(run, "node long, set binary").filter("octet_length(set) > 0")
 
-    sets = ws.save(sets_of(nodes), "sets")
+    sets = own_sets = ws.save(sets_of(nodes), "sets")
     # first each node's most alike candidate, which joins most of every group; then the two most alike between any two parts
     ends = F.explode(F.array("a", "b")).alias("node")
     alike = (F.desc("bits"), F.xxhash64("a", "b"), "a", "b")
@@ -213,6 +213,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
     joined = components(ws, links)
     # every class gets its component, then every document its class's
     of_class = ws.save(classes.join(joined, "node", "left").select("shingles", F.coalesce("root", "node").alias("root")), "of_class")
+    ws.drop(classes, pairs, nodes, own_sets, members, pivots, more, late)
     root = F.coalesce("root", "doc_id")
     out = signed.select("doc_id", "n_shingles", "shingles").join(of_class, "shingles", "left")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
