@@ -239,6 +239,40 @@ def test_pii_disclosing_terms(spark):
     assert "ada@" not in clean[0] and "orbalina" not in clean[400] and clean[100] == rows[8][1] and clean[401] is None
 
 
+def risky(spark, rows):
+    ws = space(spark)
+    return {x.term: x.removed for x in pii.learn(ws, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_pii_many_contexts(spark):
+    # few words in many documents: the windows differ though each least word is one of a few
+    r = random.Random(5)
+    vocabulary = words_of(40, 7).split()
+    near = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    rows = [(i, f"{near(4)} zorbalina ada@lab.org {near(4)}") for i in range(600)]
+    rows += [(1000 + i, words_of(20, 2000 + i)) for i in range(600)]
+    assert risky(spark, rows).get("zorbalina") is True
+    # 500 copies of one of five contexts hide nothing, and copies of one passage alone bear nothing out
+    few = [(i, f"{words_of(4, i)} zorbalina ada@lab.org {words_of(4, 50 + i)}") for i in range(5)]
+    few += [(100 + i, few[0][1]) for i in range(500)] + [(2000 + i, words_of(20, 3000 + i)) for i in range(300)]
+    assert risky(spark, few).get("zorbalina") is True
+    assert "zorbalina" not in risky(spark, [(i, few[0][1]) for i in range(500)] + few[-300:])
+    # copies don't make a term a sign of the entity where most of its texts don't name it
+    away = few + [(5000 + i, f"zorbalina {words_of(9, 6000 + i)}") for i in range(60)]
+    assert "zorbalina" not in risky(spark, away)
+
+
+def test_pii_border_words(spark):
+    # the term is the first or the last word of the whole text: the window did not cut it
+    first = [(i, f"zorbalina ada@lab.org {words_of(5, i)}") for i in range(6)]
+    last = [(10 + i, f"{words_of(5, 20 + i)} bob@lab.org quexofine") for i in range(6)]
+    # here it is cut: only its rest lies within 64 characters
+    cut = [(20 + i, f"{words_of(9, 40 + i)} wumpleton{'-' * (60 - i % 2)} eve@lab.org") for i in range(6)]
+    got = risky(spark, first + last + cut + [(100 + i, words_of(20, 500 + i)) for i in range(300)])
+    assert got.get("zorbalina") is True and got.get("quexofine") is True
+    assert not {t for t in got if "wumpleton".endswith(t)}
+
+
 def test_importance(spark, odd, empty):
     r, vocabulary = random.Random(7), words_of(400, 3).split()
     docs = spark.createDataFrame([(i, " ".join(r.choices(vocabulary[:300] if i % 5 else vocabulary[200:], k=80))) for i in range(500)], "doc_id long, text string")

@@ -125,34 +125,46 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumns({"base": base_spans(F.col("_text")), "_row": F.xxhash64("doc_id", "_text")})
 
 
+def _near(how: Disclosure) -> Column:
+    """The text around span s without the span. A word that the window cuts is dropped with its rest; whole words stay."""
+    text, start, end = F.col("text"), F.col("s.start"), F.col("s.end")
+    edge = lambda at: ~F.substring(text, at, F.lit(1)).rlike(r"\s")
+    before = F.substring(text, F.greatest(F.lit(1), start + 1 - how.context), F.least(F.lit(how.context), start))
+    before = F.when((start > how.context) & edge(start - how.context), F.regexp_replace(before, r"^\S+", "")).otherwise(before)
+    after = F.substring(text, end + 1, F.lit(how.context))
+    after = F.when((F.length(text) > end + how.context) & edge(end + how.context + 1), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+    # the blanks stand for the span, so what is on either side is told apart
+    return F.concat(before, F.lit(" \x00 "), after)
+
+
 def disclosing(ws: Workspace, docs: DataFrame, found: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """term and removed (else generalised) of every term that gives an entity away.
 
-    found: _row, base and, where base has spans, text of every document.
+    found: digest (of the text), base and, where base has spans, text of every document.
 
-    Entities are hashes of the values found; copies of a passage are one context, known by the least hash of its
-    words, and must not make up more than half of the documents that bear a term out.
+    Entities are hashes of the values found. A context of an entity and a term is the digest of the whole window
+    without both, so copies of a passage are one context however often they stand. All counts are of distinct
+    contexts; what lies outside an entity's contexts counts as distinct texts.
     """
-    some = found.filter(F.size("base") > 0).select("_row", "text", F.explode("base").alias("s"))
-    before = F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - how.context), F.least(F.lit(how.context), F.col("s.start")))
-    after = F.substring("text", F.col("s.end") + 1, F.lit(how.context))
-    # a word cut at the border of the context is dropped with its rest
-    near = F.concat(F.regexp_replace(before, r"^\S*(?=\s)", ""), F.lit(" "), F.regexp_replace(after, r"(?<=\s)\S*$", ""))
+    some = found.filter(F.size("base") > 0).select("digest", "text", F.explode("base").alias("s"))
     value = F.lower(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
-    held = some.select("_row", F.xxhash64("s.k", value).alias("entity"), _terms(near, how).alias("terms"))
-    held = held.withColumn("context", F.array_min(F.transform("terms", lambda t: F.xxhash64(t))))
-    held = ws.save(held, "contexts")
-    total = F.lit(max(1, found.count()))
-    held = held.filter("context is not null")
-    spread = held.groupBy("entity").agg(F.count_distinct("_row").alias("docs_e"))
-    pairs = held.select("entity", "_row", "context", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("_row").alias("docs_et"), F.count_distinct("context").alias("contexts"))
-    pairs = pairs.filter((F.col("contexts") >= how.contexts) & (2 * F.col("contexts") >= F.col("docs_et")))
+    held = some.select("digest", F.xxhash64("s.k", value).alias("entity"), _near(how).alias("near"))
+    pieces = F.regexp_extract_all(F.lower("near"), F.lit(r"(\p{L}+|[^\p{L}\s])"), F.lit(1))
+    held = ws.save(held.select("digest", "entity", _terms(F.col("near"), how).alias("terms"), pieces.alias("pieces")), "contexts")
+    texts = found.agg(F.count_distinct("digest")).first()[0]
+    held = held.filter(F.size("terms") > 0)
+    spread = held.groupBy("entity").agg(F.count_distinct(F.xxhash64("pieces")).alias("docs_e"), F.count_distinct("digest").alias("texts_e"))
+    pairs = held.select("entity", "digest", "pieces", F.explode("terms").alias("term"))
+    pairs = pairs.select("entity", "digest", "term", F.xxhash64(F.array_remove("pieces", F.col("term"))).alias("context")).distinct()
+    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("docs_et"), F.count_distinct("digest").alias("texts_et"))
+    pairs = pairs.filter(F.col("docs_et") >= how.contexts)
     pairs = ws.save(pairs.join(spread, "entity"), "pairs")
-    spoken = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")), how)).alias("term")).groupBy("term").agg(F.count("*").alias("docs_t"))
+    said = F.coalesce("text", F.lit(""))
+    spoken = docs.select(F.xxhash64(said).alias("digest"), F.explode(_terms(said, how)).alias("term")).groupBy("term").agg(F.count_distinct("digest").alias("texts_t"))
     joint = pairs.join(spoken, "term")
-    content = -F.log2(F.col("docs_e") / total)
-    share = F.when(content > 0, (F.log2(F.col("docs_et") / F.col("docs_t")) + content) / content).otherwise(0.0)
+    docs_t = F.col("docs_et") + F.col("texts_t") - F.col("texts_et")
+    content = -F.log2(F.col("docs_e") / (texts - F.col("texts_e") + F.col("docs_e")))
+    share = F.when(content > 0, (F.log2(F.col("docs_et") / docs_t) + content) / content).otherwise(0.0)
     worst = joint.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= how.generalise)
     return ws.save(worst.select("term", (F.col("share") >= how.remove).alias("removed")), "risky")
 
@@ -163,7 +175,7 @@ SMALL = 20_000
 
 def learn(ws: Workspace, docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """The terms of docs(doc_id, text) that give entities away."""
-    found = find(docs.select("doc_id", "text")).select("doc_id", "_row", "base", F.when(F.size("base") > 0, F.col("_text")).alias("text"))
+    found = find(docs.select("doc_id", "text")).select(F.xxhash64("_text").alias("digest"), "base", F.when(F.size("base") > 0, F.col("_text")).alias("text"))
     return disclosing(ws, docs, ws.save(found, "found"), how)
 
 
