@@ -57,6 +57,32 @@ def test_components(spark, small):
     assert np.allclose(value, want) and np.allclose(mean, x.mean(0)) and (np.take_along_axis(vectors, np.abs(vectors).argmax(1)[:, None], 1) > 0).all()
 
 
+def test_components_of_whole_vectors(spark, small):
+    rows = adapters.features(spark, small).orderBy("spike_id").collect()
+    x = np.array([r.fet for r in rows], float)
+    assert x.shape[1] == 64
+    vectors = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :3]
+    want = (x - x.mean(0)) @ (vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(3)]))
+    got = catalogue.QUERIES["principal_components"](spark, small).orderBy("spike_id").collect()
+    assert np.allclose([[r.pc1, r.pc2, r.pc3] for r in got], want, atol=0.01)
+
+
+def test_mixture_of_whole_vectors(spark, tmp_path, monkeypatch):
+    # the rows differ in the last features alone
+    rng = np.random.default_rng(2)
+    rows = [(i, 2, [int(v) for v in rng.normal(0, 3, 48)] + [int(v) for v in rng.normal(5000 * (i % 2), 3, 16)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "spike_id long, cluster long, fet array<long>")
+    from wavemill.plans import models as plans
+
+    monkeypatch.setattr(plans, "features", lambda s, d: df)
+    got = catalogue.QUERIES["mixture_classes"](spark, "").orderBy("spike_id").collect()
+    model = models.fit(df, "fet", 64, 10)
+    x = np.array([r[2] for r in rows], float)
+    cost = ((x[:, None] - model.mean) ** 2 / model.var).sum(2) / 2 + np.log(model.var).sum(1) / 2 - np.log(model.weight) + 32 * np.log(2 * np.pi)
+    assert np.allclose([r.cost for r in got], cost.min(1), atol=1e-3)
+    assert [r["class"] for r in got] == list(cost.argmin(1))
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(10 * (i % 3), 1, 2)]) for i in range(300)]

@@ -6,9 +6,11 @@ where they lie against models that are sent to every task; K and D are configura
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,23 @@ from ..functions.arrays import wilson_hilferty
 
 
 def gram(rows: DataFrame, column: str, size: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, mean and covariance (n - 1) of array rows: one aggregation, added up in each task first."""
-    x = [F.get(column, i).cast("double") for i in range(size)]
-    sums = [F.sum(v) for v in x] + [F.sum(x[i] * x[j]) for i in range(size) for j in range(i, size)]
-    got = rows.agg(F.count("*"), *sums).first()
-    n, mean = got[0], np.array(got[1 : size + 1]) / max(1, got[0])
-    cov = np.zeros((size, size))
-    cov[np.triu_indices(size)] = got[size + 1 :]
-    cov = cov + np.triu(cov, 1).T
-    return n, mean, (cov - n * np.outer(mean, mean)) / max(1, n - 1)
+    """Number, mean and covariance (n - 1) of array rows: each task adds up its cells of sums and products, Spark adds the tasks'."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size + 1, size + 1))
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch[column].to_numpy())[:, :size].astype(float)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total += x.T @ x
+        yield pd.DataFrame({"cell": np.arange(total.size), "value": total.ravel()})
+
+    sums = np.zeros((size + 1) ** 2)
+    for cell, value in rows.select(column).mapInPandas(run, "cell long, value double").groupBy("cell").agg(F.sum("value")).collect():
+        sums[cell] = value
+    sums = sums.reshape(size + 1, size + 1)
+    n, mean = int(sums[0, 0]), sums[0, 1:] / max(1, sums[0, 0])
+    return n, mean, (sums[1:, 1:] - n * np.outer(mean, mean)) / max(1, n - 1)
 
 
 def components(rows: DataFrame, column: str, size: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -9,12 +9,12 @@ from ..operators import models as M
 from ..sources.adapters import features, traces
 from .registry import query
 
-SIZE = 16
+SIZE = 64
 
 
 @query()
 def principal_components(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of every spike on the first three components of its leading features."""
+    """Scores of every spike on the first three components of all its features."""
     f = features(spark, d)
     mean, _, vectors = M.components(f, "fet", SIZE, 3)
     return M.project(f, "fet", mean, vectors).select("spike_id", "cluster", *[F.round(F.get("scores", i), 4).alias(f"pc{i + 1}") for i in range(3)])
@@ -22,7 +22,7 @@ def principal_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mixture_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Classification EM with ten classes on the leading features."""
+    """Classification EM with ten classes on all features."""
     f = features(spark, d)
     return M.assign(f, "fet", M.fit(f, "fet", SIZE, 10)).select("spike_id", "cluster", F.col("class").cast("long").alias("class"), F.round("cost", 4).alias("cost"))
 
