@@ -119,13 +119,13 @@ def test_packed_sequences(spark):
     assert sizes == {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
 
 
-def shingles(text):
+def shingles(text, size=2):
     w = re.findall(WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def brute_groups(rows):
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+def brute_groups(rows, size=2):
+    sets = [(i, shingles(t, size)) for i, t in rows if i is not None]
     up = {i: i for i, _ in sets}
 
     def top(i):
@@ -141,7 +141,9 @@ def brute_groups(rows):
     return {i: top(i) for i in up}
 
 
-def test_near_duplicates(spark, odd, empty):
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates(spark, odd, empty, size):
+    how = neardup.Forest(shingle=size)
     r = random.Random(4)
     base = words_of(120, 9).split()
     rows = [(x.doc_id, x.text) for x in odd.collect()]
@@ -151,17 +153,79 @@ def test_near_duplicates(spark, odd, empty):
             copy[r.randrange(len(copy))] = f"w{r.random()}"
         rows.append((i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("root", F.lit("x"))
-    got = neardup.near_duplicates(space(spark), docs).collect()
-    want = brute_groups(rows)
+    got = neardup.near_duplicates(space(spark), docs, how).collect()
+    want = brute_groups(rows, size)
     assert len(got) == len(rows)
     for x in got:
         assert x.component_id == (want[x.doc_id] if x.doc_id is not None else None)
         assert x.kept == (x.doc_id is None or x.doc_id == x.component_id)
     n = {x.doc_id: x.n_shingles for x in got}
-    assert n == {i: len(shingles(t)) for i, t in rows}
+    assert n == {i: len(shingles(t, size)) for i, t in rows}
     assert neardup.near_duplicates(space(spark), empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    # rows under one doc_id with different texts each belong to the group of their own text
+    a, b = words_of(60, 1), words_of(60, 2)
+    rows = [(7, a), (7, b), (9, a + " x"), (8, b + " x"), (3, words_of(60, 3)), (9, a + " x")]
+    got = neardup.near_duplicates(space(spark), spark.createDataFrame(rows, "doc_id long, text string"), neardup.Forest(shingle=2)).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(3, 3), (7, 7), (7, 7), (8, 7), (9, 7), (9, 7)]
+
+
+@pytest.mark.parametrize(("template", "own", "changed"), [(180, 25, 6), (170, 29, 9)])
+def test_near_duplicates_in_a_crowd(spark, template, own, changed):
+    # texts of one template, 0.78 and 0.75 alike and so apart, with one linked pair each, of ids far from one another
+    r = random.Random(template)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    base, pairs = [word() for _ in range(template)], 400
+    ids = r.sample(range(10_000), 2 * pairs)
+    rows, want = [], {}
+    for k in range(pairs):
+        x = base + [word() for _ in range(own)]
+        y = list(x)
+        while y == x or 100 * len(shingles(" ".join(x)) & shingles(" ".join(y))) < 80 * len(shingles(" ".join(x)) | shingles(" ".join(y))):
+            y = list(x)
+            for i in r.sample(range(len(x)), changed):
+                y[i] = word()
+        two = ids[2 * k], ids[2 * k + 1]
+        rows += zip(two, (" ".join(x), " ".join(y)), strict=True)
+        want |= dict.fromkeys(two, min(two))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = neardup.near_duplicates(space(spark), docs, neardup.Forest(shingle=2)).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_exact_candidates(spark):
+    # without the forest: all linked pairs of small sets, of one root each, are among those across roots
+    r = random.Random(12)
+    how, ws = neardup.Forest(shingle=1), space(spark)
+    sets = [sorted(r.sample(range(40), r.randint(1, 30))) for _ in range(150)]
+    for i in range(0, 150, 3):
+        sets[i + 1] = sorted(set(sets[i]) ^ set(r.sample(range(40), 1)))
+    rows = [(i, np.unique(neardup.mixed(np.array(x, np.uint64))).tobytes(), len(x), i % 100) for i, x in enumerate(sets)]
+    held = spark.createDataFrame(rows, "node long, set binary, n long, root long")
+    got = {(x.a, x.b) for x in neardup._across(ws, neardup._rarest(ws, held, how), held.select("node", "n", "root"), how).collect()}
+    for i, x in enumerate(map(set, sets)):
+        for j, y in enumerate(map(set, sets[:i])):
+            if i % 100 != j % 100 and 100 * len(x & y) >= 80 * len(x | y) and x:
+                assert (j, i) in got
+    assert len(got) < 150 * 149 // 4
+
+
+def test_neighbours_across_borders(spark):
+    # as many partitions as rows: all neighbours are beyond a border
+    rows = [(i, words_of(80, i // 3) + f" {i % 3}") for i in range(90)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = neardup.near_duplicates(space(spark), spark.createDataFrame(rows, "doc_id long, text string"), neardup.Forest(shingle=2, trees=8)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert {x.doc_id: x.component_id for x in got} == {i: i // 3 * 3 for i in range(90)}
+
+
 def brute_stats(text):
     w = re.findall(WORD, text or "")
     windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -49,11 +50,14 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (tests)
+    gets a folder of its own; on a cluster, whose machines could not see it, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or Path(tempfile.mkdtemp(prefix="wavemill-")).as_uri()
+        path = spark.sparkContext.getCheckpointDir()
+        if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = path or Path(tempfile.mkdtemp(prefix="wavemill-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 

@@ -3,8 +3,12 @@
 Texts with equal shingle sets are one class from the start. Each class has one label in each of several
 trees: a row of min-hashes. A tree is kept as its labels in sorted order, range partitioned, so that a crowded region
 spreads over tasks as any other. Candidates are the neighbours in that order, by their longest common prefix: where
-few labels share a prefix these are all of them, where many do the neighbours are those that agree deepest. What a crowded region leaves apart
-is then compared with the region's best connected members. Links need the whole sets; groups are connected components.
+few labels share a prefix these are all of them, where many do the neighbours are those that agree deepest. Neighbours on
+either side of a partition's border meet in a second pass over the border rows.
+
+What a crowded region still leaves apart is found exactly: two linked sets share one of the few rarest shingles of each, so the
+region's classes are joined on those, only across groups that are not yet connected. Links need the whole sets; groups are
+connected components.
 """
 
 from __future__ import annotations
@@ -26,17 +30,19 @@ U = np.uint64
 @dataclass(frozen=True)
 class Forest:
     """trees labels of `depth` min-hashes each; `least` must agree for a candidate; `near` neighbours after each label, and
-    `dense` where more labels than those share that prefix, so where the order is deep; `pivots` members of a crowded region that its rest is compared with. Linked: similarity * union <= intersection, in hundredths."""
+    `dense` where more labels than those share that prefix, so where the order is deep and an exact join follows. shingle: words.
+    Linked: similarity * union <= intersection, in hundredths. sent: up to so many ids go to every task. order: bits of the hashed
+    counts by which shingles are ranked from rare to frequent; any ranking gives the same links."""
 
     trees: int = 16
     depth: int = 8
     least: int = 3
     near: int = 8
     dense: int = 3
-    pivots: int = 8
-    shingle: int = 2
+    shingle: int = 5
     percent: int = 80
     sent: int = 1_000_000
+    order: int = 18
     seed: int = 7
 
 
@@ -94,12 +100,26 @@ def signatures(docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, shingles binary, labels binary, sketch array<long>")
 
 
-def _neighbours(how: Forest):
-    width, hashes, least = 2 * how.depth, how.trees * how.depth, _least_bits(how)
+#: What `b` says in rows that are not pairs: `a` lies in a crowded region, or (and below, by tree) next to a partition's border.
+CROWDED, BORDER = -1, -2
+
+
+def _neighbours(how: Forest, notes: bool = True):
+    """Pairs (a, b, bits) of neighbours among sorted labels (tree, label, node, n, sketch); with notes also rows for CROWDED and BORDER nodes.
+
+    A region that touches a border may go on behind it, so its nodes count as crowded.
+    """
+    width, hashes, least, reach = 2 * how.depth, how.trees * how.depth, _least_bits(how), how.near + 1
+
+    def noted(node: np.ndarray, b: np.ndarray | int) -> pd.DataFrame:
+        return pd.DataFrame({"a": node, "b": b, "bits": 0})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, total = None, 0
+        waiting, length = [], reach  # of the region under way: nodes not yet known to be crowded, and labels so far
         for batch in batches:
+            if not len(batch):
+                continue
             both = batch if held is None else pd.concat([held, batch], ignore_index=True)
             old = 0 if held is None else len(held)
             label = np.frombuffer(b"".join(both["label"]), ">u2").reshape(-1, width // 2)
@@ -107,7 +127,6 @@ def _neighbours(how: Forest):
             sketch = np.stack(both["sketch"].to_numpy())
             # crowded: the label just beyond the neighbours still shares the least prefix
             crowded = np.zeros(len(both), bool)
-            reach = how.near + 1
             crowded[reach:] = (label[reach:, : how.least] == label[:-reach, : how.least]).all(1) & (tree[reach:] == tree[:-reach])
             for k in range(1, how.near + 1):
                 first = max(0, old - k)
@@ -121,7 +140,30 @@ def _neighbours(how: Forest):
                 i, j, bits = i[bits >= least], j[bits >= least], bits[bits >= least]
                 if len(i):
                     yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "bits": bits})
-            held = both.iloc[-how.near - 1 :]
+            if notes:
+                new = np.r_[True, (label[1:, : how.least] != label[:-1, : how.least]).any(1) | (tree[1:] != tree[:-1])][old:]
+                new[0] &= old > 0  # the first region counts as begun before
+                ends = np.r_[np.flatnonzero(new), len(batch)]
+                flagged, own, at = [], node[old:], 0
+                for end in ends:  # regions of this batch; the one at its start is still under way
+                    length += end - at
+                    waiting.append(own[at:end])
+                    if length > reach:
+                        flagged += waiting
+                        waiting = []
+                    if end < len(batch):
+                        waiting, length = [], 0
+                    at = end
+                if flagged:
+                    yield noted(np.unique(np.concatenate(flagged)), CROWDED)
+                if total < reach:
+                    edge = slice(old, old + reach - total)
+                    yield noted(node[edge], BORDER - tree[edge])
+            total += len(batch)
+            held = both.iloc[-reach:]
+        if notes and held is not None:
+            yield noted(np.concatenate([*waiting, np.zeros(0, np.int64)]).astype(np.int64), CROWDED)
+            yield noted(held["node"].to_numpy(), BORDER - held["tree"].to_numpy())
 
     return run
 
@@ -143,6 +185,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long").distinct()
 
 
+def _rarest(ws: Workspace, sets: DataFrame, how: Forest) -> DataFrame:
+    """node and tokens: the shingles of each set, from rare to frequent, among which one that it shares with any linked set must be.
+
+    Frequencies are counts of hashed shingles, a table of fixed size. Each task adds up its own, then the tasks' tables are added
+    part by part.
+    """
+    size, part = 1 << how.order, 1 << (how.order - 6)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += np.bincount((np.frombuffer(b"".join(batch["set"]), U) >> U(64 - how.order)).astype(np.int64), minlength=size)
+        yield pd.DataFrame({"part": np.arange(64), "counts": [x.tobytes() for x in total.reshape(64, part)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch["part"], batch["counts"], strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+        yield pd.DataFrame({"part": list(total), "counts": [x.tobytes() for x in total.values()]})
+
+    counted = sets.select("set").mapInPandas(count, "part int, counts binary").repartition("part").mapInPandas(add, "part int, counts binary").collect()
+    counts = np.zeros((64, part), np.int64)
+    for k, x in counted:
+        counts[k] = np.frombuffer(x, np.int64)
+    sent = ws.spark.sparkContext.broadcast(counts.ravel())
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for x in batch.pop("set"):
+                x = np.frombuffer(x, U)
+                order = np.lexsort((x, sent.value[(x >> U(64 - how.order)).astype(np.int64)]))
+                out.append(x[order[: len(x) * (100 - how.percent) // 100 + 1]].view(np.int64))
+            yield batch.assign(tokens=out)
+
+    return sets.select("node", "set").mapInPandas(rank, "node long, tokens array<long>")
+
+
+def _across(ws: Workspace, rarest: DataFrame, of: DataFrame, how: Forest) -> DataFrame:
+    """All pairs (a, b) of nodes of different roots that may be linked, by the shingles of rarest(node, tokens); of(node, n, root).
+
+    In the order of the shingles, the first that two linked sets share has enough shingles after it in both. Only pairs across roots are
+    formed: on each shingle those of the commonest root meet the others alone.
+    """
+    whole, p = 100 + how.percent, how.percent
+    held = rarest.join(of, "node").select("node", "n", "root", F.posexplode("tokens").alias("pos", "token"))
+    held = held.select("token", "node", "root", "n", (F.col("n") - F.col("pos")).alias("left"))  # left: shingles from this one on
+    held = ws.save(held.withColumn("least", whole * F.col("left") >= 2 * p * F.col("n")), "postings")  # may be the smaller set of a pair
+    per = held.groupBy("token", "root").agg(F.count("*").alias("k"), F.bool_or("least").alias("least"))
+    lists = per.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"), F.bool_or("least").alias("any"))
+    lists = ws.save(lists.filter("roots > 1 AND any").select("token", F.col("top.root").alias("top")), "lists")
+    live = ws.save(held.join(lists, "token").withColumn("other", F.col("root") != F.col("top")).drop("top"), "live")
+    # (token, 0): others' smaller sets with all larger ones; (token, 1): the top root's smaller sets with the others' larger ones
+    small = live.filter("least").select("token", (~F.col("other")).cast("int").alias("g"), *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "left")])
+    sides = F.explode(F.when(F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    large = live.select("token", sides.alias("g"), *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "left")])
+    na, nb = F.col("n_a"), F.col("n_b")
+    enough = lambda side: whole * F.col(f"left_{side}") >= p * (na + nb)
+    first = (na < nb) | ((na == nb) & (F.col("node_a") < F.col("node_b")))
+    on = (small.token == large.token) & (small.g == large.g) & (F.col("root_a") != F.col("root_b")) & first & (100 * na >= p * nb) & enough("a") & enough("b")
+    pairs = small.join(large, on).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    pairs = ws.save(pairs, "across")
+    ws.drop(held, lists, live)
+    return pairs
+
+
 def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text); other columns are ignored.
 
@@ -152,36 +261,47 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
     """
     signed = ws.save(signatures(docs, how), "signed")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
-    # the smallest doc_id names a class; rows with null doc_ids stay alone
     own = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("labels", "labels"), ("sketch", "sketch"))]
-    classes = ws.save(some.groupBy("shingles").agg(F.min("doc_id").alias("node"), *own), "classes")
-    width = 2 * how.depth
-    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(how.trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("labels"), t * width + 1, F.lit(width)).alias("label"))))
+    # texts of one set are a class; its node is a number of its own, as rows may repeat a doc_id
+    classes = ws.save(some.groupBy("shingles").agg(F.min("doc_id").alias("doc_id"), *own).withColumn("node", F.monotonically_increasing_id()), "classes")
+    label = lambda tree: F.substring(F.col("labels"), tree * (2 * how.depth) + 1, F.lit(2 * how.depth))
+    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(how.trees - 1)), lambda t: F.struct(t.alias("tree"), label(t).alias("label"))))
     forest = classes.select("node", "n", "sketch", trees.alias("t")).select("node", "n", "sketch", "t.tree", "t.label")
     order = ("tree", "label", "node")
-    pairs = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(how), "a long, b long, bits long")
-    pairs = ws.save(pairs.groupBy("a", "b").agg(F.max("bits").alias("bits")), "pairs")
-    nodes = ws.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes = WordHashes()
-            for batch in batches:
-                yield pd.DataFrame({"node": batch["doc_id"], "set": [shingle_set(t, how.shingle, hashes).tobytes() for t in batch["text"]]})
-
-        # up to so many ids are sent to every task, which then reads the texts where they lie; more meet them by a shuffle
-        wanted = F.broadcast(wanted) if wanted.count() <= how.sent else wanted
-        texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-        return texts.mapInPandas(run, "node long, set binary").filter("octet_length(set) > 0")
-
-    sets = own_sets = ws.save(sets_of(nodes), "sets")
+    found = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(how), "a long, b long, bits long")
+    found = ws.save(found.groupBy("a", "b").agg(F.max("bits").alias("bits")), "found")
+    # neighbours across the borders of partitions: a few rows of each
+    border = found.filter(F.col("b") <= BORDER).select(F.col("a").alias("node"), (BORDER - F.col("b")).cast("int").alias("tree")).join(classes, "node")
+    border = border.select("node", "n", "sketch", "tree", label(F.col("tree")).alias("label"))
+    region = F.substring("label", 1, 2 * how.least)
+    border = border.repartition("tree", region).sortWithinPartitions(*order).mapInPandas(_neighbours(how, notes=False), "a long, b long, bits long")
+    pairs = found.filter("b >= 0").unionByName(ws.save(border.groupBy("a", "b").agg(F.max("bits").alias("bits")), "border"))
+    crowded = found.filter(F.col("b") == CROWDED).select(F.col("a").alias("node"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct()
+    wanted = ws.save(classes.join(wanted, "node", "left_semi").select("doc_id", "node", "shingles"), "wanted")
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, seen = WordHashes(), set()
+        for batch in batches:
+            rows = []
+            for node, digest, text in zip(batch["node"], batch["shingles"], batch["text"], strict=True):
+                if node not in seen:
+                    own = shingle_set(text, how.shingle, hashes).tobytes()
+                    if xxhash.xxh3_128_digest(own) == digest:  # not another text under this doc_id
+                        seen.add(node)
+                        rows.append((node, own))
+            yield pd.DataFrame(rows, columns=["node", "set"]).astype({"node": "int64"})
+
+    # up to so many ids are sent to every task, which then reads the texts where they lie; more meet them by a shuffle
+    known = F.broadcast(wanted) if wanted.count() <= how.sent else wanted
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id").select("node", "shingles", "text")
+    sets = ws.save(texts.mapInPandas(sets_of, "node long, set binary"), "sets")
     # first each node's most alike candidate, which joins most of every group; then the two most alike between any two parts
     ends = F.explode(F.array("a", "b")).alias("node")
     alike = (F.desc("bits"), F.xxhash64("a", "b"), "a", "b")
     best = pairs.select("a", "b", "bits", ends).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*alike))).filter("r = 1").select("a", "b").distinct()
-    links = ws.save(_confirmed(best, sets, how.percent), "links")
-    joined = components(ws, links)
-    known = links
+    joined = components(ws, ws.save(_confirmed(best, sets, how.percent), "links"))
+    as_links = lambda: joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     def apart() -> DataFrame:
         of = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
@@ -190,30 +310,19 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
 
     rank = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(*alike))
     links = ws.save(_confirmed(apart().withColumn("r", rank).filter("r <= 2"), sets, how.percent), "links")
-    known = known.unionByName(links)
-    joined = components(ws, joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-    # last all that are still apart, and what is apart in a crowded region with the region's best connected members
-    region = forest.withColumn("region", F.xxhash64("tree", F.substring("label", 1, 2 * how.least)))
-    crowded = region.groupBy("region").agg(F.count("*").alias("_n")).filter(F.col("_n") > how.near + 1).select("region")
-    degree = known.select(ends).groupBy("node").agg(F.count("*").alias("links"))
-    members = region.join(crowded, "region").join(joined, "node", "left").join(degree, "node", "left")
-    members = ws.save(members.select("region", "node", "n", "sketch", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "members")
-    share = F.pmod(F.xxhash64("node"), F.lit(how.pivots))
-    pivots = members.groupBy("region", share.alias("share")).agg(F.max(F.struct("links", "node", "n", "root", "sketch")).alias("p"))
-    pivots = ws.save(pivots.select("region", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "n", "root", "sketch")]), "pivots")
-    size_ok = 100 * F.least("n", "p_n") >= how.percent * F.greatest("n", "p_n")
-    other = F.aggregate(F.zip_with("sketch", "p_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    far = members.join(pivots, "region").filter((F.col("root") != F.col("p_root")) & size_ok & (how.trees * how.depth - other >= _least_bits(how)))
-    far = far.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b"))
-    more = ws.save(apart().select("a", "b").unionByName(far).distinct(), "more")
-    # a pivot may be in no pair so far, and so lack its set: those texts are read now
-    late = ws.save(more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(nodes, "doc_id", "left_anti"), "late")
-    sets = sets if late.isEmpty() else sets.unionByName(ws.save(sets_of(late), "sets"))
-    links = joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirmed(more, sets, how.percent))
-    joined = components(ws, links)
-    # every class gets its component, then every document its class's
-    of_class = ws.save(classes.join(joined, "node", "left").select("shingles", F.coalesce("root", "node").alias("root")), "of_class")
-    ws.drop(classes, pairs, nodes, own_sets, members, pivots, more, late)
-    root = F.coalesce("root", "doc_id")
-    out = signed.select("doc_id", "n_shingles", "shingles").join(of_class, "shingles", "left")
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    joined = components(ws, as_links().unionByName(links))
+    # last all that are still apart, with the exact candidates of crowded regions
+    of = classes.select("node", "n").join(joined, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    exact = _across(ws, _rarest(ws, sets.join(crowded, "node", "left_semi"), how), of, how)
+    more = ws.save(apart().select("a", "b").unionByName(exact).distinct(), "more")
+    joined = components(ws, as_links().unionByName(_confirmed(more, sets, how.percent)))
+    # a component is named by its smallest doc_id; every class gets its component's name, then every document its class's
+    root = classes.select("shingles", "node", "doc_id").join(joined, "node", "left").select("shingles", "doc_id", F.coalesce("root", "node").alias("root"))
+    root = ws.save(root, "rooted")
+    named = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_class = ws.save(root.join(named, "root").select("shingles", "component_id"), "of_class")
+    ws.drop(classes, found, wanted, sets, exact, more, root)
+    # documents without shingles are components of their own
+    own = F.coalesce("component_id", "doc_id")
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("shingles")).alias("shingles")).join(of_class, "shingles", "left")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
