@@ -451,12 +451,45 @@ def test_neighbours(spark):
     queries = [q for q in known if q % 100 == 5]
     for q in queries:
         far = sorted((np.sqrt(((v - known[q]) ** 2).sum()), i) for i, v in known.items() if i != q)[:10]
+        assert len(got[q]) == len({i for i, _ in got[q]}) == 10
         hit += len({i for i, _ in got[q]} & {i for _, i in far})
         assert all(abs(s - np.sqrt(((known[i] - known[q]) ** 2).sum())) < 1e-12 for i, s in got[q])
     assert hit >= 0.9 * 10 * len(queries) and [i for i, _ in got[5]] == list(range(1000, 1010))
     assert [i for i, _ in got[2005]] == [] and ann.nearest(space(spark), df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    # rows repeated many times count once, ids with several vectors with the nearest, and ten others are found
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(40)]
+    rows = rows + rows[1:20] * 30 + [(25, [float(v) for v in x[0] + 0.001]), (0, [99.0] * 8), (3, rows[3][1])]
+    got = ann.nearest(space(spark), spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, ann.Collisions(block=16)).collect()
+    least = np.array(min(rows[0][1], [99.0] * 8))
+    near = {}
+    for i, v in rows:
+        if i:
+            near[i] = min(near.get(i, np.inf), np.sqrt(((np.array(v) - least) ** 2).sum()))
+    want = sorted(near.items(), key=lambda e: (e[1], e[0]))[:10]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [i for i, _ in want]
+
+
+def test_neighbours_filter(spark):
+    # unit vectors in 64 dimensions, as far from one another as can be: most rows are left out unseen
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    block = ann.Block(np.arange(6000), x, ann.Collisions())
+    seen, hit = 0, 0
+    for q in range(0, 6000, 200):
+        ids, far, verified = block.nearest(q, x[q])
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit, seen = hit + len(set(ids) & set(d.argsort()[:10])), seen + verified
+        assert np.allclose(far, d[ids])
+    assert seen <= 0.1 * 30 * 6000 and hit >= 0.9 * 300
+
+
 def test_language(spark, odd, empty, small):
     docs = table(spark, small, "documents")
     model = langid.learn(docs)
