@@ -72,8 +72,8 @@ def test_warc_detects_damage(spark):
 
 def test_packing_plan():
     r = random.Random(1)
-    how = packing.Packing("", capacity=256, rounds=60)
-    for n in (0, 1, 50, 3000):
+    how = packing.Packing("", capacity=256, rounds=60, kinds=40)
+    for n in (0, 1, 2, 50, 3000):
         histogram = Counter(min(256, int(r.lognormvariate(3.5, 1)) + 1) for _ in range(n))
         planned = packing.plan(dict(histogram), how)
         got = Counter()
@@ -84,7 +84,30 @@ def test_packing_plan():
         assert got == histogram
         used = sum(t for _, t in planned)
         bound = -(-sum(x * k for x, k in histogram.items()) // 256)
-        assert used <= sum(t for _, t in packing.best_fit(dict(histogram), 256)) and used <= 1.1 * bound + 3
+        assert used <= 1.1 * bound + 1
+
+
+def test_packing_knapsack():
+    r = random.Random(2)
+    for _ in range(30):
+        sizes = np.array(sorted(r.sample(range(1, 20), 4)))
+        weight, most = np.array([r.random() for _ in sizes]), np.array([r.randint(0, 4) for _ in sizes])
+        config = packing._knapsack(weight, sizes, most, 30)
+        best = max(weight @ c for c in np.ndindex(*(most + 1)) if sizes @ c <= 30)
+        assert (config <= most).all() and sizes @ config <= 30 and abs(weight @ config - best) < 1e-9
+
+
+def test_packing_program(spark, small):
+    # the program itself places most pieces, and needs hardly more sequences than the volume
+    how = packing.Packing(tokenizer_path())
+    cut = packing.pieces(table(spark, small.replace("0.001", "0.01"), "documents"), how)
+    histogram = {x["length"]: x["n"] for x in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    out, left = packing.rounded(histogram, how)
+    assert sum(sum(c.values()) * n for c, n in out) >= 0.8 * sum(histogram.values()) and sum(left.values()) <= 0.2 * sum(histogram.values())
+    lengths, kind, sizes = packing.kinds(histogram, how)
+    assert packing.fractional(sizes, np.bincount(kind, weights=[histogram[x] for x in lengths]), how).gap < 0.02
+    bound = sum(x * n for x, n in histogram.items()) / how.capacity
+    assert sum(n for _, n in packing.plan(histogram, how)) <= 1.01 * bound + 1
 
 
 def test_packing(spark, odd, empty):
@@ -111,12 +134,19 @@ def test_packing(spark, odd, empty):
     assert packing.pack(space(spark), empty, how).count() == 0
 
 
-def test_packed_sequences(spark):
-    docs = spark.createDataFrame([(i, words_of(3 * i, i)) for i in range(20)], "doc_id long, text string")
+def test_packed_sequences(spark, odd):
+    from tokenizers import Tokenizer
+
     how = packing.Packing(tokenizer_path(), rounds=20)
-    packed = packing.pack(space(spark), docs, how).cache()
-    sizes = {r.sequence_id: len(r.ids) // 4 for r in packing.sequences(packed, docs, how).collect()}
-    assert sizes == {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
+    packed = packing.pack(space(spark), odd, how, with_ids=True).cache()
+    sizes = {r.sequence_id: len(r.ids) // 4 for r in packing.sequences(packed).collect()}
+    assert sizes == {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()} and max(sizes.values()) <= 4096
+    # null and repeated doc_ids are documents of their own, whole and in one piece each unless they are long
+    tokenizer, want = Tokenizer.from_file(how.tokenizer), []
+    for row in odd.collect():
+        ids = np.array([*tokenizer.encode(row.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [ids[at : at + 4096].tobytes() for at in range(0, len(ids), 4096)]
+    assert sorted(want) == sorted(bytes(r.ids) for r in packed.collect())
 
 
 def shingles(text, size=2):

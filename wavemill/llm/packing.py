@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents into sequences, by a configuration linear program.
 
-The histogram of piece lengths (as many rows as the capacity at most) is all that the plan needs. Its linear
-program over configurations - multisets of lengths that fit a sequence - is solved by multiplicative
-weights, with knapsack dynamic programming as the pricing step; the solution is rounded down and what is left is packed
-by best fit on the histogram. The plan says for each length which ranks go where, so that pieces find their
-places by their rank among the pieces of their length.
+The histogram of piece lengths (as many rows as the capacity at most) is all that the plan needs. Lengths next to each other
+form kinds, each as long as its longest. The linear program over configurations - multisets of kinds that fit a sequence - is
+solved by multiplicative weights, with knapsack dynamic programming as the pricing step, and rounded to whole
+sequences; what rounding leaves is solved again. The few pieces that no round places, and some of the
+shortest that are set aside for it, fill what room is left by best fit. The plan says for each length which ranks go where, so
+that pieces find their places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -26,13 +27,17 @@ from .common import Workspace
 
 @dataclass(frozen=True)
 class Packing:
-    """tokenizer: path of a `tokenizers` file. end: the id after each document. rounds: of multiplicative weights.
-    ranked: into how many parts the ranking of one length is split."""
+    """tokenizer: path of a `tokenizers` file. end: the id after each document. rounds: of multiplicative weights, for each solution. kinds:
+    of lengths, at most. rate: of the weights' change. full: the least share of a sequence that a configuration fills. ranked:
+    into how many parts the ranking of one length is split."""
 
     tokenizer: str
     capacity: int = 4096
     end: int = 1
-    rounds: int = 250
+    rounds: int = 512
+    kinds: int = 512
+    rate: float = 8.0
+    full: float = 0.97
     ranked: int = 64
 
 
@@ -112,51 +117,123 @@ def pieces(docs: DataFrame, how: Packing, with_ids: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, fields)
 
 
-def _knapsack(weight: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The configuration of the greatest weight, by dynamic programming over capacities. lengths ascend."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    top = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(int(lengths[0]), capacity + 1):
-        worth = weight[: top[c]] + best[c - lengths[: top[c]]]
-        k = int(worth.argmax())
-        best[c], choice[c] = worth[k], k
-    config: Counter = Counter()
-    c = capacity
-    while choice[c] >= 0:
-        config[int(lengths[choice[c]])] += 1
-        c -= int(lengths[choice[c]])
+def _knapsack(weight: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each kind is in the configuration of the greatest weight, `most` times at most, by dynamic programming over capacities."""
+    items = []  # a kind's number in binary parts, each taken or not
+    for i in np.flatnonzero((weight > 0) & (most > 0)):
+        left, part = min(int(most[i]), capacity // int(sizes[i])), 1
+        while left:
+            items.append((i, min(part, left)))
+            left -= min(part, left)
+            part *= 2
+    best, taken = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for row, (i, k) in zip(taken, items, strict=True):
+        width = int(sizes[i]) * k
+        with_it = best[:-width] + weight[i] * k
+        row[width:] = with_it > best[width:]
+        np.maximum(best[width:], with_it, out=best[width:])
+    config, c = np.zeros(len(sizes), np.int64), capacity
+    for row, (i, k) in zip(taken[::-1], reversed(items), strict=True):
+        if row[c]:
+            config[i] += k
+            c -= int(sizes[i]) * k
     return config
 
 
-def fractional(histogram: dict[int, int], how: Packing) -> list[tuple[Counter, float]]:
-    """Configurations with how often each is used, so that every length is covered about as often as it occurs."""
+def kinds(histogram: dict[int, int], how: Packing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lengths in order, the kind of each, and each kind's size: that of its longest. Kinds hold about the same volume."""
     lengths = np.array(sorted(histogram))
-    need = np.array([histogram[x] for x in lengths], float)
-    place = {int(x): i for i, x in enumerate(lengths)}
-    covered, used, found = np.zeros(len(lengths)), 0.0, []
-    total = float((need * lengths).sum()) / how.capacity
-    step = total / how.rounds
-    for k in range(how.rounds):
-        # what lags behind weighs more; a length is worth its size at first
-        lag = (covered - need * (k / how.rounds)) / np.maximum(need, 1.0)
-        weight = lengths * np.exp(-np.clip(8.0 * lag, -30, 30))
-        weight[covered >= need] = 0.0
-        if not weight.any():
+    volume = np.cumsum(lengths * np.array([histogram[x] for x in lengths]))
+    kind = np.arange(len(lengths)) if len(lengths) <= how.kinds else np.unique((volume - 1) * how.kinds // volume[-1], return_inverse=True)[1]
+    sizes = np.zeros(kind.max() + 1, np.int64)
+    np.maximum.at(sizes, kind, lengths)
+    return lengths, kind, sizes
+
+
+@dataclass
+class Solution:
+    """Configurations (rows: how often each kind) with their shares, and by what part the program's value is above its bound."""
+
+    configs: np.ndarray
+    shares: np.ndarray
+    gap: float
+
+
+def fractional(sizes: np.ndarray, need: np.ndarray, how: Packing) -> Solution:
+    """Shares of configurations that cover every kind about as often as it occurs.
+
+    Each round prices the configuration of the greatest weight; a kind weighs its size, more where it lags behind the others and less where
+    it is ahead. All weights by size alone give the bound, the volume. It ends when all is covered, to half a step.
+    """
+    total = float(need @ sizes) / how.capacity
+    rounds = max(1, min(how.rounds, int(np.ceil(total))))
+    step, covered, found = total / rounds, np.zeros(len(sizes)), []
+    while len(found) < 2 * rounds:
+        ahead = covered / need - min(1.0, len(found) / rounds)
+        most = np.maximum(np.floor((need - covered) / step + 1e-9), need - covered >= step / 2)
+        config = _knapsack(sizes * np.exp(-how.rate * ahead), sizes, most, how.capacity)
+        if not config.any():
+            break
+        covered += config * step
+        found.append(config)
+    configs, times = np.unique(np.array(found).reshape(-1, len(sizes)), axis=0, return_counts=True)
+    return Solution(configs, times * step, len(found) * step / total - 1)
+
+
+def _exactly(config: np.ndarray, times: int, stock: list[list[list[int]]]) -> list[tuple[Counter, int]]:
+    """`times` sequences of a configuration of kinds, as lengths from the stock (of each kind: [length, number] ascending), longest first."""
+    places = []
+    for kind in np.flatnonzero(config):
+        for _ in range(config[kind]):
+            runs, wanted = [], times
+            while wanted:
+                last = stock[kind][-1]
+                n = min(last[1], wanted)
+                runs.append((last[0], n))
+                wanted, last[1] = wanted - n, last[1] - n
+                if not last[1]:
+                    stock[kind].pop()
+            places.append((np.array([x for x, _ in runs]), np.cumsum([n for _, n in runs])))
+    ends = np.unique(np.concatenate([e for _, e in places]))
+    return [(Counter(int(x[np.searchsorted(e, end)]) for x, e in places), int(end - start)) for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def rounded(histogram: dict[int, int], how: Packing) -> tuple[list[tuple[Counter, int]], dict[int, int]]:
+    """Whole sequences from solutions of the program, one after another on what is left, and the pieces that none of them placed."""
+    left, out, aside = dict(histogram), [], Counter()
+    lengths, kind, sizes = kinds(left, how)
+    # kinds are as long as their longest: as much volume of the shortest pieces as that wastes is set aside to fill it
+    waste = how.capacity // 2 + sum(int(sizes[k] - x) * left[x] for x, k in zip(lengths.tolist(), kind, strict=True))
+    for x in lengths.tolist():
+        n = min(left[x], waste // x)
+        aside[x], left[x], waste = n, left[x] - n, waste - n * x
+        if not n:
+            break
+    while any(left.values()):
+        left = {x: n for x, n in left.items() if n}
+        lengths, kind, sizes = kinds(left, how)
+        number = np.bincount(kind, weights=[left[x] for x in lengths]).astype(np.int64)
+        solved = fractional(sizes, number, how)
+        stock: list[list[list[int]]] = [[] for _ in sizes]
+        for x, k in zip(lengths.tolist(), kind, strict=True):
+            stock[k].append([x, left[x]])
+        placed = 0
+        for i in np.argsort(-solved.shares, kind="stable"):
+            config, used = solved.configs[i], solved.configs[i] > 0
+            times = min(int(solved.shares[i] + 0.5), int((number[used] // config[used]).min()))
+            if times and config @ sizes >= how.full * how.capacity:
+                out += _exactly(config, times, stock)
+                number -= times * config
+                placed += times * int(config.sum())
+        left = {x: n for own in stock for x, n in own}
+        if 10 * placed < placed + sum(left.values()):
             break
-        config = _knapsack(weight, lengths, how.capacity)
-        for x, n in config.items():
-            covered[place[x]] += n * step
-        found.append((config, step))
-        used += step
-    merged: dict[tuple, float] = defaultdict(float)
-    for config, share in found:
-        merged[tuple(sorted(config.items()))] += share
-    return [(Counter(dict(c)), share) for c, share in merged.items()]
-
-
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
-    """Configurations and multiplicities by best-fit decreasing. Equal sequences are kept together, so the work follows
-    the number of lengths and not of pieces."""
+    return out, Counter(left) + aside
+
+
+def best_fit(left: dict[int, int], capacity: int, begun: Iterable[tuple[Counter, int]] = ()) -> list[tuple[Counter, int]]:
+    """Configurations and multiplicities by best-fit decreasing into the sequences that are begun and new ones. Equal sequences are
+    kept together, so the work follows the number of lengths and not of pieces."""
     room: dict[int, list[tuple[Counter, int]]] = defaultdict(list)
     order: list[int] = []  # the rooms that some sequence has, ascending
 
@@ -165,6 +242,8 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
             insort(order, free)
         room[free].append((config, n))
 
+    for config, n in begun:
+        add(config, n, capacity - sum(x * k for x, k in config.items()))
     for x in sorted(left, reverse=True):
         n = left[x]
         while n:
@@ -190,20 +269,11 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
 
 
 def plan(histogram: dict[int, int], how: Packing) -> list[tuple[Counter, int]]:
-    """Whole configurations for all pieces: the linear program's, rounded down, and best fit for the rest; best fit
-    alone where that needs fewer sequences."""
+    """Whole configurations for all pieces: the linear program's, whose room takes up what it leaves, by best fit."""
     if not histogram:
         return []
-    left, out = dict(histogram), []
-    for config, share in sorted(fractional(histogram, how), key=lambda x: -x[1]):
-        n = min(int(share), *(left.get(x, 0) // k for x, k in config.items()))
-        if n:
-            out.append((config, n))
-            for x, k in config.items():
-                left[x] -= n * k
-    out += best_fit({x: n for x, n in left.items() if n}, how.capacity)
-    plain = best_fit(histogram, how.capacity)
-    return min(out, plain, key=lambda x: sum(n for _, n in x))
+    out, left = rounded(histogram, how)
+    return best_fit(left, how.capacity, out)
 
 
 def slots(planned: list[tuple[Counter, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -222,13 +292,13 @@ def slots(planned: list[tuple[Counter, int]]) -> dict[int, tuple[np.ndarray, np.
     return {x: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for x, rows in out.items()}
 
 
-def pack(ws: Workspace, docs: DataFrame, how: Packing) -> DataFrame:
-    """The pieces of docs(doc_id, text) with sequence_id and offset.
+def pack(ws: Workspace, docs: DataFrame, how: Packing, with_ids: bool = False) -> DataFrame:
+    """The pieces of docs(doc_id, text) with sequence_id and offset (and ids, for sequences()).
 
     Null doc_ids and repeated ones are documents of their own; other columns are ignored; no rows give no sequences.
     Pieces of a length are interchangeable, so which of them has which rank follows doc_id and piece alone.
     """
-    cut = ws.save(pieces(docs, how), "pieces")
+    cut = ws.save(pieces(docs, how, with_ids), "pieces")
     # at most `capacity` counts reach the driver, and the plan has a bounded number of slots for each of them
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     at = ws.spark.sparkContext.broadcast(slots(plan(histogram, how)))
@@ -252,13 +322,13 @@ def pack(ws: Workspace, docs: DataFrame, how: Packing) -> DataFrame:
             out = batch.drop(columns=["part", "rank", "before"]).assign(sequence_id=sequence, offset=offset)
             yield out.astype({"doc_id": "Int64"})
 
-    fields = "length long, doc_id long, piece int, start long, ids_crc32 long, sequence_id long, offset long"
-    names = [f.split()[0] for f in fields.split(", ")[:5]]
-    return ranked.select(*names, "part", "rank", "before").mapInPandas(place, fields).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    fields = "length long, doc_id long, piece int, start long, ids_crc32 long" + ", ids binary" * with_ids
+    names = [f.split()[0] for f in fields.split(", ")]
+    placed = ranked.select(*names, "part", "rank", "before").mapInPandas(place, fields + ", sequence_id long, offset long")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
 
 
-def sequences(packed: DataFrame, docs: DataFrame, how: Packing) -> DataFrame:
-    """sequence_id and ids (little-endian bytes, at most `capacity` ids) of every sequence, from pack()'s pieces."""
-    held = packed.join(pieces(docs, how, with_ids=True).select("doc_id", "piece", "ids"), ["doc_id", "piece"])
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id and ids (little-endian bytes, at most `capacity` ids) of every sequence, from pack()'s pieces with ids."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return held.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
