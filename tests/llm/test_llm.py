@@ -544,6 +544,76 @@ def test_sql(spark, small, name):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
+def test_pii_keeps_columns(spark):
+    names = ["base", "spans", "_text", "_row", "_clean", "whole", "digest", "a.b"]
+    docs = spark.createDataFrame([(1, "mail me: x.y@z.org", *"abcdefgh"), (None, None, *"ijklmnop")], ["doc_id", "text", *names])
+    got = sorted(map(tuple, pii.sanitise(space(spark), docs).select("doc_id", "text", *[f"`{n}`" for n in names]).collect()), key=repr)
+    assert got == [(1, "mail me: [EMAIL]", *"abcdefgh"), (None, None, *"ijklmnop")]
+
+
+def staged(odd):
+    """odd with the columns of documents first and names that stages use themselves."""
+    extra = ["_time", "times", "whole", "row_key", "_doc_id", "group", "shingles", "_at", "label"]
+    return odd.withColumns({n: F.concat(F.lit(n), F.coalesce("text", F.lit("-"))) for n in extra})
+
+
+def test_stages_on_odd_rows(spark, odd, empty, small):
+    import corpus_pipeline as P
+
+    docs = staged(odd)
+    rows = [tuple(r) for r in docs.collect()]
+    key = lambda r: repr(r)
+    # quality: what the base rules leave, whole
+    got = sorted((tuple(r) for r in P.quality(spark, docs, small).collect()), key=key)
+    ok = [r for r in rows if (b := brute_stats(r[1]))[0] >= 10 and 100 * b[4] <= 20 * b[0]]
+    assert set(got) <= set(ok) and {r[0] for r in got} >= {9, 10, 11}
+    # near-duplicates: one row of each group, all without words or doc_id
+    got = [tuple(r) for r in P.near_duplicates(spark, docs, small).collect()]
+    groups = brute_groups([(r[0], r[1]) for r in rows], 5)
+    stay = {i for i, g in groups.items() if i == g}
+    assert sorted(r[0] for r in got if r[0] is not None) == sorted(stay) and sum(r[0] is None for r in got) == 1 and set(got) <= set(rows)
+    # personal data: rows and other columns stay
+    got = sorted((tuple(r) for r in P.personal_data(spark, docs, small).collect()), key=key)
+    assert len(got) == len(rows)
+    assert {r[0]: r[1] for r in got}[15].startswith("mail [EMAIL], [IP] and [PHONE]") and sorted(map(str, (r[5:] for r in got))) == sorted(map(str, (r[5:] for r in rows)))
+    # mixing: whole rows, twice at most
+    got = Counter(tuple(r) for r in P.mix(spark, docs, small).collect())
+    have = Counter(rows)
+    assert all(n <= 2 * have[r] for r, n in got.items()) and got
+    # packing: the pieces of every row
+    got = P.pack(spark, docs, small).collect()
+    assert len({r.sequence_id for r in got}) >= 1 and sum(r.piece == 0 for r in got) == len(rows)
+    for _, stage in P.STAGES:
+        assert stage(spark, staged(empty), small).count() == 0
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_one_of_each_group(spark):
+    # under doc_id 7 two texts that differ, one of them in the group of 5; repeated rows; rows without words
+    a, b = words_of(60, 1), words_of(60, 2)
+    rows = [(7, a, "x"), (7, b, "x"), (7, b, "w"), (5, a + " x", "x"), (5, a + " x", "x"), (8, " ", "x"), (8, "", "y"), (8, b, "x"), (None, b, "x")]
+    got = neardup.one_of_each(space(spark), spark.createDataFrame(rows, "doc_id long, text string, group string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(5, a + " x", "x"), (7, b, "w"), (8, " ", "x"), (8, "", "y"), (None, b, "x")], key=repr)
+
+
+def test_mixing_drift(spark):
+    # whole documents written as often as rounded come near the words the sources are to have
+    import corpus_pipeline as P
+
+    r = random.Random(16)
+    rows = [(i, words_of(r.randint(20, 300), i), "en", r.choice(["a", "b", "c", None] + ["hot"] * 4), 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    written = Counter()
+    for x in P.mix(spark, docs, "").collect():
+        written[x.source] += len(x.text.split())
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(text.split())
+    for source, target in brute_targets(sizes).items():
+        assert abs(written[source] - target) <= 0.01 * target + 300
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 

@@ -80,14 +80,19 @@ def _covered(x: Column, start: Column, run: Column, size: Column) -> Column:
     return F.when(over <= 0, inside).otherwise(F.greatest(F.lit(0), x - start) + F.least(x, over))
 
 
+def row_key(how: Mix = Mix()) -> Column:
+    """A hash of doc_id and text, which rows that repeat both share."""
+    return F.xxhash64(F.lit(how.seed), "doc_id", "text")
+
+
 def mix(ws: Workspace, docs: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words, repeats counted) of every document.
+    """doc_id, source, size, source_size, target, taken (words, repeats counted) and row_key of every document.
 
     Null texts have size 0 and are taken 0 times; a null source is a source of its own; repeated doc_ids are
     documents of their own. Columns of docs other than doc_id, text and source are ignored. Empty: no rows.
     The same rows give the same mix, in whatever order or partitions they come.
     """
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(how.seed), "doc_id", "text").alias("_dice"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_key(how).alias("_dice"))
     sized = ws.save(sized, "sized")
     sources = ws.save(targets(ws.save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs")), "sources"), how), "targets")
     shards = F.ceil(F.col("_docs") / F.greatest(F.lit(how.shard_docs), F.sqrt("_docs"))).cast("long")
@@ -107,4 +112,11 @@ def mix(ws: Workspace, docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     laps, rest = F.floor(F.col("_run") / n), F.pmod("_run", n)
     share = laps * F.col("size") + _covered(F.col("_end"), F.col("_start"), rest, n) - _covered(F.col("_end") - F.col("size"), F.col("_start"), rest, n)
     taken = F.when(n > 0, share).otherwise(0).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.col("_dice").alias("row_key"))
+
+
+def times(mixed: DataFrame) -> DataFrame:
+    """row_key, source and times of the rows of mix() that are taken: how often a whole document comes, rounded half up, by the average over rows
+    that repeat it."""
+    n = F.when(F.sum("size") > 0, F.floor(F.sum("taken") / F.sum("size") + 0.5)).otherwise(0).cast("int")
+    return mixed.groupBy("row_key", "source").agg(n.alias("times")).filter("times > 0")

@@ -253,11 +253,12 @@ def _across(ws: Workspace, rarest: DataFrame, of: DataFrame, how: Forest) -> Dat
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text); other columns are ignored.
+    """doc_id, n_shingles, component_id, kept, shingles (digest of the set) and group of every row of docs(doc_id, text); other columns are ignored.
 
     component_id is the smallest doc_id that links reach. Null and empty texts and texts of white space have no shingles and are
     linked with nothing. Rows that repeat a doc_id each belong to the group of their own text. A null doc_id
-    is linked with nothing, has no component and is kept. Empty: no rows.
+    is linked with nothing, has no component and is kept. group tells components of one component_id apart; it is null without shingles.
+    Empty: no rows.
     """
     signed = ws.save(signatures(docs, how), "signed")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -320,9 +321,42 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
     root = classes.select("shingles", "node", "doc_id").join(joined, "node", "left").select("shingles", "doc_id", F.coalesce("root", "node").alias("root"))
     root = ws.save(root, "rooted")
     named = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = ws.save(root.join(named, "root").select("shingles", "component_id"), "of_class")
+    of_class = ws.save(root.join(named, "root").select("shingles", "component_id", F.col("root").alias("group")), "of_class")
     ws.drop(classes, found, wanted, sets, exact, more, root)
     # documents without shingles are components of their own
     own = F.coalesce("component_id", "doc_id")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("shingles")).alias("shingles")).join(of_class, "shingles", "left")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "shingles", "group")
+
+
+def one_of_each(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component one row, under its smallest doc_id.
+
+    Rows that repeat a doc_id belong to the component of their own text; where several rows of one component have its doc_id, the one
+    with the smallest text (then other columns, in order) stays. Rows without a doc_id or without words all stay. Empty: no rows.
+    """
+    found = ws.save(near_duplicates(ws, docs, how).filter("doc_id is not null"), "components")
+    twice = ws.save(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
+    stay = found.filter("kept").join(twice, "doc_id", "left_anti").select("doc_id")
+    known = docs.filter("doc_id is not null")
+    out = known.join(stay, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    if not twice.isEmpty():  # a few rows, told apart by their sets
+        names = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+        again = known.join(twice, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), "text", F.struct("text", *[n for n in names if n != "`text`"]).alias("whole"))
+        kept = found.filter("kept").select(F.col("doc_id").alias("id"), "shingles", "group").distinct()
+        rows = with_digest(again, how).join(kept, ["id", "shingles"])
+        one = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min("whole").alias("whole")).select("whole")
+        out = out.unionByName(one.unionByName(rows.filter("group IS NULL").select("whole")).select(*[f"whole.{n}" for n in names]))
+    return out.select(*docs.columns)
+
+
+def with_digest(rows: DataFrame, how: Forest) -> DataFrame:
+    """rows(id, text, whole) with the digest of the text's shingles, as in near_duplicates, in place of the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            yield pd.DataFrame({"text": batch["text"], "shingles": [xxhash.xxh3_128_digest(shingle_set(t, how.shingle, hashes).tobytes()) for t in batch["text"]]})
+
+    digests = rows.select("text").distinct().mapInPandas(run, "text string, shingles binary")
+    return rows.join(digests, rows.text.eqNullSafe(digests.text)).select("id", "shingles", "whole")

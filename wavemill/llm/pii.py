@@ -207,11 +207,16 @@ def spans(ws: Workspace, docs: DataFrame, how: Disclosure = Disclosure()) -> Dat
 
 
 def sanitise(ws: Workspace, docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
-    """docs with every span in text replaced; null texts stay null and all other columns stay as they are."""
+    """docs with every span in text replaced; null texts stay null and all other columns, whatever their names, stay as they are.
+
+    Repeated rows stay repeated, null doc_ids are rows like others. Empty: no rows.
+    """
     risky = learn(ws, docs, how)
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns}
+    # the rows travel as one column, so that no name clashes with those of the spans
+    found = apply(ws, docs.select("doc_id", "text", F.struct(*quoted.values()).alias("whole")), risky, how)
     clean = F.when(F.col("text").isNotNull(), redacted(F.col("_text"), F.col("spans")))
-    out = apply(ws, docs, risky, how).withColumn("_clean", clean)
-    return out.select(*[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return found.select(*[clean.alias(c) if c == "text" else F.col(f"whole.{q}").alias(c) for c, q in quoted.items()])
 
 
 def digest(spanned: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(Workspace(spark, "op3"), table(spark, sf_dir, "documents"), neardup.Forest(shingle=2))
+    return neardup.near_duplicates(Workspace(spark, "op3"), table(spark, sf_dir, "documents"), neardup.Forest(shingle=2)).drop("shingles", "group")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
