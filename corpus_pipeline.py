@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.llm import mixing, neardup, packing, pii, quality_rules
@@ -18,46 +18,49 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a learned one go. Rules are learned from a bounded sample, and no row is stored twice."""
+    """Documents that fail the base rules or a learned one go, so null, empty and very short texts do; repeated rows fare alike.
+
+    Rules are learned from a bounded sample, and no row is stored twice.
+    """
     labels = table(spark, sf_dir, "labels")
     rules = quality_rules.learn(Workspace(spark, "quality"), quality_rules.labelled(docs, labels), labels)
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    rows = docs.select("doc_id", "text", whole(docs))
     # a filter is not pushed below a column of row numbers, so the statistics it asks for are computed once
-    measured = quality_rules.stats(rows, ["doc_id", "_row"]).withColumn("_at", F.monotonically_increasing_id())
-    return quality_rules.apply(measured, rules).filter(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
+    measured = quality_rules.stats(rows, ["doc_id", "whole"]).withColumn("_at", F.monotonically_increasing_id())
+    return quality_rules.apply(measured, rules).filter(F.col("kept") & (F.col("_at") >= 0)).select("whole.*")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; of its repeated rows one does."""
-    found = neardup.near_duplicates(Workspace(spark, "neardup"), docs)
-    stay = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(docs) else docs.join(stay, "doc_id", "left_semi")
-    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+def whole(docs: DataFrame) -> Column:
+    """A row's columns as one, which clash with no others."""
+    return F.struct(*["`" + c.replace("`", "``") + "`" for c in docs.columns]).alias("whole")
 
 
-def _repeats(docs: DataFrame) -> bool:
-    ids = docs.filter("doc_id is not null").select("doc_id")
-    return not ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts that share four fifths of their five-word shingles one row stays, that of the smallest doc_id. Texts without words
+    and rows without a doc_id stay."""
+    return neardup.one_of_each(Workspace(spark, "neardup"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans are replaced by their kinds; n_chars follows the text."""
+    """Spans are replaced by their kinds; n_chars follows the text. Null texts stay null, with their n_chars; no row goes."""
     clean = pii.sanitise(Workspace(spark, "pii"), docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as many times as the mix takes its words, rounded half up: left out, once or twice."""
+    """A document comes as many times as the mix takes its words, rounded half up: left out, once or twice. Texts without words go.
+
+    Rows that repeat a doc_id and text each come as often as they are taken on average; rows without a doc_id or source are documents like others.
+    """
     ws = Workspace(spark, "mix")
-    taken = mixing.mix(ws, docs).select("doc_id", "size", "taken")
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    times = ws.save(taken.groupBy("doc_id").agg(F.max(times).alias("_times")).filter("_times > 0"), "times")
-    times = times.withColumnRenamed("doc_id", "_doc_id")
-    return docs.join(times, docs.doc_id.eqNullSafe(times._doc_id)).withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    times = ws.save(mixing.times(mixing.mix(ws, docs)), "times")
+    rows = docs.select(mixing.row_key().alias("key"), F.col("source").alias("of"), whole(docs))
+    taken = rows.join(times, (rows.key == times.row_key) & rows.of.eqNullSafe(times.source))
+    return taken.select("whole", F.explode(F.sequence(F.lit(1), "times"))).select("whole.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 4096 tokens. A document that the mix repeats is packed as often."""
+    """The pieces of sequences of at most 4096 tokens. A document that the mix repeats is packed as often; a null text is its end id alone."""
     return packing.pack(Workspace(spark, "pack"), docs, packing.Packing(tokenizer_path()))
 
 
