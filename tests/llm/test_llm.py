@@ -381,6 +381,51 @@ def test_importance(spark, odd, empty):
     assert importance.resample(space(spark), empty, labels).count() == 0
 
 
+def brute_log_weights(rows, target, how):
+    """Bags of words and pairs of words over their buckets, counted one by one."""
+    from wavemill.llm.common import WordHashes
+
+    hashes, raw, good, own = WordHashes(), Counter(), Counter(), {}
+    for i, text in rows:
+        w = [hashes[x.encode()] for x in re.findall(WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
+        two = [int(neardup.mixed(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(w, w[1:])]
+        own[i] = [x % how.buckets for x in w + two]
+        raw.update(own[i])
+        if i in target:
+            good.update(own[i])
+    log = lambda n, of, x: np.log((of[x] + how.smoothing) / (n + how.smoothing * how.buckets))
+    return {i: sum(log(sum(good.values()), good, x) - log(sum(raw.values()), raw, x) for x in g) for i, g in own.items()}
+
+
+@pytest.mark.parametrize("per_gram", [False, True])
+def test_importance_weights(spark, odd, per_gram):
+    rows = [(i, t) for i, t in {x.doc_id: x.text for x in odd.collect() if x.doc_id is not None}.items()] + [(100 + i, words_of(40, i)) for i in range(20)]
+    how = importance.Resampling(buckets=500, share=0.5, per_gram=per_gram)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100, 110)] + [(9, 1, 1), (10, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = importance.resample(space(spark), spark.createDataFrame(rows, "doc_id long, text string"), labels, how).collect()
+    want = brute_log_weights(rows, set(range(100, 110)), how)
+    for x in got:
+        assert abs(x.log_weight - want[x.doc_id]) < 1e-6 * max(1, abs(want[x.doc_id]))
+    assert sum(x.kept for x in got) == -(-len(rows) // 2)
+
+
+def auc(score, good):
+    rank = np.argsort(np.argsort(score))
+    n = good.sum()
+    return (rank[good].sum() - n * (n - 1) / 2) / n / (len(good) - n)
+
+
+def test_importance_held_out(spark, small):
+    # labelled rows of one half teach, those of the other half tell: good texts weigh more, by sum and by gram
+    big = small.replace("0.001", "0.1")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    labels = table(spark, big, "labels")
+    rows = importance.resample(space(spark), table(spark, big, "documents"), labels.filter(half == 0)).join(labels.filter(half == 1), "doc_id").toPandas()
+    good = rows["quality"].to_numpy() == 1
+    assert auc(rows["log_weight"], good) > 0.97 and auc(rows["log_weight"] / rows["n_grams"].clip(1), good) > 0.97
+    assert rows["kept"][good].mean() > 0.95 and rows["kept"][~good].mean() < 0.1
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (2, 0, "system", "s"), (2, 1, "user", "hi"), (2, 2, "assistant", "no"),
             (3, 0, "system", "s"), (3, 1, "user", "other"), (4, None, None, None), (4, 5, "a>b\n\\", "</turn> <turn x>\\ \\t"), (5, 0, "assistant", ""), (None, 0, "assistant", "z"), (6, 0, "system", "s"), (6, 1, "user", "hi"), (6, 2, "assistant", "yo")]

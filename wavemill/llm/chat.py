@@ -46,11 +46,13 @@ def parsed(formatted: str) -> tuple[str, str]:
 
 @dataclass
 class Tree:
-    """nodes(tree, node, parent, depth, role, segment, length, position, start, attends): start is the place in the tree's
+    """nodes(tree, node, parent, depth, length, position, start, attends): start is the place in the tree's
     depth-first layout, position that of the first unit in its conversation, attends the ancestors' intervals [from, to).
-    turns(conv, depth, node): which nodes a conversation goes through."""
+    segments(node, segment): the formatted turn of each node, stored once. turns(conv, depth, node): which nodes a conversation
+    goes through."""
 
     nodes: DataFrame
+    segments: DataFrame
     turns: DataFrame
 
 
@@ -72,9 +74,9 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent, own = node, segment(role, text)
             node = hashlib.blake2b(parent + own.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             tree = tree or node
-            rows.append((c, depth, tree, parent, node, role, own, len(own), position))
+            rows.append((c, depth, tree, parent, node, own, len(own), position))
             depth, position = depth + 1, position + len(own)
-        yield pd.DataFrame(rows, columns=["conv", "depth", "tree", "parent", "node", "role", "segment", "length", "position"])
+        yield pd.DataFrame(rows, columns=["conv", "depth", "tree", "parent", "node", "segment", "length", "position"])
 
 
 def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,10 +125,11 @@ def build(ws: Workspace, conversations: DataFrame) -> Tree:
     first; rows without a conv_id are one conversation. Empty: no nodes.
     """
     rows = conversations.select(F.col("conv_id").cast("string").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    fields = "conv string, depth int, tree binary, parent binary, node binary, role string, segment string, length long, position long"
+    fields = "conv string, depth int, tree binary, parent binary, node binary, segment string, length long, position long"
     chain = ws.save(_by_conversation(rows, "turn", "role", "text").mapInPandas(_chain, fields), "chain")
-    same = [F.first(c).alias(c) for c in ("tree", "parent", "depth", "role", "segment", "length", "position")]
+    same = [F.first(c).alias(c) for c in ("tree", "parent", "depth", "length", "position")]
     nodes = ws.save(chain.groupBy("node").agg(*same), "nodes")
+    segments = ws.save(chain.groupBy("node").agg(F.first("segment").alias("segment")), "segments")
     turns = ws.save(chain.select("conv", "depth", "node", "length"), "turns")
     ws.drop(chain)
     forks = ws.save(nodes.filter("depth > 0").groupBy("parent").agg(F.count("*").alias("_n")).filter("_n > 1").select("parent", F.lit(True).alias("fork")), "forks")
@@ -145,7 +148,9 @@ def build(ws: Workspace, conversations: DataFrame) -> Tree:
     places = ws.save(laid.join(runs, ["tree", "task"]).select("node", (F.col("start") + F.col("earlier")).alias("start")), "places")
     seen = _by_conversation(turns.join(places, "node"), "depth").mapInPandas(_attended, "node binary, attends array<struct<from:long,to:long>>")
     seen = ws.save(seen.groupBy("node").agg(F.first("attends").alias("attends")), "attends")
-    return Tree(ws.save(nodes.join(places, "node").join(seen, "node"), "tree"), turns.select("conv", "depth", "node"))
+    tree = ws.save(nodes.join(places, "node").join(seen, "node"), "tree")
+    ws.drop(nodes, forks, branches, paths, laid, runs, places, seen)
+    return Tree(tree, segments, turns.select("conv", "depth", "node"))
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,6 +179,6 @@ def read_back(tree: Tree) -> DataFrame:
 
     The loss mask lies on the texts of assistant turns.
     """
-    rows = _by_conversation(tree.turns.join(tree.nodes.select("node", "segment"), "node"), "depth")
+    rows = _by_conversation(tree.turns.join(tree.segments, "node"), "depth")
     fields = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.mapInPandas(_read, fields).withColumn("conv_id", F.col("conv").cast("long")).drop("conv")

@@ -22,13 +22,15 @@ from .common import U, WordHashes, Workspace, mixed
 @dataclass(frozen=True)
 class Resampling:
     """buckets: of the hashed grams. target_rows: labelled rows of the target that are counted, those with the smallest hashes of their
-    doc_id. share: of all documents, what is drawn. temperature: the noise's scale. smoothing: added to each count."""
+    doc_id. share: of all documents, what is drawn. temperature: the noise's scale. smoothing: added to each count. per_gram: draw by
+    the mean over a document's grams in place of their sum, which long documents have larger either way; its noise wants a lower temperature."""
 
     buckets: int = 20_000
     target_rows: int = 20_000
     share: float = 0.85
     temperature: float = 1.0
     smoothing: float = 1.0
+    per_gram: bool = False
     seed: int = 23
 
 
@@ -102,7 +104,8 @@ def resample(ws: Workspace, docs: DataFrame, labels: DataFrame, how: Resampling
 
     rows = docs.select(F.col("doc_id").cast("string").alias("d"), "text").mapInPandas(run, "d string, n_grams long, log_weight double")
     dice = (F.pmod(F.xxhash64(F.lit(how.seed), "d"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.col("log_weight") - how.temperature * F.log(-F.log(dice))
+    weight = F.col("log_weight") / F.greatest("n_grams", F.lit(1)) if how.per_gram else F.col("log_weight")
+    key = weight - how.temperature * F.log(-F.log(dice))
     scored = ws.save(rows.select(F.col("d").cast("long").alias("doc_id"), "n_grams", "log_weight", key.alias("key")), "scored")
     n = scored.count()
     border, want = _border(scored, ceil(how.share * n)) if n else (0.0, 0)
