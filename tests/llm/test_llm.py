@@ -63,6 +63,30 @@ def test_warc_round_trip(spark):
     assert warc.parse(warc.restore(warc.write(space(spark), pages.limit(0)))).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    # the files read record by record, by the lengths in their headers alone
+    rows = [(i, f"http://h/{i}", words_of(30, i % 4) + "\r\n\r\nWARC/1.1\r\n" * (i % 3) + "é😀") for i in range(20)] + [(3, "http://h/3", "x"), (50, "u", words_of(200_000, 5)), (51, None, None)]
+    archive = warc.write(space(spark), spark.createDataFrame(rows, "page_id long, url string, html string"))
+    warc.export(archive, str(tmp_path / "out"))
+    seen, payloads = Counter(), {}
+    for part in (tmp_path / "out").glob("part-*"):
+        raw = part.read_bytes()
+        while raw:
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields)
+            n = int(fields["Content-Length"])
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            seen[fields["WARC-Record-ID"]] += 1
+            payloads[fields["WARC-Record-ID"]] = rest[:n] if fields["WARC-Type"] == "response" else fields["WARC-Refers-To"]
+            raw = rest[n + 4 :]
+    assert len(seen) == len(rows) and set(seen.values()) == {1}
+    whole = lambda x: payloads[x].decode() if isinstance(x, str) else x.decode()
+    got = Counter((k.split(":")[2], whole(v) if isinstance(v, str) else v.decode()) for k, v in payloads.items())
+    assert got == Counter((str(i), h or "") for i, _, h in rows)
+
+
 def test_warc_detects_damage(spark):
     archive = warc.write(space(spark), spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"))
     archive.payloads = archive.payloads.withColumn("payload", F.encode(F.lit("abd"), "UTF-8"))
@@ -292,6 +316,26 @@ def test_quality_rules_learn(spark, empty):
     assert not quality_rules.learn(ws, none, labels).rules and quality_rules.apply(none, rules).count() == 0
 
 
+def test_quality_rules_held_out(spark, small):
+    # a list learned on half of the labels tells low from high in the other half
+    big = small.replace("0.001", "0.1")
+    half, labels, ws = F.pmod(F.xxhash64("doc_id"), F.lit(2)), table(spark, big, "labels"), space(spark)
+    measured = ws.save(quality_rules.stats(table(spark, big, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")), "stats")
+    rules = quality_rules.learn(ws, measured, labels.filter(half == 0))
+    told = quality_rules.apply(measured, rules).join(labels.filter(half == 1), "doc_id").filter("NOT base_failed").toPandas()
+    low = told["quality"] == 0
+    assert len(told) > 500 and told["kept"][~low].mean() > 0.95 and told["kept"][low].mean() < 0.2
+
+
+def test_quality_labels_odd(spark, odd):
+    # null and repeated labels, ties and repeated documents: a doc_id counts with its lowest label
+    labels = spark.createDataFrame([(None, 0), (9, None), (9, 1), (9, 0), (10, 1), (10, 1), (77, 0), (7, 1), (8, 0)], "doc_id long, quality int").withColumn("_low", F.lit(1))
+    ws = space(spark)
+    measured = ws.save(quality_rules.stats(odd.unionByName(odd)), "stats")
+    got = quality_rules.apply(measured, quality_rules.learn(ws, measured, labels.drop("_low"), quality_rules.Learning(support=1)))
+    assert got.count() == 2 * odd.count()
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -577,6 +621,38 @@ def test_language(spark, odd, empty, small):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_by_brute_force():
+    # features as sets, kernels by counting, and ridge regression as one least-squares problem
+    how = langid.Kernel(bits=9, landmarks=4)
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice(a) for _ in range(5)) for _ in range(r.randint(2, 9))) for a in ("abcde", "defgh", "ghiab") for _ in range(12)]
+    names = np.array([n for n in ("x", "y", "z") for _ in range(12)])
+
+    def features(text):
+        out, c = set(), [ord(x) for x in text.lower()]
+        for n in how.grams:
+            for i in range(len(c) - n + 1):
+                h = c[i] + n
+                for k in range(1, n):
+                    h = (h * 0x100000001B3 + c[i + k]) % 2**64
+                out.add((h * 0x9E3779B97F4A7C15) % 2**64 >> (64 - how.bits))
+        return out
+
+    sets = [features(t) for t in texts]
+    marks = [i for n in "xyz" for i in np.flatnonzero(names == n)[:4]]
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    to = np.array([[k(a, sets[m]) for m in marks] for a in sets])
+    own = to[marks]
+    y, each = (names[:, None] == np.array(["x", "y", "z"])).astype(float), 1 / 12
+    # phi = to @ own^(-1/2): the penalty on the whitened weights is that on own^(1/2) beta
+    value, vector = np.linalg.eigh(own)
+    root = vector @ np.diag(np.sqrt(np.maximum(value, 0))) @ vector.T
+    beta = np.linalg.lstsq(np.vstack([to * np.sqrt(each), root * np.sqrt(how.ridge / 3)]), np.vstack([y * np.sqrt(each), np.zeros((len(marks), 3))]), rcond=None)[0]
+    model = langid.fit(names, langid.present(texts, how), how)
+    got = langid._kernel(langid.present(texts, how), model.landmarks, model.sizes) @ model.weights
+    assert model.languages == ["x", "y", "z"] and np.allclose(got, to @ beta, atol=1e-3)
+
+
 @pytest.mark.parametrize("name", ["op1_warc", "op3_near_duplicates", "op7_chat"])
 def test_sql(spark, small, name):
     import duckdb

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,13 +24,15 @@ LETTER = re.compile(r"[^\W\d_]")
 @dataclass(frozen=True)
 class Kernel:
     """grams: lengths of the n-grams. bits: of a hashed gram. rows: labelled documents of each language that are learned from,
-    about; landmarks: of them, per language. languages: the most that are learned, the commonest. ridge: of the regression."""
+    about; landmarks: of them, per language. all_rows, all_landmarks: what both come to together, about, so that they shrink where there are very many
+    languages; each has one at least. ridge: of the regression."""
 
     grams: tuple[int, ...] = (1, 2, 3)
     bits: int = 14
     rows: int = 500
     landmarks: int = 40
-    languages: int = 500
+    all_rows: int = 100_000
+    all_landmarks: int = 4000
     ridge: float = 1e-2
     batch: int = 256
     seed: int = 5
@@ -91,12 +93,14 @@ def learn(docs: DataFrame, how: Kernel = Kernel()) -> Model | None:
     Which documents of a language are learned from follows a hash of the doc_id; the presence bits of those few reach the driver.
     """
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).filter(F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(how.languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     if not counts:
         return None
+    share = lambda most, whole: max(1, min(most, whole // len(counts)))
+    how = replace(how, rows=share(how.rows, how.all_rows), landmarks=share(how.landmarks, how.all_landmarks))
     dice = F.pmod(F.xxhash64(F.lit(how.seed), "doc_id"), F.lit(1 << 40))
     under = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, how.rows / r["n"]) * (1 << 40)))]), F.col("lang"))
-    sample = known.filter(F.col("lang").isin([r["lang"] for r in counts])).filter(dice < under).select("doc_id", "lang", "text")
+    sample = known.filter(dice < under).select("doc_id", "lang", "text")
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -17,6 +17,8 @@ from .common import Workspace
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always stored as responses.
 REVISIT_FROM = 100
+#: The date of records whose rows have none.
+DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -37,18 +39,20 @@ def _safe(value: Column) -> Column:
     return F.replace(F.replace(F.replace(value, F.lit("%0"), F.lit("%250")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
-def _header(page_id: Column, url: Column, digest: Column, size: Column, refers_to: Column) -> Column:
-    """A record's header with the empty line that ends it. A revisit's block is empty."""
-    revisit = refers_to.isNotNull()
+def _header(page_id: Column, row: Column, url: Column, digest: Column, size: Column, first: Column, date: str) -> Column:
+    """A record's header with the empty line that ends it. A revisit's block is empty. first(page_id, row): what it revisits, else null."""
+    revisit = first.isNotNull()
     number = lambda x: F.coalesce(x.cast("string"), F.lit("none"))
-    urn = lambda x: F.concat(F.lit("<urn:page:"), number(x), F.lit(">"))
+    # the row's number tells records of one page apart
+    urn = lambda page, row: F.concat(F.lit("<urn:page:"), number(page), F.lit(":"), row.cast("string"), F.lit(">"))
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", urn(page_id)),
+        _line("WARC-Record-ID", urn(page_id, row)),
+        _line("WARC-Date", F.lit(date)),
         F.when(url.isNotNull(), _line("WARC-Target-URI", _safe(url))).otherwise(F.lit("")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
-        F.when(revisit, F.concat(_line("WARC-Refers-To", urn(refers_to)), _line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(_line("WARC-Refers-To", urn(first["page_id"], first["row"])), _line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         _line("WARC-Payload-Length", number(size)),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
         _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(number(size))),
@@ -56,25 +60,26 @@ def _header(page_id: Column, url: Column, digest: Column, size: Column, refers_t
     )
 
 
-def write(ws: Workspace, pages: DataFrame) -> Archive:
+def write(ws: Workspace, pages: DataFrame, date: str = DATE) -> Archive:
     """Archive every row of pages(page_id, url, html); other columns are ignored.
 
     A null html is an empty payload; a null url gives a record without a target. Of rows with equal payloads of at
     least 100 bytes the one with the smallest page_id is the response (rows repeated under that page_id
-    are responses too) and the others revisit it; null page_ids are always responses. Empty: no records.
+    are responses too) and the others revisit it; null page_ids are always responses. Very long payloads are stored whole. Empty: no records.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     size = F.octet_length("payload").cast("long").alias("payload_bytes")
     read = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    heads = ws.save(read.select("page_id", "url", "payload_digest", size), "heads")
+    heads = ws.save(read.select("page_id", "url", "payload_digest", size, F.monotonically_increasing_id().alias("row")), "heads")
     # copies combine before they are shuffled, so each task sends a content once
-    payloads = ws.save(read.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.any_value("payload").alias("payload")), "payloads")
-    refers_to = F.when((F.col("payload_bytes") >= REVISIT_FROM) & (F.col("page_id") > F.col("first")), F.col("first"))
-    told = heads.join(payloads.select("payload_digest", "first"), "payload_digest").withColumn("refers_to", refers_to)
-    header = _header(F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.col("refers_to"))
-    records = ws.save(told.select(F.encode(header, "UTF-8").alias("header"), "payload_digest", F.col("refers_to").isNull().alias("full")), "records")
+    payloads = ws.save(read.groupBy("payload_digest").agg(F.any_value("payload").alias("payload")), "payloads")
+    firsts = heads.filter("page_id IS NOT NULL").groupBy("payload_digest").agg(F.min(F.struct("page_id", "row")).alias("first"))
+    revisits = (F.col("payload_bytes") >= REVISIT_FROM) & (F.col("page_id") > F.col("first.page_id"))
+    told = heads.join(firsts, "payload_digest", "left").withColumn("first", F.when(revisits, F.col("first")))
+    header = _header(*map(F.col, ("page_id", "row", "url", "payload_digest", "payload_bytes", "first")), date)
+    records = ws.save(told.select(F.encode(header, "UTF-8").alias("header"), "payload_digest", F.col("first").isNull().alias("full")), "records")
     ws.drop(heads)
-    return Archive(payloads.select("payload_digest", "payload"), records)
+    return Archive(payloads, records)
 
 
 def verified(archive: Archive) -> DataFrame:
@@ -100,7 +105,7 @@ def parse(records: DataFrame) -> DataFrame:
     end = F.locate(CRLF + CRLF, text)
     a = records.withColumn("_head", F.substring(text, F.lit(1), end + 1))
     field = lambda name, what="[^\r]*": F.regexp_extract("_head", f"\r\n{name}: ({what})\r\n", 1)
-    urn = lambda name: F.regexp_extract("_head", f"\r\n{name}: <urn:page:(-?[0-9]+)>", 1)
+    urn = lambda name: F.regexp_extract("_head", f"\r\n{name}: <urn:page:(-?[0-9]+):[0-9]+>", 1)
     number = lambda x: F.when(x != "", x).cast("long")
     a = a.withColumn("_block", F.substring("record", F.octet_length(F.encode("_head", "UTF-8")) + 3, F.octet_length("record")))
     response = field("WARC-Type") == "response"
@@ -116,5 +121,5 @@ def parse(records: DataFrame) -> DataFrame:
 
 
 def export(archive: Archive, path: str) -> None:
-    """Write the records as .warc.gz-like text files: each is its bytes and two line ends. Payloads are UTF-8."""
-    restore(archive).select(F.decode("record", "UTF-8")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    """Write the records as WARC files (not compressed): each is its bytes and two line ends. Payloads are UTF-8."""
+    restore(archive).select(F.decode("record", "UTF-8")).write.option("lineSep", CRLF + CRLF).option("compression", "none").text(path)
