@@ -24,6 +24,8 @@ KINDS = {
 }
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 SPANS = "array<struct<start:int,k:int,end:int>>"
+#: Up to so many rows, of a term or a hash, a join sends them to every task.
+SENT = 200_000
 
 
 @dataclass(frozen=True)
@@ -116,6 +118,11 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """rows, marked to be sent to every task if their number is within bounds."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def _terms(text: Column, how: Disclosure) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}{{{how.letters},}})"), F.lit(1)))
 
@@ -159,8 +166,12 @@ def disclosing(ws: Workspace, docs: DataFrame, found: DataFrame, how: Disclosure
     pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("docs_et"), F.count_distinct("digest").alias("texts_et"))
     pairs = pairs.filter(F.col("docs_et") >= how.contexts)
     pairs = ws.save(pairs.join(spread, "entity"), "pairs")
+    # a text that stands in m rows counts as an m-th in each, so that tasks add up before anything is shuffled
+    copies = ws.save(found.groupBy("digest").agg(F.count("*").alias("m")).filter("m > 1"), "copies")
     said = F.coalesce("text", F.lit(""))
-    spoken = docs.select(F.xxhash64(said).alias("digest"), F.explode(_terms(said, how)).alias("term")).groupBy("term").agg(F.count_distinct("digest").alias("texts_t"))
+    spoken = docs.select(F.xxhash64(said).alias("digest"), _terms(said, how).alias("terms")).join(sent(copies), "digest", "left")
+    spoken = spoken.select((1 / F.coalesce("m", F.lit(1))).alias("part"), F.explode("terms").alias("term"))
+    spoken = spoken.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("texts_t"))
     joint = pairs.join(spoken, "term")
     docs_t = F.col("docs_et") + F.col("texts_t") - F.col("texts_et")
     content = -F.log2(F.col("docs_e") / (texts - F.col("texts_e") + F.col("docs_e")))
@@ -169,9 +180,6 @@ def disclosing(ws: Workspace, docs: DataFrame, found: DataFrame, how: Disclosure
     return ws.save(worst.select("term", (F.col("share") >= how.remove).alias("removed")), "risky")
 
 
-#: Up to so many terms a join sends them to every task.
-SMALL = 20_000
-
 
 def learn(ws: Workspace, docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """The terms of docs(doc_id, text) that give entities away."""
@@ -184,7 +192,7 @@ def apply(ws: Workspace, docs: DataFrame, risky: DataFrame, how: Disclosure = Di
     found = find(docs)
     text = F.coalesce("text", F.lit(""))
     said = docs.select(F.xxhash64("doc_id", text).alias("_row"), F.explode(_terms(text, how)).alias("term"))
-    hits = said.join(F.broadcast(risky) if risky.count() <= SMALL else risky, "term")
+    hits = said.join(sent(risky), "term")
     names = lambda on: F.array_sort(F.collect_set(F.when(on, F.col("term"))))
     hits = ws.save(hits.groupBy("_row").agg(names(~F.col("removed")).alias("_general"), names(F.col("removed")).alias("_gone")), "hits")
 
