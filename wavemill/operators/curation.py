@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,17 +14,22 @@ def replay(log: DataFrame) -> DataFrame:
     return log.groupBy("spike_id").agg(F.max(F.when(~F.col("undone"), F.struct("seq", "label"))).alias("last")).select("spike_id", F.col("last.label").alias("label"))
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; where it is unset, a session on one machine (tests) gets a folder, and a cluster an error."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp())
+
+
 def groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, root of edges(a, b): connected groups, each named by its smallest node.
 
     Labels spread to neighbours and then jump to their own label's label until none moves. Each round is written to
     the checkpoint directory, which cuts the lineage.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")).checkpoint()
     for _ in range(rounds):
@@ -36,21 +44,32 @@ def groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
-    """cluster, change of two label tables (spike_id, cluster): clusters that came, went or hold other spikes."""
-    held = lambda df, n: df.groupBy("cluster").agg(F.count("*").alias(f"n_{n}"), F.sum("spike_id").alias(f"s_{n}"))
-    both = held(before, "a").join(held(after, "b"), "cluster", "full")
-    same = (F.col("n_a") == F.col("n_b")) & (F.col("s_a") == F.col("s_b"))
-    change = F.when(F.col("n_a").isNull(), "new").when(F.col("n_b").isNull(), "gone").when(~same, "changed")
-    return both.select("cluster", change.alias("change")).filter("change IS NOT NULL")
+    """cluster, change of two label tables (spike_id, cluster): clusters that came, went or hold other spikes, spike by spike."""
+    both = before.join(after.select("spike_id", F.col("cluster").alias("now")), "spike_id", "full")
+    sides = F.explode(F.array(F.struct(F.col("cluster").alias("c"), F.lit(True).alias("was")), F.struct(F.col("now").alias("c"), F.lit(False).alias("was"))))
+    held = both.select(sides.alias("s"), (~F.col("cluster").eqNullSafe(F.col("now"))).alias("moved")).filter("s.c IS NOT NULL")
+    held = held.groupBy(F.col("s.c").alias("cluster")).agg(F.bool_or("s.was").alias("was"), F.bool_or(~F.col("s.was")).alias("still"), F.bool_or("moved").alias("moved"))
+    return held.filter("moved").select("cluster", F.when(~F.col("was"), "new").when(~F.col("still"), "gone").otherwise("changed").alias("change"))
+
+
+def inside(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether the point lies in the polygon: a ray to the right crosses its edges an odd number of times."""
+    odd = F.lit(False)
+    for (x0, y0), (x1, y1) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        if y0 != y1:  # a level edge is never crossed
+            crosses = ((F.lit(float(y0)) > y) != (F.lit(float(y1)) > y)) & (x < (x1 - x0) * (y - float(y0)) / (y1 - y0) + x0)
+            odd = odd != crosses
+    return odd
 
 
 def tree_depths(nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, depth, top of nodes(node, parent): each node's distance from its tree's top, by doubling the step up each round."""
-    state = nodes.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    """node, depth, top of nodes(node, parent): each node's distance from its tree's top, by doubling the step up each round, each written as a checkpoint."""
+    checkpoint_dir(nodes.sparkSession)
+    state = nodes.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")).checkpoint()
     for _ in range(rounds):
         above = state.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
         new = state.join(above, "up").select("node", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        new = new.persist()
+        new = new.checkpoint()
         if new.filter("moved").isEmpty():
             return new.select("node", "depth", F.col("up").alias("top"))
         state = new.drop("moved")

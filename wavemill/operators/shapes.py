@@ -6,9 +6,16 @@ summaries are small, never between spikes.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .curation import checkpoint_dir
+
 
 def central_moments(x: str = "x") -> dict[str, Column]:
     """Mean, population deviation and excess kurtosis (0 where the deviation is)."""
@@ -52,3 +59,51 @@ def gini(rows: DataFrame, by: str, size: str) -> DataFrame:
     i = F.row_number().over(w.orderBy(size))
     rows = rows.withColumn("_c", (2 * i - F.count("*").over(w) - 1) * F.col(size))
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum("_c") / (F.count("*") * F.sum(size)), 6).alias("gini"), F.max(size).alias("largest"))
+
+
+def covariances(rows: DataFrame, column: str) -> DataFrame:
+    """cluster, i, j, n, cov of every pair i <= j of entries of an array column. Rows are taken from their cluster's mean; each task adds up products
+    per cluster and Spark adds the tasks'."""
+    mean = rows.select("cluster", F.posexplode(column).alias("d", "x")).groupBy("cluster", "d").agg(F.avg("x").alias("m"))
+    mean = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda p: p["m"]).alias("_m"))
+    off = rows.join(mean, "cluster").select("cluster", F.zip_with(column, "_m", lambda x, m: x - m).alias("_x"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        counts: Counter = Counter()
+        for batch in batches:
+            for c, part in batch.groupby("cluster")["_x"]:
+                x = np.stack(part.to_numpy())
+                sums[c] = sums.get(c, 0) + x.T @ x
+                counts[c] += len(x)
+        for c, m in sums.items():
+            i, j = np.triu_indices(len(m))
+            yield pd.DataFrame({"cluster": c, "i": i, "j": j, "n": counts[c], "s": m[i, j]})
+
+    got = off.mapInPandas(run, "cluster long, i long, j long, n long, s double").groupBy("cluster", "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return got.select("cluster", "i", "j", "n", (F.col("s") / (F.col("n") - 1)).alias("cov"))
+
+
+def kth_smallest(rows: DataFrame, by: str, value: str, k: str, parts: int = 256) -> DataFrame:
+    """by, value: of each group its k-th smallest value (k: a column, the same within a group; fewer values give no row).
+
+    Values fall into equal parts of the group's range, the part with the k-th is found by counting, and only that part is ranked.
+    """
+    ends = rows.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (parts - 1))).otherwise(0)
+    a = rows.join(ends, by).withColumn("_part", at)
+    w = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = a.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.first(k).alias("_k")).withColumn("_upto", F.sum("_n").over(w))
+    hit = counts.filter("_upto >= _k AND _upto - _n < _k").select(by, "_part", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_k"))
+    i = F.row_number().over(Window.partitionBy(by).orderBy(value))
+    return a.join(hit, [by, "_part"]).withColumn("_i", i).filter("_i = _k").select(by, value)
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with name: their place in the whole order, from 0. Range partitions are counted, then numbered one by one with what lies before them."""
+    checkpoint_dir(rows.sparkSession)
+    a = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    each = a.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")  # a row per partition
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return a.withColumn("_i", own).join(each.select("_p", before.alias("_b")), "_p").withColumn(name, F.col("_i") + F.col("_b") - 1).drop("_p", "_i", "_b")

@@ -68,3 +68,11 @@ def windows_around(traces: DataFrame, events: DataFrame, before: int, after: int
     e = events.select("session", "ch", F.col("sample").alias("at"), F.explode(F.sequence(F.col("sample") - before, F.col("sample") + after - 1)).alias("sample"))
     got = e.join(traces, ["session", "ch", "sample"]).groupBy("session", "ch", "at").agg(F.array_sort(F.collect_list(F.struct("sample", "x"))).alias("w"))
     return got.select("session", "ch", F.col("at").alias("sample"), F.transform("w", lambda p: p["x"]).alias("waveform"))
+
+
+def upper_median(values: DataFrame, by: list[str]) -> DataFrame:
+    """by, x: the n // 2-th of each group's x in order. Equal values are counted first, so a group is no more rows than it has values."""
+    w = Window.partitionBy(*by)
+    counts = values.groupBy(*by, "x").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(w)}).filter("_upto > _all div 2").groupBy(*by).agg(F.min("x").alias("x"))

@@ -44,16 +44,17 @@ def lineage_tree(spark: SparkSession, d: str) -> DataFrame:
     return C.tree_depths(table(spark, d, "customer").select(c.alias("node"), F.when(c != 1, parent).alias("parent")))
 
 
-@query(sql("(SELECT cluster FROM spikes WHERE grp = 'click' AND t < 1704300000 INTERSECT SELECT cluster FROM spikes WHERE grp = 'view' AND t < 1704300000) EXCEPT SELECT cluster FROM spikes WHERE grp = 'error' AND t < 1704300000", "spikes"))
+@query(sql(", u AS (SELECT cluster, t // 86400 % 3 AS part, grp FROM spikes) (SELECT DISTINCT cluster, part FROM u WHERE grp = 'click' INTERSECT SELECT cluster, part FROM u WHERE grp = 'view') EXCEPT SELECT cluster, part FROM u WHERE grp = 'error'", "spikes"))
 def id_sets(spark: SparkSession, d: str) -> DataFrame:
-    s = spikes(spark, d).filter("t < 1704300000")
-    of = lambda g: s.filter(F.col("grp") == g).select("cluster")
+    """Units with clicks and views but no errors, of every third day."""
+    s = spikes(spark, d).withColumn("part", F.expr("t div 86400 % 3"))
+    of = lambda g: s.filter(F.col("grp") == g).select("cluster", "part")
     return of("click").intersect(of("view")).subtract(of("error"))
 
 
 @query(sql(""", b AS (SELECT spike_id, CASE WHEN cluster = 4 THEN 5 WHEN cluster = 6 AND spike_id % 2 = 0 THEN 11 ELSE cluster END AS cluster FROM features),
-    x AS (SELECT cluster, count(*) AS n, sum(spike_id) AS s FROM features GROUP BY cluster), y AS (SELECT cluster, count(*) AS n, sum(spike_id) AS s FROM b GROUP BY cluster)
-    SELECT coalesce(x.cluster, y.cluster) AS cluster, CASE WHEN x.n IS NULL THEN 'new' WHEN y.n IS NULL THEN 'gone' ELSE 'changed' END AS change FROM x FULL JOIN y ON x.cluster = y.cluster WHERE x.n IS DISTINCT FROM y.n OR x.s IS DISTINCT FROM y.s""", "features"))
+    m AS (SELECT unnest([f.cluster, b.cluster]) AS cluster FROM features f JOIN b USING (spike_id) WHERE f.cluster <> b.cluster)
+    SELECT DISTINCT cluster, CASE WHEN cluster NOT IN (SELECT cluster FROM features) THEN 'new' WHEN cluster NOT IN (SELECT cluster FROM b) THEN 'gone' ELSE 'changed' END AS change FROM m""", "features"))
 def changed_clusters(spark: SparkSession, d: str) -> DataFrame:
     before = features(spark, d).select("spike_id", "cluster")
     c = F.col("cluster")
@@ -82,21 +83,21 @@ def rename_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.regexp_replace("event_type", "^(click|view)$", "ui_$1").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query(sql(""", m AS (SELECT spike_id, cluster, d % 6 AS class, CASE WHEN abs(x) > 2000 THEN x // 1000 END AS off FROM fx WHERE d < 6), g AS (SELECT spike_id, CASE WHEN class = 5 THEN 4 ELSE class END AS class, min(off) AS off FROM m WHERE off IS NOT NULL AND class <> 3 GROUP BY ALL)
+@query(sql(""", m AS (SELECT spike_id, d % 6 AS class, CASE WHEN abs(x) > 2000 THEN x // 1000 END AS off FROM fx), g AS (SELECT spike_id, CASE WHEN class = 5 THEN 4 ELSE class END AS class, min(off) AS off FROM m WHERE off IS NOT NULL AND class <> 3 GROUP BY ALL)
     SELECT class, count(*) AS members, CAST(sum(off) AS BIGINT) AS offsets FROM g GROUP BY class""", "fx"))
 def class_membership(spark: SparkSession, d: str) -> DataFrame:
     """A multi-label bridge table with a class deleted and two merged."""
-    m = feature_values(spark, d).filter("d < 6").select("spike_id", F.col("d").alias("class"), F.when(F.abs("x") > 2000, F.expr("x div 1000")).alias("off"))
+    m = feature_values(spark, d).select("spike_id", (F.col("d") % 6).alias("class"), F.when(F.abs("x") > 2000, F.expr("x div 1000")).alias("off"))
     g = m.filter("off IS NOT NULL AND class <> 3").withColumn("class", F.when(F.col("class") == 5, 4).otherwise(F.col("class"))).groupBy("spike_id", "class").agg(F.min("off").alias("off"))
     return g.groupBy("class").agg(F.count("*").alias("members"), F.sum("off").alias("offsets"))
 
 
-@query(sql("SELECT spike_id, cluster, fet[1] AS x, fet[2] AS y FROM features WHERE (fet[1] BETWEEN -800 AND 900) AND (fet[2] BETWEEN -1000 AND 1200) AND fet[1] + fet[2] > -500 AND spike_id BETWEEN 50 AND 400", "features"))
+@query(sql(""", v AS (SELECT * FROM (VALUES (0, -900.0, -1100.0), (1, 1000.0, -700.0), (2, 200.0, 100.0), (3, 900.0, 1300.0), (4, -700.0, 1200.0)) v(i, x, y)), e AS (SELECT a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM v a JOIN v b ON b.i = (a.i + 1) % 5)
+    SELECT spike_id, cluster, fet[1] AS x, fet[2] AS y FROM features, e GROUP BY ALL HAVING count(*) FILTER ((y0 > fet[2]) <> (y1 > fet[2]) AND fet[1] < (x1 - x0) * (fet[2] - y0) / (y1 - y0) + x0) % 2 = 1""", "features"))
 def polygon_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Spikes within a convex polygon of two features and a scope of time."""
+    """Spikes within a polygon, not convex, of two features."""
     x, y = F.get("fet", 0), F.get("fet", 1)
-    inside = x.between(-800, 900) & y.between(-1000, 1200) & (x + y > -500) & F.col("spike_id").between(50, 400)
-    return features(spark, d).filter(inside).select("spike_id", "cluster", x.alias("x"), y.alias("y"))
+    return features(spark, d).filter(C.inside(x, y, [(-900, -1100), (1000, -700), (200, 100), (900, 1300), (-700, 1200)])).select("spike_id", "cluster", x.alias("x"), y.alias("y"))
 
 
 @query(sql("SELECT cluster, count(*) FILTER (len(fet) <> 64) AS short, count(*) FILTER (cluster < 0 OR cluster > 16777115) AS reserved, count(*) FILTER (list_max(list_transform(fet, lambda x: abs(x))) > 32767) AS saturated, count(*) AS n FROM features GROUP BY cluster", "features"))

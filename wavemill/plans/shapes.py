@@ -55,10 +55,10 @@ def mad_scale(spark: SparkSession, d: str) -> DataFrame:
     return P.median_and_mad(feature_values(spark, d), ["cluster", "d"]).select("cluster", "d", F.round("med", 4).alias("med"), F.round("mad", 4).alias("mad"))
 
 
-@query(sql(", f AS (SELECT cluster, fet[1] AS a, fet[2] AS b, fet[3] AS c FROM features) SELECT cluster, count(*) AS n, round(covar_samp(a, b), 2) AS ab, round(covar_samp(a, c), 2) AS ac, round(covar_samp(b, c), 2) AS bc, round(var_samp(a), 2) AS aa FROM f GROUP BY cluster", "features"))
+@query(sql(", m AS (SELECT cluster, d, avg(x) AS m FROM fx GROUP BY cluster, d), c AS (SELECT fx.spike_id, fx.cluster, fx.d, x - m AS x FROM fx JOIN m ON fx.cluster = m.cluster AND fx.d = m.d) SELECT a.cluster, a.d AS i, b.d AS j, count(*) AS n, round(sum(a.x * b.x) / (count(*) - 1), 4) AS cov FROM c a JOIN c b ON a.spike_id = b.spike_id AND a.d <= b.d GROUP BY a.cluster, a.d, b.d", "fx"))
 def cluster_covariance(spark: SparkSession, d: str) -> DataFrame:
-    f = features(spark, d).select("cluster", *[F.get("fet", i).alias(n) for i, n in enumerate("abc")])
-    return f.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.covar_samp("a", "b"), 2).alias("ab"), F.round(F.covar_samp("a", "c"), 2).alias("ac"), F.round(F.covar_samp("b", "c"), 2).alias("bc"), F.round(F.var_samp("a"), 2).alias("aa"))
+    """All cells (i <= j) of every cluster's covariance (n - 1)."""
+    return P.covariances(features(spark, d), "fet").select("cluster", "i", "j", "n", F.round("cov", 4).alias("cov"))
 
 
 @query(sql("SELECT cluster, round((count(*) + CASE WHEN cluster = 0 THEN 1 ELSE 0 END) / (sum(count(*)) OVER () + 1), 9) AS weight FROM features GROUP BY cluster", "features"))
@@ -111,8 +111,7 @@ def isolation_distance(spark: SparkSession, d: str) -> DataFrame:
     """Per cluster of n spikes the n-th smallest distance of others' spikes."""
     x = feature_values(spark, d).join(_models(spark, d), "d").filter("cluster <> m AND cluster > 1")
     dist = x.groupBy("spike_id", "m").agg(F.first("k").alias("k"), F.sum((F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")) / F.col("v")).alias("dist"))
-    i = F.row_number().over(Window.partitionBy("m").orderBy("dist"))
-    return dist.withColumn("i", i).filter("i = k").select(F.col("m").alias("cluster"), F.round("dist", 4).alias("isolation"))
+    return P.kth_smallest(dist, "m", "dist", "k").select(F.col("m").alias("cluster"), F.round("dist", 4).alias("isolation"))
 
 
 @query(sql(", v AS (SELECT cluster, d, var_samp(x) AS v FROM fx GROUP BY cluster, d) SELECT cluster, round(power(sum(v), 2) / sum(v * v), 6) AS dimensions FROM v GROUP BY cluster", "fx"))
@@ -145,11 +144,12 @@ def bimodality(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql(""", e AS (SELECT min(fet[1]) AS x0, max(fet[1]) AS x1, min(fet[2]) AS y0, max(fet[2]) AS y1 FROM features)
-    SELECT (fet[1] - x0) * 31 // (x1 - x0) AS x, (fet[2] - y0) * 31 // (y1 - y0) AS y, count(*) AS n FROM features, e GROUP BY ALL""", "features"))
+    SELECT (fet[1] - x0) * 255 // (x1 - x0) AS x, (fet[2] - y0) * 255 // (y1 - y0) AS y, count(*) AS n FROM features, e GROUP BY ALL""", "features"))
 def histogram2d(spark: SparkSession, d: str) -> DataFrame:
+    """A grid of 256 x 256 over two features."""
     f = features(spark, d).select(F.get("fet", 0).alias("a"), F.get("fet", 1).alias("b"))
     e = f.agg(F.min("a").alias("x0"), F.max("a").alias("x1"), F.min("b").alias("y0"), F.max("b").alias("y1"))
-    return f.join(F.broadcast(e)).groupBy(F.expr("(a - x0) * 31 div (x1 - x0)").alias("x"), F.expr("(b - y0) * 31 div (y1 - y0)").alias("y")).agg(F.count("*").alias("n"))
+    return f.join(F.broadcast(e)).groupBy(F.expr("(a - x0) * 255 div (x1 - x0)").alias("x"), F.expr("(b - y0) * 255 div (y1 - y0)").alias("y")).agg(F.count("*").alias("n"))
 
 
 @query(sql(", m AS (SELECT cluster, ch, max(x) - min(x) AS a FROM wx GROUP BY cluster, ch) SELECT cluster, round(sum(a * ch) / sum(a), 6) AS centre, round(sum(a * a * ch) / sum(a * a), 6) AS centre_squared FROM m GROUP BY cluster", "wx"))
@@ -175,13 +175,13 @@ def uniformity(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("spike_id").agg(F.max("p").alias("peak"), F.round(F.avg("sd") / F.sqrt(F.sum("e") / F.sum("n")), 6).alias("score"))
 
 
-@query(sql(", m AS (SELECT cluster, d, avg(x) AS m, stddev_pop(x) AS sd FROM fx GROUP BY cluster, d) SELECT spike_id, fx.cluster, round(max(abs(x - m) / sd), 6) AS worst, CASE WHEN max(abs(x - m) / sd) > 3 THEN 0 ELSE fx.cluster END AS label FROM fx JOIN m ON fx.cluster = m.cluster AND fx.d = m.d GROUP BY spike_id, fx.cluster", "fx"))
+@query(sql(", m AS (SELECT cluster, d, avg(x) AS m, stddev_pop(x) AS sd FROM fx GROUP BY cluster, d) SELECT spike_id, fx.cluster, round(max(abs(x - m) / sd), 6) AS worst, CASE WHEN max(abs(x - m) / sd) > 5 THEN 0 ELSE fx.cluster END AS label FROM fx JOIN m ON fx.cluster = m.cluster AND fx.d = m.d GROUP BY spike_id, fx.cluster", "fx"))
 def feature_outliers(spark: SparkSession, d: str) -> DataFrame:
     f = feature_values(spark, d)
     m = f.groupBy("cluster", "d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
     worst = F.max(F.abs(F.col("x") - F.col("m")) / F.col("sd"))
     out = f.join(m, ["cluster", "d"]).groupBy("spike_id", "cluster").agg(worst.alias("w"))
-    return out.select("spike_id", "cluster", F.round("w", 6).alias("worst"), F.when(F.col("w") > 3, 0).otherwise(F.col("cluster")).alias("label"))
+    return out.select("spike_id", "cluster", F.round("w", 6).alias("worst"), F.when(F.col("w") > 5, 0).otherwise(F.col("cluster")).alias("label"))
 
 
 @query(sql("SELECT spike_id, cluster FROM features WHERE cluster > 0", "features"))
@@ -248,11 +248,11 @@ def renumber_by_count(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cluster", "n", F.when(F.col("cluster") < 2, F.col("cluster")).otherwise(rank).cast("long").alias("renumbered"))
 
 
-@query(sql(", f AS (SELECT cluster, min(t) AS first_t FROM spikes WHERE cluster % 3 = 0 GROUP BY cluster) SELECT cluster, first_t, row_number() OVER (ORDER BY first_t, cluster) + 1 AS by_time, dense_rank() OVER (ORDER BY cluster) + 1 AS contiguous FROM f", "spikes"))
+@query(sql(", f AS (SELECT cluster, min(t) AS first_t FROM spikes GROUP BY cluster) SELECT cluster, first_t, row_number() OVER (ORDER BY first_t, cluster) + 1 AS by_time, row_number() OVER (ORDER BY cluster) + 1 AS contiguous FROM f", "spikes"))
 def renumber_by_time(spark: SparkSession, d: str) -> DataFrame:
-    f = spikes(spark, d).filter("cluster % 3 = 0").groupBy("cluster").agg(F.min("t").alias("first_t"))
-    one = Window.partitionBy(F.lit(0))
-    return f.select("cluster", "first_t", (F.row_number().over(one.orderBy("first_t", "cluster")) + 1).cast("long").alias("by_time"), (F.dense_rank().over(one.orderBy("cluster")) + 1).cast("long").alias("contiguous"))
+    """All clusters by first spike and without gaps, from 2."""
+    f = spikes(spark, d).groupBy("cluster").agg(F.min("t").alias("first_t"))
+    return P.numbered(P.numbered(f, "by_time", "first_t", "cluster"), "contiguous", "cluster").select("cluster", "first_t", (F.col("by_time") + 2).alias("by_time"), (F.col("contiguous") + 2).alias("contiguous"))
 
 
 @query(sql("SELECT count(*) AS n, count(*) FILTER (cluster < 2) AS noise, count(*) FILTER (cluster >= 2) AS good, count(DISTINCT CASE WHEN cluster >= 2 THEN cluster END) AS units FROM features", "features"))

@@ -19,10 +19,8 @@ def median_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(", r AS (SELECT session, ch, abs(x) AS x, row_number() OVER (PARTITION BY session, ch ORDER BY abs(x)) - 1 AS i, count(*) OVER (PARTITION BY session, ch) AS n FROM tx) SELECT session, ch, max(x) AS upper_median FROM r WHERE i = n // 2 GROUP BY session, ch", "tx"))
 def upper_median_threshold(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("session", "ch")
-    r = trace_values(spark, d).select("session", "ch", F.abs("x").alias("x"))
-    r = r.withColumns({"i": F.row_number().over(w.orderBy("x")) - 1, "n": F.count("*").over(w)})
-    return r.filter("i = n div 2").groupBy("session", "ch").agg(F.max("x").alias("upper_median"))
+    """The n // 2-th value, without averaging, from a histogram of the whole numbers that occur: channels are counted before they are ranked."""
+    return S.upper_median(trace_values(spark, d).select("session", "ch", F.abs("x").alias("x")), ["session", "ch"]).withColumnRenamed("x", "upper_median")
 
 
 @query(sql(""", f AS (SELECT *, list(x) OVER w AS l FROM tx WINDOW w AS (PARTITION BY session, ch ORDER BY sample ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
@@ -99,7 +97,7 @@ def extract_channels(spark: SparkSession, d: str) -> DataFrame:
     return traces(spark, d).filter(F.col("sample").between(100, 199)).select("session", "sample", F.round(at(0) * 1.5, 6).alias("a"), (at(2) - at(0)).alias("b"), (-at(3)).alias("c"))
 
 
-@query(sql(", a AS (SELECT session, sample, [xs[4], xs[3]] AS u FROM traces), b AS (SELECT session, sample, [xs[1]] AS v FROM traces WHERE sample < 500) SELECT a.session, a.sample, u[1] AS c0, u[2] AS c1, v[1] AS c2 FROM a JOIN b ON a.session = b.session AND a.sample = b.sample", "traces"))
+@query(sql(", a AS MATERIALIZED (SELECT session, sample, xs[4] AS c0, xs[3] AS c1, xs[1] AS c2 FROM traces), b AS MATERIALIZED (SELECT session, sample, c2 FROM a WHERE sample < 500) SELECT a.session, a.sample, a.c0, a.c1, b.c2 FROM a JOIN b USING (session, sample)", "traces"))
 def merge_channels(spark: SparkSession, d: str) -> DataFrame:
     """Reordered channels of one record beside another's, cut to the shorter."""
     t = traces(spark, d)
@@ -118,9 +116,9 @@ def concatenate_sessions(spark: SparkSession, d: str) -> DataFrame:
     return t.join(o, "session").select("session", "sample", (F.col("o") + F.col("sample")).alias("at"))
 
 
-@query(sql(", l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 45) AS b FROM tx WHERE ch = 0) SELECT session, ch, sample, x FROM l WHERE x > 45 AND b <= 45", "tx"))
+@query(sql(", l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 45) AS b FROM tx) SELECT session, ch, sample, x FROM l WHERE x > 45 AND b <= 45", "tx"))
 def threshold_crossings(spark: SparkSession, d: str) -> DataFrame:
-    return S.rising(trace_values(spark, d).filter("ch = 0"), 45).select("session", "ch", "sample", "x")
+    return S.rising(trace_values(spark, d), 45).select("session", "ch", "sample", "x")
 
 
 @query(sql(", l AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS a FROM tx WINDOW w AS (PARTITION BY session, ch ORDER BY sample)) SELECT session, ch, sample, x FROM l WHERE abs(x) > 40 AND x >= b AND x > a", "tx"))
@@ -130,32 +128,31 @@ def local_extrema(spark: SparkSession, d: str) -> DataFrame:
     return v.filter("abs(x) > 40 AND x >= b AND x > a").select("session", "ch", "sample", "x")
 
 
-@query(sql(""", l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 45) AS b FROM tx WHERE ch = 0), e AS (SELECT session, sample FROM l WHERE x > 45 AND b <= 45),
-    k AS (SELECT session, min(sample) AS sample FROM e GROUP BY session UNION ALL SELECT k.session, (SELECT min(e.sample) FROM e WHERE e.session = k.session AND e.sample > k.sample + 20) FROM k WHERE k.sample IS NOT NULL)
-    SELECT session, sample FROM k WHERE sample IS NOT NULL""", "tx", recursive=True))
+@query(sql(""", l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 45) AS b FROM tx), e AS MATERIALIZED (SELECT session, ch, sample FROM l WHERE x > 45 AND b <= 45),
+    k AS (SELECT session, ch, min(sample) AS sample FROM e GROUP BY session, ch UNION ALL SELECT k.session, k.ch, (SELECT min(e.sample) FROM e WHERE e.session = k.session AND e.ch = k.ch AND e.sample > k.sample + 20) FROM k WHERE k.sample IS NOT NULL)
+    SELECT session, ch, sample FROM k WHERE sample IS NOT NULL""", "tx", recursive=True))
 def refractory_detection(spark: SparkSession, d: str) -> DataFrame:
-    """Crossings without those within 20 samples of the last one kept."""
-    return S.refractory(S.rising(trace_values(spark, d).filter("ch = 0"), 45), 20).select("session", "sample")
+    """Crossings of each channel without those within 20 samples of the last one kept."""
+    return S.refractory(S.rising(trace_values(spark, d), 45), 20).select("session", "ch", "sample")
 
 
-@query(sql(""", l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 49) AS b FROM tx WHERE ch = 0), e AS (SELECT session, sample FROM l WHERE x > 49 AND b <= 49)
-    SELECT e.session, e.sample, count(*) AS n, CAST(sum(tx.x) AS BIGINT) AS total, min(tx.x) AS low FROM e JOIN tx ON tx.session = e.session AND tx.ch = 0 AND tx.sample >= e.sample - 4 AND tx.sample < e.sample + 8 GROUP BY e.session, e.sample""", "tx"))
+@query(sql(""", l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 49) AS b FROM tx), e AS (SELECT session, ch, sample FROM l WHERE x > 49 AND b <= 49)
+    SELECT e.session, e.ch, e.sample, count(*) AS n, CAST(sum(tx.x) AS BIGINT) AS total, min(tx.x) AS low FROM e JOIN tx ON tx.session = e.session AND tx.ch = e.ch AND tx.sample >= e.sample - 4 AND tx.sample < e.sample + 8 GROUP BY e.session, e.ch, e.sample""", "tx"))
 def extract_waveforms(spark: SparkSession, d: str) -> DataFrame:
-    v = trace_values(spark, d).filter("ch = 0")
+    v = trace_values(spark, d)
     w = S.windows_around(v, S.rising(v, 49), 4, 8)
     total = F.aggregate("waveform", F.lit(0).cast("long"), lambda s, x: s + x)
-    return w.select("session", "sample", F.size("waveform").cast("long").alias("n"), total.alias("total"), F.array_min("waveform").alias("low"))
+    return w.select("session", "ch", "sample", F.size("waveform").cast("long").alias("n"), total.alias("total"), F.array_min("waveform").alias("low"))
 
 
-@query(sql(""", l AS (SELECT *, CASE WHEN x // 10 = lag(x // 10) OVER (PARTITION BY session, ch ORDER BY sample) THEN 0 ELSE 1 END AS new FROM tx WHERE ch = 0), r AS (SELECT session, sum(new) OVER (PARTITION BY session ORDER BY sample) AS run FROM l), n AS (SELECT session, run, count(*) AS n FROM r GROUP BY session, run)
-    SELECT session, max(n) AS longest, count(*) FILTER (n > 3) AS flat_runs FROM n GROUP BY session""", "tx"))
+@query(sql(""", l AS (SELECT *, CASE WHEN x // 10 = lag(x // 10) OVER (PARTITION BY session, ch ORDER BY sample) THEN 0 ELSE 1 END AS new FROM tx), r AS (SELECT session, ch, sum(new) OVER (PARTITION BY session, ch ORDER BY sample) AS run FROM l), n AS (SELECT session, ch, run, count(*) AS n FROM r GROUP BY session, ch, run)
+    SELECT session, ch, max(n) AS longest, count(*) FILTER (n > 3) AS flat_runs FROM n GROUP BY session, ch""", "tx"))
 def flat_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of samples in the same tens."""
-    w = S.over_time()
-    level = F.expr("x div 10")
-    v = trace_values(spark, d).filter("ch = 0").withColumn("l", level)
+    """Runs of samples in the same tens, of each channel."""
+    w = S.over_time("ch")
+    v = trace_values(spark, d).withColumn("l", F.expr("x div 10"))
     v = v.withColumn("new", F.when(F.col("l") == F.lag("l").over(w), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    return v.groupBy("session", "run").agg(F.count("*").alias("n")).groupBy("session").agg(F.max("n").alias("longest"), F.count_if(F.col("n") > 3).alias("flat_runs"))
+    return v.groupBy("session", "ch", "run").agg(F.count("*").alias("n")).groupBy("session", "ch").agg(F.max("n").alias("longest"), F.count_if(F.col("n") > 3).alias("flat_runs"))
 
 
 @query(sql("""SELECT spike_id, CAST(greatest(-32768, least(32767, sign(fet[1] / 2.0) * floor(abs(fet[1] / 2.0) + 0.5))) AS BIGINT) AS away, CAST(round_even(fet[1] / 2.0, 0) AS BIGINT) AS even, CAST(floor(fet[1] / 2.0 + 0.5) AS BIGINT) AS up,
