@@ -107,3 +107,28 @@ def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")  # a row per partition
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return a.withColumn("_i", own).join(each.select("_p", before.alias("_b")), "_p").withColumn(name, F.col("_i") + F.col("_b") - 1).drop("_p", "_i", "_b")
+
+
+def vote(queries: DataFrame, pool: DataFrame, k: int, most: int = 20_000) -> DataFrame:
+    """spike_id, cluster, winner, votes: the cluster most frequent among each query's k nearest rows of the pool, ties to the smaller id.
+
+    The pool are reference rows, up to `most` of them: those with the smallest hashes of their id where there are more, so what is sent to
+    every task is bounded. Distances are squares of whole numbers, ties to the smaller spike_id.
+    """
+    rows = pool.orderBy(F.xxhash64("spike_id"), "spike_id").limit(most).select("spike_id", "cluster", "fet").toPandas().sort_values("spike_id")
+    ids, refs = rows["spike_id"].to_numpy(), rows["cluster"].to_numpy()
+    sent = pool.sparkSession.sparkContext.broadcast((ids, refs, np.stack(rows["fet"].to_numpy()) if len(rows) else np.zeros((0, 0), np.int64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, refs, x = sent.value
+        for batch in batches:
+            out = []
+            for spike, cluster, q in zip(batch["spike_id"], batch["cluster"], batch["fet"], strict=True):
+                if len(ids):
+                    far = ((x - np.asarray(q)) ** 2).sum(1)
+                    near = refs[np.argsort(far, kind="stable")[:k]]
+                    name, votes = np.unique(near, return_counts=True)
+                    out.append((spike, cluster, name[votes.argmax()], votes.max()))
+            yield pd.DataFrame(out, columns=["spike_id", "cluster", "winner", "votes"])
+
+    return queries.select("spike_id", "cluster", "fet").mapInPandas(run, "spike_id long, cluster long, winner long, votes long")

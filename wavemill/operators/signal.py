@@ -13,6 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timing import with_halo
+
+#: Samples of a block: windows over time see a block and what its edges need of the next ones.
+BLOCK = 65_536
+
 
 def over_time(*more: str) -> Window:
     return Window.partitionBy("session", *more).orderBy("sample")
@@ -23,17 +28,19 @@ def median_highpass(values: DataFrame, half: int) -> DataFrame:
 
     The zeros at the edges are as many as the frame lacks, so the median is taken over the frame and those.
     """
-    w = over_time("ch").rowsBetween(-half, half)
+    values = with_halo(values, "sample", half, half, BLOCK)
+    w = over_time("ch", "block").rowsBetween(-half, half)
     frame = F.sort_array(F.concat(F.collect_list("x").over(w), F.array_repeat(F.lit(0).cast("long"), F.lit(2 * half + 1) - F.count("*").over(w).cast("int"))))
-    return values.withColumn("y", F.col("x") - F.get(frame, half))
+    return values.withColumn("y", F.col("x") - F.get(frame, half)).filter("own").drop("block", "own")
 
 
 def fir(values: DataFrame, taps: list[int]) -> DataFrame:
     """values with y: the sum of taps times neighbours, centred, over what there is."""
     half = len(taps) // 2
-    w = over_time("ch")
+    values = with_halo(values, "sample", half, half, BLOCK)
+    w = over_time("ch", "block")
     terms = [F.coalesce(F.lag("x", half - k).over(w), F.lit(0)) * t for k, t in enumerate(taps)]
-    return values.withColumn("y", sum(terms[1:], terms[0]))
+    return values.withColumn("y", sum(terms[1:], terms[0])).filter("own").drop("block", "own")
 
 
 def rising(values: DataFrame, threshold: int) -> DataFrame:

@@ -100,7 +100,46 @@ def merged(intervals: DataFrame, by: str) -> DataFrame:
     return intervals.withColumn("_new", new).withColumn("island", F.sum("_new").over(w)).groupBy(by, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"))
 
 
-def clean(spikes: DataFrame, by: str, n: int) -> Column:
-    """Whether no other spike of the group is in [t - (n - 1), t + n]: a neighbour exactly n later spoils the earlier one alone."""
-    w = Window.partitionBy(by).orderBy("t").rangeBetween(-(n - 1), n)
-    return F.count("*").over(w) == 1
+def with_halo(rows: DataFrame, at: str, before: int, after: int, width: int) -> DataFrame:
+    """rows with block (of `width`, on the column `at`) and own. A row is in its own block and, as halo, in every other whose windows may reach it: those
+    of rows up to `before` later or `after` earlier. Windows over a block's rows then see what they would over all."""
+    of = lambda x: F.floor(x / width)
+    return rows.withColumn("block", F.explode(F.sequence(of(F.col(at) - after), of(F.col(at) + before)))).withColumn("own", F.col("block") == of(F.col(at)))
+
+
+def clean(spikes: DataFrame, by: str, n: int, width: int = 86400) -> DataFrame:
+    """spikes with clean: whether no other spike of the group is in [t - (n - 1), t + n]; a neighbour exactly n later spoils the earlier one alone."""
+    w = Window.partitionBy(by, "block").orderBy("t").rangeBetween(-(n - 1), n)
+    return with_halo(spikes, "t", n - 1, n, width).withColumn("clean", F.count("*").over(w) == 1).filter("own").drop("block", "own")
+
+
+def pairs_at(spikes: DataFrame, by: str, lags: dict[str, tuple[int, int]]) -> DataFrame:
+    """by and, for each name, how many pairs of the group's spikes have a lag within the bounds (both later than 0): counts over ranges, no pairs."""
+    w = Window.partitionBy(by).orderBy("t")
+    counted = spikes.select(by, *[F.count("*").over(w.rangeBetween(*b)).alias(n) for n, b in lags.items()])
+    return counted.groupBy(by).agg(*[F.sum(n).alias(n) for n in lags])
+
+
+def overlaps(intervals: DataFrame, by: str, width: int) -> DataFrame:
+    """a, b (ids, a < b), overlap and together (length of the union) of the intervals [a, b) of a group that share something."""
+    of = lambda x: F.floor(x / width)
+    held = intervals.filter("a < b").withColumn("bucket", F.explode(F.sequence(of(F.col("a")), of(F.col("b") - 1))))
+    x, y = (held.select(F.col(by).alias(f"{n}g"), F.col("bucket").alias(f"{n}k"), F.col("id").alias(n), F.col("a").alias(f"{n}a"), F.col("b").alias(f"{n}b")) for n in ("p", "q"))
+    shared = F.least("pb", "qb") - F.greatest("pa", "qa")
+    first = F.col("pk") == of(F.greatest("pa", "qa"))
+    pairs = x.join(y, (F.col("pg") == F.col("qg")) & (F.col("pk") == F.col("qk")) & (F.col("p") < F.col("q")) & (shared > 0) & first)
+    return pairs.select(F.col("p").alias("a"), F.col("q").alias("b"), shared.alias("overlap"), (F.col("pb") - F.col("pa") + F.col("qb") - F.col("qa") - shared).alias("together"))
+
+
+def bursts_by_block(spikes: DataFrame, by: str, gap: int, width: int = 86400) -> DataFrame:
+    """spikes with first (t, spike_id, cluster of the burst's first spike) and opens (whether it is that one), over runs with gaps of at most `gap`.
+
+    A spike opens a burst if its group has none within the gap before it. The last opening comes from its block or, carried over, from the blocks before.
+    """
+    own = F.struct("t", "spike_id", "cluster")
+    w = Window.partitionBy(by, "block").orderBy("t", "spike_id")
+    a = with_halo(spikes, "t", gap, 0, width).withColumn("opens", F.coalesce(F.col("t") - F.lag("t").over(w) > gap, F.lit(True))).filter("own")
+    a = a.withColumn("_here", F.max(F.when(F.col("opens"), own)).over(w))
+    last = a.groupBy(by, "block").agg(F.max("_here").alias("_last"))
+    last = last.withColumn("_before", F.max("_last").over(Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    return a.join(last.select(by, "block", "_before"), [by, "block"]).withColumn("first", F.coalesce("_here", "_before")).drop("block", "own", "_here", "_before")

@@ -5,27 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import shapes as P
 from ..operators import timing as T
 from ..sources.adapters import feature_values, features, spikes, sql, table, waveform_values
 from .registry import query
 
 
-@query(sql(""", p AS (SELECT q.spike_id, q.cluster, r.cluster AS ref, r.spike_id AS rid, sum((q.x - r.x) ** 2) AS dist FROM fx q JOIN fx r ON q.d = r.d AND q.cluster < 2 AND r.cluster >= 2 WHERE q.d < 8 AND r.d < 8 GROUP BY ALL),
+@query(sql(""", p AS (SELECT q.spike_id, q.cluster, r.cluster AS ref, r.spike_id AS rid, sum((q.x - r.x) ** 2) AS dist FROM fx q JOIN fx r ON q.d = r.d AND q.cluster < 2 AND r.cluster >= 2 GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY spike_id ORDER BY dist, rid) AS i FROM p), v AS (SELECT spike_id, cluster, ref, count(*) AS votes FROM k WHERE i <= 10 GROUP BY ALL)
-    SELECT spike_id, cluster, arg_min(ref, (-votes, ref)) AS winner, max(votes) AS votes, max(votes) >= 4 AS accepted FROM v GROUP BY spike_id, cluster""", "fx"))
+    SELECT spike_id, cluster, arg_min(ref, (-votes, ref)) AS winner, max(votes) AS votes, max(votes) >= 6 AS accepted FROM v GROUP BY spike_id, cluster""", "fx"))
 def neighbour_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Noise spikes by the vote of their ten nearest spikes of a reference pool.
-
-    The pool is a bounded sample by configuration (here all units of the small table); it meets the queries dimension by dimension.
-    """
-    f = feature_values(spark, d).filter("d < 8")
-    q = f.filter("cluster < 2")
-    r = f.filter("cluster >= 2").select("d", F.col("spike_id").alias("rid"), F.col("cluster").alias("ref"), F.col("x").alias("rx"))
-    dist = q.join(r, "d").groupBy("spike_id", "cluster", "rid", "ref").agg(F.sum((F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx"))).alias("dist"))
-    i = F.row_number().over(Window.partitionBy("spike_id").orderBy("dist", "rid"))
-    v = dist.withColumn("i", i).filter("i <= 10").groupBy("spike_id", "cluster", "ref").agg(F.count("*").alias("votes"))
-    best = F.min(F.struct((-F.col("votes")).alias("n"), "ref"))
-    return v.groupBy("spike_id", "cluster").agg(best.alias("b")).select("spike_id", "cluster", F.col("b.ref").alias("winner"), (-F.col("b.n")).alias("votes"), (F.col("b.n") <= -4).alias("accepted"))
+    """Noise spikes by the vote of their ten nearest spikes of a reference pool, on whole vectors; six votes accept."""
+    f = features(spark, d)
+    v = P.vote(f.filter("cluster < 2"), f.filter("cluster >= 2"), 10)
+    return v.select("spike_id", "cluster", "winner", "votes", (F.col("votes") >= 6).alias("accepted"))
 
 
 CHUNKS = ", c AS (SELECT cluster % 12 AS a, (cluster * 7 + t // 86400) % 9 AS b FROM spikes), v AS (SELECT a, b, count(*) AS n FROM c GROUP BY a, b), "
@@ -105,12 +98,10 @@ def bhattacharyya(spark: SparkSession, d: str) -> DataFrame:
 def refractory_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Pairs at short lags over what a Poisson train of the same rate would have; null where that is less than 3."""
     s = spikes(spark, d)
-    right = s.select(F.col("t").alias("rt"), F.col("cluster").alias("r_cluster"))
-    p = T.band_join(s, right, ["cluster"], 601, 3600).groupBy("cluster").agg(F.count("*").alias("pairs"))
+    p = T.pairs_at(s, "cluster", {"pairs": (601, 3600)})
     n = s.groupBy("cluster").agg(F.count("*").alias("n"), F.nullif(F.max("t") - F.min("t"), F.lit(0)).alias("span"))
     expected = F.col("n") * F.col("n") * 3000.0 / F.col("span")
-    pairs = F.coalesce("pairs", F.lit(0))
-    return n.join(p, "cluster", "left").select("cluster", pairs.cast("long").alias("pairs"), F.round(F.when(expected >= 3, pairs / expected), 6).alias("ratio"))
+    return n.join(p, "cluster").select("cluster", "pairs", F.round(F.when(expected >= 3, F.col("pairs") / expected), 6).alias("ratio"))
 
 
 @query(sql(""", g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY grp ORDER BY t, spike_id) <= 120 THEN 0 ELSE 1 END AS new FROM spikes), b AS (SELECT *, sum(new) OVER (PARTITION BY grp ORDER BY t, spike_id) AS burst, row_number() OVER (PARTITION BY grp ORDER BY t, spike_id) AS i FROM g),
@@ -118,11 +109,8 @@ def refractory_ratio(spark: SparkSession, d: str) -> DataFrame:
     SELECT leader, cluster AS follower, count(*) AS n FROM l WHERE k > 1 AND cluster <> leader GROUP BY leader, cluster""", "spikes"))
 def burst_followers(spark: SparkSession, d: str) -> DataFrame:
     """Which clusters fire after which in the bursts of their group."""
-    w = Window.partitionBy("grp").orderBy("t", "spike_id")
-    g = spikes(spark, d).withColumn("new", F.when(F.col("t") - F.lag("t").over(w) <= 120, 0).otherwise(1)).withColumn("burst", F.sum("new").over(w))
-    v = Window.partitionBy("grp", "burst").orderBy("t", "spike_id")
-    g = g.withColumns({"leader": F.first("cluster").over(v), "k": F.row_number().over(v)})
-    return g.filter("k > 1 AND cluster <> leader").groupBy("leader", F.col("cluster").alias("follower")).agg(F.count("*").alias("n"))
+    g = T.bursts_by_block(spikes(spark, d), "grp", 120).withColumn("leader", F.col("first.cluster"))
+    return g.filter("NOT opens AND cluster <> leader").groupBy("leader", F.col("cluster").alias("follower")).agg(F.count("*").alias("n"))
 
 
 @query(sql(""", b AS (SELECT cluster, (t - min(t) OVER (PARTITION BY cluster)) * 10 // (max(t) OVER (PARTITION BY cluster) - min(t) OVER (PARTITION BY cluster) + 1) AS bin, value FROM spikes), k AS (SELECT cluster, bin, count(*) AS n FROM b GROUP BY ALL), h AS (SELECT cluster, avg(value) FILTER (bin < 5) AS first_half, avg(value) FILTER (bin >= 5) AS second_half FROM b GROUP BY cluster)

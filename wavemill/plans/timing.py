@@ -100,10 +100,10 @@ def correlogram_cross(spark: SparkSession, d: str) -> DataFrame:
     m AS (SELECT x.grp AS a, y.grp AS b, coalesce(h.hits, 0) / (x.n + 1) AS c FROM n x JOIN n y ON x.grp <> y.grp LEFT JOIN h ON h.a = x.grp AND h.b = y.grp)
     SELECT p.a, p.b, round((p.c + q.c) / 2, 6) AS coincidence FROM m p JOIN m q ON p.a = q.b AND p.b = q.a""", "spikes"))
 def coincidence_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a group's events with one of the other group within a minute, symmetrised. The groups are few, the events are joined by minute."""
+    """Share of a group's events with one of the other group within a minute, symmetrised. The groups are few; each event looks around itself in its hour."""
     s = spikes(spark, d)
-    right = s.select(F.col("t").alias("rt"), F.col("grp").alias("g2"))
-    near = T.band_join(s, right, [], -60, 60).filter("grp <> g2").select("spike_id", F.col("grp").alias("a"), F.col("g2").alias("b")).distinct()
+    around = T.with_halo(s, "t", 60, 60, 3600).withColumn("near", F.collect_set("grp").over(Window.partitionBy("block").orderBy("t").rangeBetween(-60, 60)))
+    near = around.filter("own").select(F.col("grp").alias("a"), F.explode("near").alias("b")).filter("a <> b")
     hits = near.groupBy("a", "b").agg(F.count("*").alias("hits"))
     n = s.groupBy("grp").agg(F.count("*").alias("n"))
     pairs = n.select(F.col("grp").alias("a"), "n").join(n.select(F.col("grp").alias("b")), F.col("a") != F.col("b"))
@@ -150,14 +150,10 @@ def interval_points(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = ", p AS (SELECT x.id AS a, y.id AS b, greatest(0, least(x.b, y.b) - greatest(x.a, y.a)) AS shared, x.b - x.a AS na, y.b - y.a AS nb FROM intervals x JOIN intervals y ON x.grp = y.grp AND x.id < y.id) "
 
 
-@query(sql(PAIRS + "SELECT a, b, shared AS overlap, round(shared / (na + nb - shared), 6) AS iou FROM p", "intervals"))
+@query(sql(PAIRS + "SELECT a, b, shared AS overlap, round(shared / (na + nb - shared), 6) AS iou FROM p WHERE shared > 0", "intervals"))
 def interval_iou(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap and intersection over union of the intervals of a group. Groups are a fixed twentieth; their pairs are the result."""
-    i = intervals(spark, d)
-    x, y = i.select("grp", F.col("id").alias("a"), F.col("a").alias("xa"), F.col("b").alias("xb")), i.select("grp", F.col("id").alias("b"), F.col("a").alias("ya"), F.col("b").alias("yb"))
-    both = F.greatest(F.lit(0).cast("long"), F.least("xb", "yb") - F.greatest("xa", "ya"))
-    pairs = x.join(y, "grp").filter(F.col("a") < F.col("b")).withColumn("overlap", both)
-    return pairs.select("a", "b", "overlap", F.round(F.col("overlap") / (F.col("xb") - F.col("xa") + F.col("yb") - F.col("ya") - F.col("overlap")), 6).alias("iou"))
+    """Overlap and intersection over union of the intervals of a group that overlap. They meet in the buckets that both touch and count in the first."""
+    return T.overlaps(intervals(spark, d), "grp", 64).select("a", "b", "overlap", F.round(F.col("overlap") / F.col("together"), 6).alias("iou"))
 
 
 @query(sql(""", v AS (SELECT id, grp, a, a + 20 AS b FROM intervals), r AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY grp ORDER BY a, b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM v),
@@ -188,7 +184,7 @@ def range_read(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT spike_id, grp, count(*) OVER (PARTITION BY grp ORDER BY t RANGE BETWEEN 119 PRECEDING AND 120 FOLLOWING) = 1 AS clean FROM spikes", "spikes"))
 def clean_mask(spark: SparkSession, d: str) -> DataFrame:
-    return spikes(spark, d).select("spike_id", "grp", T.clean(spikes(spark, d), "grp", 120).alias("clean"))
+    return T.clean(spikes(spark, d), "grp", 120).select("spike_id", "grp", "clean")
 
 
 @query(sql(""", u AS (SELECT *, CASE WHEN grp = 'click' THEN 0 ELSE 1 END AS src FROM spikes), r AS (SELECT *, row_number() OVER (PARTITION BY cluster, t // 3600 ORDER BY src, t, spike_id) AS k FROM u)
@@ -204,11 +200,9 @@ def dedup_priority(spark: SparkSession, d: str) -> DataFrame:
     , c AS (SELECT cluster, count(*) FILTER (lag BETWEEN 3000 AND 10000) AS near, count(*) FILTER (lag BETWEEN 40000 AND 50000) AS far FROM p GROUP BY cluster)
     SELECT cluster, near, far, round(CASE WHEN far > 0 THEN (near / 7000.0) / (far / 10000.0) END, 6) AS burst_index FROM c""", "spikes"))
 def burst_index(spark: SparkSession, d: str) -> DataFrame:
-    s = spikes(spark, d)
-    right = s.select(F.col("t").alias("rt"), F.col("cluster").alias("r_cluster"))
-    lag = F.col("rt") - F.col("t")
-    c = T.band_join(s, right, ["cluster"], 1, 50000).groupBy("cluster").agg(F.count_if(lag.between(3000, 10000)).alias("near"), F.count_if(lag.between(40000, 50000)).alias("far"))
-    return c.withColumn("burst_index", F.round(F.when(F.col("far") > 0, (F.col("near") / 7000.0) / (F.nullif("far", F.lit(0)) / 10000.0)), 6))
+    lags = {"near": (3000, 10000), "far": (40000, 50000), "all": (1, 50000)}
+    c = T.pairs_at(spikes(spark, d), "cluster", lags).filter("`all` > 0")
+    return c.select("cluster", "near", "far", F.round(F.when(F.col("far") > 0, (F.col("near") / 7000.0) / (F.nullif("far", F.lit(0)) / 10000.0)), 6).alias("burst_index"))
 
 
 @query(sql(", n AS (SELECT cluster, t, spike_id, ntile(4) OVER (PARTITION BY cluster ORDER BY t, spike_id) AS bin FROM spikes) SELECT cluster, CAST(bin AS BIGINT) AS bin, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM n GROUP BY cluster, bin", "spikes"))
