@@ -68,6 +68,15 @@ def spatial(xs: Column, order: int) -> Column:
     return F.transform(xs, lambda x: n * x - total)
 
 
+def referenced(xs: Column, partners: dict[int, list[int]]) -> Column:
+    """Each channel less the mean of its partners; a channel without any stays."""
+    out = []
+    for i, others in sorted(partners.items()):
+        mean = sum((F.get(xs, j) for j in others[1:]), F.get(xs, others[0])) / len(others) if others else F.lit(0.0)
+        out.append((F.get(xs, i) - mean).cast("double"))
+    return F.array(*out)
+
+
 def wilson_hilferty(df: int, z: float) -> float:
     """The chi-square quantile at the normal quantile z."""
     return df * (1 - 2 / (9 * df) + z * (2 / (9 * df)) ** 0.5) ** 3

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import curation, matching, models, shapes, signal, timing  # noqa: F401
+from . import curation, detect, matching, models, shapes, signal, timing  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
