@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -77,6 +78,45 @@ def referenced(xs: Column, partners: dict[int, list[int]]) -> Column:
     return F.array(*out)
 
 
+def shifted(a: Column, by: float) -> Column:
+    """Moved towards the end by `by` places (0 or more), linear between neighbours, zero from outside."""
+    whole, part = int(by), by - int(by)
+    at = lambda i: F.when(i >= 0, F.get(a, i)).otherwise(0)
+    return F.transform(a, lambda x, i: (1 - part) * at(i - whole) + part * at(i - whole - 1))
+
+
+def _terms(first: Column, last: Column, log_term) -> Column:
+    """The sum of exp(log_term(i)) for i from first to last; 0 if there are none."""
+    summed = F.aggregate(F.transform(F.sequence(first.cast("int"), last.cast("int")), log_term), F.lit(0.0), lambda s, x: s + F.exp(x))
+    return F.when(first <= last, summed).otherwise(0.0)
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! to a relative 1e-13: the logs added up below 16, and beyond that Stirling's series."""
+    small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)])
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    return F.when(n < 16, F.get(small, n.cast("int"))).otherwise(series)
+
+
+def chi_square_tail(x: Column, df: int) -> Column:
+    """The probability of more than x, for an even number of degrees of freedom: a Poisson sum of half as many terms."""
+    if df % 2:
+        raise ValueError("an even number of degrees of freedom")
+    h = x / 2
+    return F.when(h > 0, _terms(F.lit(0), F.lit(df // 2 - 1), lambda i: i * F.log(h) - h - log_factorial(i))).otherwise(1.0)
+
+
+def poisson_tail(k: Column, rate: float) -> Column:
+    """The probability of k or more."""
+    return 1 - _terms(F.lit(0), k - 1, lambda i: i * math.log(rate) - rate - log_factorial(i))
+
+
+def even_split_tail(k: Column, n: Column) -> Column:
+    """The probability of k or more of n on one side where each side is as likely."""
+    return _terms(k, n, lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * math.log(2))
+
+
 def wilson_hilferty(df: int, z: float) -> float:
     """The chi-square quantile at the normal quantile z."""
     return df * (1 - 2 / (9 * df) + z * (2 / (9 * df)) ** 0.5) ** 3

@@ -79,3 +79,9 @@ def tree_depths(nodes: DataFrame, rounds: int = 64) -> DataFrame:
 def latest_per(rows: DataFrame, by: str, *order) -> DataFrame:
     w = Window.partitionBy(by).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+
+
+def protected(edits: DataFrame, reserved: int, rested: list[int]) -> DataFrame:
+    """edits(cluster, wanted) with label and refused: ids below `reserved` are no targets, ids laid to rest neither targets nor to be changed."""
+    refused = (F.col("wanted") < reserved) | F.col("wanted").isin(rested) | F.col("cluster").isin(rested)
+    return edits.withColumns({"refused": refused, "label": F.when(refused, F.col("cluster")).otherwise(F.col("wanted"))})

@@ -6,7 +6,11 @@ are hash or sort-merge joins with the range as a residual condition and never co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -143,3 +147,47 @@ def bursts_by_block(spikes: DataFrame, by: str, gap: int, width: int = 86400) ->
     last = a.groupBy(by, "block").agg(F.max("_here").alias("_last"))
     last = last.withColumn("_before", F.max("_last").over(Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
     return a.join(last.select(by, "block", "_before"), [by, "block"]).withColumn("first", F.coalesce("_here", "_before")).drop("block", "own", "_here", "_before")
+
+
+def depression(spikes: DataFrame, constants: dict[str, tuple[float, float]]) -> DataFrame:
+    """spike_id, cluster and for each (part used, time constant) what is available at the spike: 1 at a cluster's first.
+
+    Each value needs the one before it; a cluster's spikes are read in order as a stream, with one number per constant as the state.
+    """
+    use = np.array([u for u, _ in constants.values()])
+    time = np.array([tau for _, tau in constants.values()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last, left = None, 0, np.ones(len(use))
+        for batch in batches:
+            out = np.empty((len(batch), len(use)))
+            for i, (c, t) in enumerate(zip(batch["cluster"], batch["t"], strict=True)):
+                left = np.ones(len(use)) if c != held else 1 - (1 - left * (1 - use)) * np.exp(-(t - last) / time)
+                held, last, out[i] = c, t, left
+            yield batch[["spike_id", "cluster"]].assign(**dict(zip(constants, out.T, strict=True)))
+
+    fields = "spike_id long, cluster long, " + ", ".join(f"{n} double" for n in constants)
+    return spikes.select("spike_id", "cluster", "t").repartition("cluster").sortWithinPartitions("cluster", "t", "spike_id").mapInPandas(run, fields)
+
+
+def drift_chunks(rows: DataFrame, by: str, at: str, level: str, range_: int, least: int) -> DataFrame:
+    """rows(by, at, level) with chunk: in order, a row opens a new one if with it the chunk's range of levels would reach `range_` and the chunk has
+    lasted `least`. A null level is 0. Rows of a group are read in order as a stream."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, low, high, start, chunk = object(), 0, 0, 0, 0
+        for batch in batches:
+            out = []
+            for g, t, v in zip(batch["by"], batch["at"], batch["level"], strict=True):
+                if g != held:
+                    held, low, high, start, chunk = g, v, v, t, 0
+                elif max(high, v) - min(low, v) >= range_ and t - start >= least:
+                    low, high, start, chunk = v, v, t, chunk + 1
+                else:
+                    low, high = min(low, v), max(high, v)
+                out.append(chunk)
+            yield batch[["by", "at"]].assign(chunk=out)
+
+    read = rows.select(F.col(by).cast("string").alias("by"), F.col(at).alias("at"), F.coalesce(level, F.lit(0)).cast("long").alias("level"))
+    out = read.repartition("by").sortWithinPartitions("by", "at").mapInPandas(run, "by string, at long, chunk long")
+    return out.select(F.col("by").alias(by), F.col("at").alias(at), "chunk")
