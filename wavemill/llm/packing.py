@@ -65,7 +65,7 @@ class Ids:
         return cls.held[path]
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without places in the text
 
     def _learn(self, runs: set[str]) -> None:
         alone = [r for r in runs if len(r) > self.LONG or self.MARK in r or "<|" in r]
@@ -81,7 +81,8 @@ class Ids:
             ends = np.flatnonzero(ids == self.mark[0])
             if len(ends) != len(part) - 1:
                 raise ValueError("the mark does not stand alone")
-            self.known |= zip(part, (x[i > 0 :].tobytes() for i, x in enumerate(np.split(ids, ends))), strict=True)
+            told = ids.tobytes()
+            self.known |= zip(part, map(told.__getitem__, map(slice, [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(told)])), strict=True)
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
