@@ -14,7 +14,7 @@ from wavemill.plans import catalogue
 HEADLINE = [
     "refractory_fraction", "isi_stats", "burst_segments", "correlogram_auto", "coincidence_matrix", "asof_previous", "band_anti_join", "clean_mask",
     "waveform_stats", "median_waveform", "mad_scale", "error_matrix", "similarity_matrix", "isolation_distance", "nearest_centroid",
-    "median_filter", "fir_lowpass", "common_average_reference", "refractory_detection", "union_find", "undo_log",
+    "burst_index", "mixture_classes", "butterworth_highpass", "multitaper_power", "median_filter", "fir_lowpass", "common_average_reference", "refractory_detection", "union_find", "undo_log",
 ]
 
 

@@ -111,10 +111,56 @@ def test_files(spark, tmp_path):
     assert [r.xs for r in files.signal(spark, str(tmp_path / "a.spk"), 8).orderBy("sample").collect()][2] == list(range(16, 24))
     with pytest.raises(Exception, match="whole"):
         files.waveforms(spark, str(tmp_path / "a.spk"), 5, 2).collect()
+    # parallel files of two groups in one folder meet by their names, and one too short is refused
+    for k, times_ in ((1, [5, 6]), (2, [7, 8])):
+        np.array(times_, "<i8").tofile(tmp_path / f"s.res.{k}")
+        np.array([2, 10 * k, 10 * k + 1], "<i4").tofile(tmp_path / f"s.clu.{k}")
+    both = files.paired(files.times(spark, str(tmp_path / "s.res.*")), files.labels(spark, str(tmp_path / "s.clu.*")))
+    assert sorted((r.t, r.cluster) for r in both.collect()) == [(5, 10), (6, 11), (7, 20), (8, 21)]
+    with pytest.raises(ValueError, match="2 times but 0 labels"):
+        files.paired(files.times(spark, str(tmp_path / "s.res.*")), files.labels(spark, str(tmp_path / "s.clu.1")))
     files.write_events(spark.createDataFrame([(1.5, "x")], "t_ms double, label string"), str(tmp_path / "e"))
     assert [tuple(r) for r in files.events(spark, str(tmp_path / "e")).collect()] == [(1.5, "x")]
 
 
+def test_template_files(spark, tmp_path):
+    (tmp_path / "x.tcl").write_text("tcl 1\nnClasses 3\n# col\tstatus\tlabel\n0\tactive\tA b\t23\tgt\t2026-10-02\n1\tfree\t-\t-\t-\t-\n2\tmerged:0\tx\t-\t-\t-\n")
+    got = [tuple(r) for r in files.class_registry(spark, str(tmp_path / "x.tcl")).orderBy("col").collect()]
+    assert [g[:5] for g in got] == [(0, "active", None, "A b", 23), (1, "free", None, None, None), (2, "merged", 0, "x", None)] and str(got[0][6]) == "2026-10-02"
+    (tmp_path / "x.wti").write_text("wti 2\nnSamples 4\nsr 20000\nnRows 3\n# row unit\nrow 0 7 drift 1 0 120.5 540 -1\nrow 1 7 drift 0 120.5 241.25 0 0 a\nrow 2 9 adapt 0 1.5 2.75 33\n")
+    index = files.template_index(spark, str(tmp_path / "x.wti"))
+    assert [tuple(r) for r in index.orderBy("row").collect()] == [(0, 7, "drift", 1, 0.0, 120.5, 540, None), (1, 7, "drift", 0, 120.5, 241.25, 0, 0), (2, 9, "adapt", 0, 1.5, 2.75, 33, None)]
+    assert {(r.unit, r.link): r.rows for r in files.series(index).collect()} == {(7, "drift"): [1, 0], (9, "adapt"): [2]}
+    (tmp_path / "x.wtl").write_text("wtl 1\nnNodes 3\n# node\nnode 0 7 root -1 0.0 120.5 3 3 5 8\nnode 1 7 leaf 0 1.5 2.75 0\nnode 2 9 leaf -1 241.25 360.0 2 0 1\nmean 0\n")
+    lineage = files.template_lineage(spark, str(tmp_path / "x.wtl"))
+    assert [(r.node, r["class"], r.parent, r.n_spikes, r.spikes) for r in lineage.orderBy("node").collect()] == [(0, 7, None, 3, [3, 5, 8]), (1, 7, 0, 0, []), (2, 9, None, 2, [0, 1])]
+    assert {r.node: r.children for r in files.children(lineage).collect()} == {0: [1], 1: [], 2: []}
+
+
+def test_tails(spark):
+    from math import comb, exp, factorial
+
+    at = spark.range(1).select(F.lit(37).alias("k"), F.lit(60).alias("n"))
+    got = at.select(A.even_split_tail(F.col("k"), F.col("n")).alias("e"), A.poisson_tail(F.col("k"), 30.0).alias("p"), A.chi_square_tail(F.lit(70.0), 64).alias("c"), A.poisson_tail(F.lit(0), 3.0).alias("z")).first()
+    assert abs(got.e - sum(comb(60, i) for i in range(37, 61)) / 2**60) < 1e-12 and got.z == 1
+    assert abs(got.p - (1 - sum(exp(-30) * 30**i / factorial(i) for i in range(37)))) < 1e-12
+    assert abs(got.c - sum(exp(-35) * 35**i / factorial(i) for i in range(32))) < 1e-12
+
+
+def test_covariance_of_large_means(spark):
+    x = np.random.default_rng(5).normal(1e8, 1.0, (500, 3))
+    _, mean, cov = models.gram(spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<double>"), "v", 3)
+    assert np.allclose(mean, x.mean(0), rtol=1e-14) and np.allclose(cov, np.cov(x.T), atol=1e-6)
+
+
+def test_changed_with_equal_sums(spark):
+    from wavemill.operators import curation
+
+    before = spark.createDataFrame([(1, 5), (4, 5), (2, 6), (3, 6)], "spike_id long, cluster long")
+    after = spark.createDataFrame([(2, 5), (3, 5), (1, 6), (4, 6)], "spike_id long, cluster long")
+    assert {tuple(r) for r in curation.changed(before, after).collect()} == {(5, "changed"), (6, "changed")}
+
+
 def test_streams(spark, small, tmp_path):
     src = str(tmp_path / "in")
     spark.read.parquet(f"{small}/events.parquet").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("grp"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t")).write.parquet(src)

@@ -18,13 +18,16 @@ from ..functions.arrays import wilson_hilferty
 
 
 def gram(rows: DataFrame, column: str, size: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, mean and covariance (n - 1) of array rows: each task adds up its cells of sums and products, Spark adds the tasks'."""
+    """Number, mean and covariance (n - 1) of array rows: the mean first, then each task adds up products of what is left of it, so that large means
+    cancel nothing, and Spark adds the tasks'."""
+    at = {r["d"]: r["m"] for r in rows.select(F.posexplode(F.slice(column, 1, size)).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).collect()}
+    mean = np.array([at.get(i, 0.0) for i in range(size)], float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size + 1, size + 1))
         for batch in batches:
             if len(batch):
-                x = np.stack(batch[column].to_numpy())[:, :size].astype(float)
+                x = np.stack(batch[column].to_numpy())[:, :size].astype(float) - mean
                 x = np.hstack([np.ones((len(x), 1)), x])
                 total += x.T @ x
         yield pd.DataFrame({"cell": np.arange(total.size), "value": total.ravel()})
@@ -33,8 +36,9 @@ def gram(rows: DataFrame, column: str, size: int) -> tuple[int, np.ndarray, np.n
     for cell, value in rows.select(column).mapInPandas(run, "cell long, value double").groupBy("cell").agg(F.sum("value")).collect():
         sums[cell] = value
     sums = sums.reshape(size + 1, size + 1)
-    n, mean = int(sums[0, 0]), sums[0, 1:] / max(1, sums[0, 0])
-    return n, mean, (sums[1:, 1:] - n * np.outer(mean, mean)) / max(1, n - 1)
+    n = int(sums[0, 0])
+    off = sums[0, 1:] / max(1, n)  # what rounding left of the mean
+    return n, mean + off, (sums[1:, 1:] - n * np.outer(off, off)) / max(1, n - 1)
 
 
 def components(rows: DataFrame, column: str, size: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
