@@ -73,52 +73,92 @@ def penalty(d: int, k: int, n: int, mix: float = 1.0) -> float:
     return (1 - mix) * 2 * p + mix * p * float(np.log(n)) / 2
 
 
-def _costs(column: str, model: Mixture) -> list:
+def _costs(x: np.ndarray, model: Mixture) -> np.ndarray:
+    """Negative log density and weight of every row under every class."""
     d = model.mean.shape[1]
-    out = []
-    for m, v, w in zip(model.mean, model.var, model.weight, strict=True):
-        q = sum((F.get(column, i) - float(m[i])) * (F.get(column, i) - float(m[i])) / float(v[i]) for i in range(d))
-        out.append(q / 2 + float(np.log(v).sum() / 2 - np.log(w) + d / 2 * np.log(2 * np.pi)))
-    return out
+    held = np.log(model.var).sum(1) / 2 - np.log(model.weight) + d / 2 * np.log(2 * np.pi)
+    return np.stack([((x - m) ** 2 / v).sum(1) / 2 + c for m, v, c in zip(model.mean, model.var, held, strict=True)], 1)
+
+
+def _matrix(values: pd.Series, size: int) -> np.ndarray:
+    return np.stack(values.to_numpy())[:, :size].astype(float)
 
 
 def assign(rows: DataFrame, column: str, model: Mixture) -> DataFrame:
     """rows with class and cost: the class of the least cost, the first of equal ones."""
-    costs = F.array(*_costs(column, model))
-    return rows.withColumn("_c", costs).withColumn("cost", F.array_min("_c")).withColumn("class", F.array_position("_c", F.col("cost")) - 1).drop("_c")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                costs = _costs(_matrix(batch[column], model.mean.shape[1]), model)
+                yield batch.assign(**{"class": costs.argmin(1), "cost": costs.min(1)})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, fields + ", class long, cost double")
 
 
 def farthest_first(rows: DataFrame, column: str, size: int, k: int) -> np.ndarray:
-    """k seeds: the row with the smallest id, then each time the row farthest from all seeds; ties to the smallest id."""
+    """k seeds: the row with the smallest id, then each time the row farthest from all seeds; ties to the smallest id. Each task sends its farthest row."""
     first = rows.orderBy("spike_id").select(column).first()[0]
-    seeds = [np.array(first[:size], float)]
-    for _ in range(k - 1):
-        far = F.least(*[sum((F.get(column, i) - float(s[i])) ** 2 for i in range(size)) for s in seeds], F.lit(float("inf")))
-        got = rows.agg(F.max_by(column, F.struct(far, -F.col("spike_id")))).first()[0]
-        seeds.append(np.array(got[:size], float))
-    return np.array(seeds)
+    seeds = np.array([first[:size]], float)
+
+    def farthest(seeds: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for batch in batches:
+                if len(batch):
+                    x = _matrix(batch[column], size)
+                    far = np.min([((x - s) ** 2).sum(1) for s in seeds], 0)
+                    i = np.lexsort((batch["spike_id"].to_numpy(), -far))[0]
+                    found = (-far[i], int(batch["spike_id"].iloc[i]), x[i])
+                    best = found if best is None or found[:2] < best[:2] else best
+            yield pd.DataFrame([best] if best else [], columns=["near", "id", "x"])
+
+        return run
+
+    while len(seeds) < k:
+        got = rows.select("spike_id", column).mapInPandas(farthest(seeds), "near double, id long, x array<double>").agg(F.min(F.struct("near", "id", "x")).alias("b")).first()["b"]
+        seeds = np.vstack([seeds, got["x"]])
+    return seeds
 
 
 def fit(rows: DataFrame, column: str, size: int, k: int, rounds: int = 20) -> Mixture:
     """Classification EM from farthest-first seeds: assign, then new means, variances and weights; classes with too few rows die.
 
-    Each round is one pass over the rows and returns K x D sums. It ends when no row's cost would fall.
+    Each round is one pass over the rows, in which tasks add up numbers, costs, sums and squares (from the mean of all) per class; K x D of them reach the
+    driver. It ends when the score would not fall.
     """
-    n, mean, cov = gram(rows, column, size)
+    n, centre, cov = gram(rows, column, size)
     floor = np.maximum(np.diag(cov) * 1e-3, 1e-9)
     model = Mixture(farthest_first(rows, column, size, k), np.tile(np.maximum(np.diag(cov), floor), (k, 1)), np.full(k, 1 / k), np.inf)
+
+    def summed(model: Mixture):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(model.mean), 2 * size + 2))
+            for batch in batches:
+                if len(batch):
+                    x = _matrix(batch[column], size)
+                    costs = _costs(x, model)
+                    own, x = costs.argmin(1), x - centre
+                    np.add.at(total, own, np.hstack([np.ones((len(x), 1)), costs.min(1)[:, None], x, x * x]))
+            c, cell = np.indices(total.shape)
+            yield pd.DataFrame({"class": c.ravel(), "cell": cell.ravel(), "value": total.ravel()})
+
+        return run
+
     for _ in range(rounds):
-        x = [F.get(column, i).cast("double") for i in range(size)]
-        sums = [F.count("*").alias("n"), F.sum("cost").alias("cost"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(v * v).alias(f"q{i}") for i, v in enumerate(x)]]
-        got = assign(rows, column, model).groupBy("class").agg(*sums).collect()
-        score = sum(r["cost"] for r in got) + penalty(size, len(got), n)
-        live = [r for r in sorted(got, key=lambda r: r["class"]) if r["n"] > size]
-        if not live or score >= model.score - 1e-9 * abs(score):
+        got = np.zeros((len(model.mean), 2 * size + 2))
+        for r in rows.select(column).mapInPandas(summed(model), "class int, cell int, value double").groupBy("class", "cell").agg(F.sum("value").alias("v")).collect():
+            got[r["class"], r["cell"]] = r["v"]
+        some = got[got[:, 0] > 0]
+        score = some[:, 1].sum() + penalty(size, len(some), n)
+        live = some[some[:, 0] > size]
+        if not len(live) or score >= model.score - 1e-9 * abs(score):
             return model
-        counts = np.array([r["n"] for r in live], float)
-        mean = np.array([[r[f"s{i}"] for i in range(size)] for r in live]) / counts[:, None]
-        var = np.array([[r[f"q{i}"] for i in range(size)] for r in live]) / counts[:, None] - mean**2
-        model = Mixture(mean, np.maximum(var, floor), counts / counts.sum(), score)
+        counts = live[:, 0]
+        mean = live[:, 2 : size + 2] / counts[:, None]
+        var = live[:, size + 2 :] / counts[:, None] - mean**2
+        model = Mixture(mean + centre, np.maximum(var, floor), counts / counts.sum(), score)
     return model
 
 
