@@ -153,7 +153,8 @@ def kinds(histogram: dict[int, int], how: Packing) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Solution:
-    """Configurations (rows: how often each kind) with their shares, and by what part the program's value is above its bound."""
+    """Configurations (rows: how often each kind) with their shares, and by what part these and the volume that they leave uncovered are above the
+    bound, the whole volume."""
 
     configs: np.ndarray
     shares: np.ndarray
@@ -178,7 +179,8 @@ def fractional(sizes: np.ndarray, need: np.ndarray, how: Packing) -> Solution:
         covered += config * step
         found.append(config)
     configs, times = np.unique(np.array(found).reshape(-1, len(sizes)), axis=0, return_counts=True)
-    return Solution(configs, times * step, len(found) * step / total - 1)
+    uncovered = float(np.maximum(need - covered, 0) @ sizes) / how.capacity
+    return Solution(configs, times * step, (len(found) * step + uncovered) / total - 1)
 
 
 def _exactly(config: np.ndarray, times: int, stock: list[list[list[int]]]) -> list[tuple[Counter, int]]:
