@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -160,3 +161,36 @@ def channel_expression(source: str, xs: str = "xs") -> Column:
     text = re.sub(r"\bc(\d+)", rf"coalesce(CAST(get({xs}, \1) AS DOUBLE), 0D)", text)
     value = F.try_divide(F.expr(text), F.lit(1.0))
     return F.when(F.isnan(value) | value.isNull() | (F.abs(value) == float("inf")), 0.0).otherwise(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), value)))
+
+
+def along_depth(a: Column, by: Column, channels: int, sample: Callable, place: Callable, channel: Callable | None = None) -> Column:
+    """A flat waveform moved `by` sites (whole or not) along evenly spaced channels: linear between sites, zero from outside.
+
+    sample(p) and channel(p) tell the sample and channel at place p (the channel is p divided by the samples, if not given), place(p, ch) the place
+    of channel ch at p's sample.
+    """
+    channel = channel or (lambda p: F.floor(p / F.floor(F.size(a) / channels)))
+
+    def at(p: Column) -> Column:
+        target = channel(p) - by
+        low = F.floor(target)
+        part = target - low
+        get = lambda ch: F.get(a, place(p, ch).cast("int"))
+        moved = (1 - part) * get(low) + part * get(F.least(low + 1, F.lit(channels - 1)))
+        return F.when((target >= 0) & (target <= channels - 1), moved).otherwise(0.0)
+
+    return F.transform(a, lambda x, i: at(i).cast("double"))
+
+
+def fourier_kernel(size: int, by: float) -> list[float]:
+    """Weights of a periodic shift by `by` places: those of output n are the `size` ones from size - n on."""
+    waves = range(1, size // 2)
+    last = lambda j: math.cos(math.pi * by) * (-1) ** j if size % 2 == 0 else 2 * math.cos(2 * math.pi * (size // 2) * (j - by) / size)
+    h = [(1 + 2 * sum(math.cos(2 * math.pi * k * (j - by) / size) for k in waves) + last(j)) / size for j in range(size)]
+    return [h[-j % size] for j in range(2 * size)]
+
+
+def fourier_shifted(a: Column, size: int, by: float) -> Column:
+    """An array of `size` numbers moved by `by` places as a periodic signal, without loss but for the highest frequency of an even size."""
+    kernel = F.array(*[F.lit(w) for w in fourier_kernel(size, by)])
+    return F.transform(a, lambda x, n: dot(a, F.slice(kernel, F.lit(size + 1) - n, size)))

@@ -85,3 +85,19 @@ def protected(edits: DataFrame, reserved: int, rested: list[int]) -> DataFrame:
     """edits(cluster, wanted) with label and refused: ids below `reserved` are no targets, ids laid to rest neither targets nor to be changed."""
     refused = (F.col("wanted") < reserved) | F.col("wanted").isin(rested) | F.col("cluster").isin(rested)
     return edits.withColumns({"refused": refused, "label": F.when(refused, F.col("cluster")).otherwise(F.col("wanted"))})
+
+
+def grown(events: DataFrame, plan: DataFrame) -> DataFrame:
+    """events(spike_id, t, cluster) with each one of plan(spike_id, parts: array of lag and unit) replaced by its parts, numbered from 1; others are part 0."""
+    both = events.join(plan, "spike_id", "left").withColumn("alone", F.col("parts").isNull())
+    alone = both.filter("alone").select("spike_id", "t", "cluster", F.lit(0).cast("long").alias("part"))
+    parts = both.filter("NOT alone").select("spike_id", "t", F.posexplode("parts").alias("i", "p"))
+    return alone.unionByName(parts.select("spike_id", (F.col("t") + F.col("p.lag")).alias("t"), F.col("p.unit").alias("cluster"), (F.col("i") + 1).cast("long").alias("part")))
+
+
+def precision_recall(pairs: DataFrame) -> DataFrame:
+    """pairs(score, hit) as least, taken, precision, recall for each score: all pairs of it or more are taken. Pairs of units are few; one task ranks their scores."""
+    y = pairs.groupBy("score").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    down, every = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")), Window.partitionBy(F.lit(0))
+    c = y.select("score", F.sum("n").over(down).alias("taken"), F.sum("hits").over(down).alias("hits"), F.sum("hits").over(every).alias("most"))
+    return c.select(F.col("score").alias("least"), "taken", F.round(F.col("hits") / F.col("taken"), 6).alias("precision"), F.round(F.try_divide("hits", "most"), 6).alias("recall"))
