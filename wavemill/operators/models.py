@@ -59,7 +59,7 @@ def project(rows: DataFrame, column: str, mean: np.ndarray, vectors: np.ndarray)
 
 @dataclass
 class Mixture:
-    """Diagonal Gaussian classes with weights, and the score of the fit: negative log likelihood and penalty."""
+    """Gaussian classes with weights, and the score of the fit: negative log likelihood and penalty. var holds variances or, with a third axis, covariances."""
 
     mean: np.ndarray
     var: np.ndarray
@@ -76,6 +76,10 @@ def penalty(d: int, k: int, n: int, mix: float = 1.0) -> float:
 def _costs(x: np.ndarray, model: Mixture) -> np.ndarray:
     """Negative log density and weight of every row under every class."""
     d = model.mean.shape[1]
+    if model.var.ndim == 3:
+        root = np.linalg.cholesky(model.var)
+        held = np.log(np.einsum("kii->ki", root)).sum(1) - np.log(model.weight) + d / 2 * np.log(2 * np.pi)
+        return np.stack([(np.linalg.solve(r, (x - m).T) ** 2).sum(0) / 2 + c for m, r, c in zip(model.mean, root, held, strict=True)], 1)
     held = np.log(model.var).sum(1) / 2 - np.log(model.weight) + d / 2 * np.log(2 * np.pi)
     return np.stack([((x - m) ** 2 / v).sum(1) / 2 + c for m, v, c in zip(model.mean, model.var, held, strict=True)], 1)
 
@@ -122,32 +126,37 @@ def farthest_first(rows: DataFrame, column: str, size: int, k: int) -> np.ndarra
     return seeds
 
 
-def fit(rows: DataFrame, column: str, size: int, k: int, rounds: int = 20) -> Mixture:
+def fit(rows: DataFrame, column: str, size: int, k: int, rounds: int = 20, full: bool = False) -> Mixture:
     """Classification EM from farthest-first seeds: assign, then new means, variances and weights; classes with too few rows die.
 
     Each round is one pass over the rows, in which tasks add up numbers, costs, sums and squares (from the mean of all) per class; K x D of them reach the
-    driver. It ends when the score would not fall.
+    driver, or K x D x D products for full covariances. It ends when the score would not fall.
     """
     n, centre, cov = gram(rows, column, size)
     floor = np.maximum(np.diag(cov) * 1e-3, 1e-9)
-    model = Mixture(farthest_first(rows, column, size, k), np.tile(np.maximum(np.diag(cov), floor), (k, 1)), np.full(k, 1 / k), np.inf)
+    spread = np.tile(np.maximum(np.diag(cov), floor), (k, 1))
+    model = Mixture(farthest_first(rows, column, size, k), spread[:, :, None] * np.eye(size) if full else spread, np.full(k, 1 / k), np.inf)
+    width = 2 + size + (size * size if full else size)
 
     def summed(model: Mixture):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(model.mean), 2 * size + 2))
+            total = np.zeros((len(model.mean), width))
             for batch in batches:
                 if len(batch):
                     x = _matrix(batch[column], size)
                     costs = _costs(x, model)
                     own, x = costs.argmin(1), x - centre
-                    np.add.at(total, own, np.hstack([np.ones((len(x), 1)), costs.min(1)[:, None], x, x * x]))
+                    for c in np.unique(own):
+                        part = x[own == c]
+                        squares = (part.T @ part).ravel() if full else (part * part).sum(0)
+                        total[c] += np.concatenate([[len(part), costs[own == c].min(1).sum()], part.sum(0), squares])
             c, cell = np.indices(total.shape)
             yield pd.DataFrame({"class": c.ravel(), "cell": cell.ravel(), "value": total.ravel()})
 
         return run
 
     for _ in range(rounds):
-        got = np.zeros((len(model.mean), 2 * size + 2))
+        got = np.zeros((len(model.mean), width))
         for r in rows.select(column).mapInPandas(summed(model), "class int, cell int, value double").groupBy("class", "cell").agg(F.sum("value").alias("v")).collect():
             got[r["class"], r["cell"]] = r["v"]
         some = got[got[:, 0] > 0]
@@ -157,8 +166,12 @@ def fit(rows: DataFrame, column: str, size: int, k: int, rounds: int = 20) -> Mi
             return model
         counts = live[:, 0]
         mean = live[:, 2 : size + 2] / counts[:, None]
-        var = live[:, size + 2 :] / counts[:, None] - mean**2
-        model = Mixture(mean + centre, np.maximum(var, floor), counts / counts.sum(), score)
+        var = live[:, size + 2 :] / counts[:, None]
+        if full:
+            var = var.reshape(-1, size, size) - mean[:, :, None] * mean[:, None, :] + np.diag(floor)
+        else:
+            var = np.maximum(var - mean**2, floor)
+        model = Mixture(mean + centre, var, counts / counts.sum(), score)
     return model
 
 
