@@ -81,3 +81,35 @@ def test_plane_is_least_squares(spark):
     got = {r["g"]: r for r in D.plane(rows, ["g"], "y", "u", "v").collect()}
     want = np.linalg.lstsq(np.stack([np.ones(50), u, v], 1), y, rcond=None)[0]
     assert np.allclose([got[1][c] for c in ("c0", "c1", "c2")], want) and got[2]["c1"] is None
+
+
+def test_ward_finds_planted_groups():
+    gap = on_line(0, 0.5, 1, 20, 20.4, 50, 50.2, 51)
+    name, score = O.ward(gap)
+    assert name == [0, 0, 0, 3, 3, 5, 5, 5] and score > 0.9
+    inner = [np.mean([gap[i, j] for j in range(8) if name[j] == name[i] and j != i]) for i in range(8)]
+    outer = [min(np.mean([gap[i, j] for j in range(8) if name[j] == k]) for k in {0, 3, 5} - {name[i]}) for i in range(8)]
+    assert abs(score - np.mean([(o - i) / max(i, o) for i, o in zip(inner, outer)])) < 1e-12
+    assert O.ward(on_line(1, 2))[0] == [0, 1] and O.grouped(on_line(0, 9, 1, 10)) == [0, 2, 1, 3]
+
+
+def test_varimax_undoes_a_turn():
+    from wavemill.operators.models import varimax
+
+    plain = np.zeros((2, 6))
+    plain[0, :3], plain[1, 3:] = 3**-0.5, 3**-0.5
+    c, s = np.cos(0.6), np.sin(0.6)
+    got = varimax(np.array([[c, -s], [s, c]]) @ plain)
+    assert np.allclose(np.abs(got @ got.T), np.eye(2)) and np.allclose(np.sort(np.abs(got @ plain.T).ravel()), [0, 0, 1, 1], atol=1e-6)
+
+
+def test_smoothed_windows_solve_the_system(spark):
+    rng = np.random.default_rng(8)
+    x, n = rng.normal(size=(6, 3)), rng.integers(1, 9, (6, 3))
+    rows = [(1, w, d, float(x[w, d]), int(n[w, d])) for w in range(6) for d in range(3)] + [(2, 4, 0, 7.0, 3)]
+    got = {(r["cluster"], r["win"], r["d"]): r["x"] for r in D.smoothed_windows(spark.createDataFrame(rows, "cluster long, win long, d long, x double, n long"), 2.5).collect()}
+    step = np.diff(np.eye(6), axis=0)
+    for d in range(3):
+        want = np.linalg.solve(np.diag(n[:, d]) + 2.5 * step.T @ step, n[:, d] * x[:, d])
+        assert np.allclose([got[1, w, d] for w in range(6)], want)
+    assert abs(got[2, 4, 0] - 7) < 1e-12 and len(got) == 19

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,3 +123,32 @@ def incoherent(pairs: DataFrame, by: list[str], drift: str, k: float, least: int
     near = pairs.join(med, by).withColumn("_off", F.abs(F.col(drift) - F.col("_med")))
     mad = near.groupBy(*by).agg(F.greatest(F.lit(1.0), F.percentile("_off", F.lit(0.5))).alias("_mad"))
     return near.join(mad, by).withColumn("demoted", (F.col("_n") >= least) & (F.col("_off") > k * F.col("_mad"))).drop("_med", "_n", "_off", "_mad")
+
+
+def smoothed_windows(means: DataFrame, strength: float) -> DataFrame:
+    """cluster, win, d, x from means(cluster, win, d, x, n): templates of windows made smooth over time.
+
+    For each cluster and place the sum of n times the squared change and of `strength` times the squared steps between windows next to each other is
+    least: a tridiagonal system, solved in order for all places of a cluster at once. A cluster's windows (not its spikes) are in one task; a missing
+    place counts as a window without weight.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.pivot(index="win", columns="d", values="x").sort_index()
+        n = rows.pivot(index="win", columns="d", values="n").reindex_like(x).fillna(0.0).to_numpy(float)
+        value = n * x.fillna(0.0).to_numpy(float)
+        size = len(x)
+        links = np.full(size, 2.0 * strength)
+        links[0] -= strength
+        links[-1] -= strength
+        diag = n + links[:, None]
+        for i in range(1, size):
+            f = -strength / diag[i - 1]
+            diag[i] = diag[i] + f * strength
+            value[i] = value[i] - f * value[i - 1]
+        for i in range(size - 1, -1, -1):
+            value[i] = (value[i] + (strength * value[i + 1] if i + 1 < size else 0)) / diag[i]
+        out = pd.DataFrame(value, index=x.index, columns=x.columns).stack().rename("x").reset_index()
+        return out.assign(cluster=rows["cluster"].iloc[0])[["cluster", "win", "d", "x"]]
+
+    return means.select("cluster", "win", "d", "x", "n").groupBy("cluster").applyInPandas(run, "cluster long, win long, d long, x double")

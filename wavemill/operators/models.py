@@ -51,6 +51,28 @@ def components(rows: DataFrame, column: str, size: int, keep: int) -> tuple[np.n
     return mean, value[order], vector * sign[:, None]
 
 
+def varimax(vectors: np.ndarray, sweeps: int = 100) -> np.ndarray:
+    """Components (rows) turned among themselves so that each loads on few dimensions: the variance of the squared loadings is largest.
+
+    Pairs are turned in their plane by the best angle, which is known in closed form, until no pair moves.
+    """
+    out = vectors.astype(float).copy()
+    n = out.shape[1]
+    for _ in range(sweeps):
+        moved = 0.0
+        for i in range(len(out)):
+            for j in range(i + 1, len(out)):
+                u, v = out[i] ** 2 - out[j] ** 2, 2 * out[i] * out[j]
+                a, b = u.sum(), v.sum()
+                angle = np.arctan2(2 * (u @ v) - 2 * a * b / n, u @ u - v @ v - (a * a - b * b) / n) / 4
+                c, s = np.cos(angle), np.sin(angle)
+                out[[i, j]] = c * out[i] + s * out[j], c * out[j] - s * out[i]
+                moved = max(moved, abs(angle))
+        if moved < 1e-9:
+            break
+    return out
+
+
 def project(rows: DataFrame, column: str, mean: np.ndarray, vectors: np.ndarray) -> DataFrame:
     """rows with scores: what is left of the mean along each component."""
     scores = [sum((F.get(column, i) - float(m)) * float(v) for i, (m, v) in enumerate(zip(mean, vector, strict=True))) for vector in vectors]

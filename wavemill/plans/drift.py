@@ -10,7 +10,7 @@ from ..operators import curation as C
 from ..operators import orders as O
 from ..operators import drift as D
 from ..operators import timing as T
-from ..sources.adapters import CHANNELS, feature_values, features, spikes, sql, waveform_values
+from ..sources.adapters import CHANNELS, feature_values, features, spikes, sql, traces, waveform_values
 from .registry import QUERIES, query
 
 #: Micrometres between sites.
@@ -213,3 +213,20 @@ def similarity_orders(spark: SparkSession, d: str) -> DataFrame:
 def recovered_cliques(spark: SparkSession, d: str) -> DataFrame:
     """Within each group of units joined by similarity, the largest set found in which all pairs are alike. SQL can't express it."""
     return O.cliques(QUERIES["similarity_matrix"](spark, d).filter("a < b AND cosine >= 0.05").select("a", "b"))
+
+
+@query()
+def smoothed_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Each unit's mean waveform by windows of a hundred spikes, made smooth over time. SQL can't express it."""
+    w = feature_values(spark, d).groupBy("cluster", F.expr("spike_id div 100").alias("win"), "d").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    return D.smoothed_windows(w, 5.0).select("cluster", "win", "d", F.round("x", 4).alias("x"))
+
+
+@query()
+def channel_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Channels by Ward's method on one less their correlation over all samples, groups beside each other. SQL can't express it."""
+    xs = traces(spark, d)
+    pairs = [(a, b) for a in range(4) for b in range(4) if a != b]
+    c = xs.agg(*[F.corr(F.get("xs", a), F.get("xs", b)).alias(f"c{a}{b}") for a, b in pairs])
+    gap = c.select(F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.round(1 - F.col(f"c{a}{b}"), 9).alias("gap")) for a, b in pairs])).alias("p")).select("p.*")
+    return O.ordered(gap, O.grouped).withColumnRenamed("cluster", "ch")

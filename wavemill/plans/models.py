@@ -84,3 +84,11 @@ def collision_parts(spark: SparkSession, d: str) -> DataFrame:
     templates = {r["cluster"]: np.array(r["m"]).reshape(SAMPLES, CHANNELS) for r in means.collect()}  # a row per unit
     two = S.two_units(f.select("spike_id", "cluster", "fet"), "fet", templates)
     return two.select("spike_id", "cluster", F.col("alone.unit").alias("unit"), F.round("alone.left", 4).alias("alone_left"), F.col("together.unit_a").alias("unit_a"), F.col("together.unit_b").alias("unit_b"), F.round("together.left", 4).alias("both_left"))
+
+
+@query()
+def rotated_components(spark: SparkSession, d: str) -> DataFrame:
+    """Scores on the first three components after a varimax turn, fitted without the noise units 0 and 1."""
+    f = features(spark, d)
+    mean, _, vectors = M.components(f.filter("cluster > 1"), "fet", SIZE, 3)
+    return M.project(f, "fet", mean, M.varimax(vectors)).select("spike_id", "cluster", *[F.round(F.get("scores", i), 4).alias(f"rc{i + 1}") for i in range(3)])
