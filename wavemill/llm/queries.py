@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, importance, langid, mixing, neardup, packing, pii, quality_rules, warc
+from . import ann, chat, importance, langid, mixing, neardup, packing, pii, quality_rules, repair, tokencount, tries, warc
 from .common import Workspace
 
 
@@ -71,6 +71,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op11_target_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.resample(Workspace(spark, "op11"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws, conversations = Workspace(spark, "op12"), table(spark, sf_dir, "conversations")
+    edits = ws.save(repair.repair(ws, repair.damaged(conversations)), "edits")
+    names = conversations.select("conv_id").distinct().withColumn("conv", F.col("conv_id").cast("string"))
+    found = repair.report(edits).alias("r").join(repair.digests(edits).alias("d"), F.col("r.conv").eqNullSafe(F.col("d.conv")))
+    sums = [F.coalesce(F.col(f"r.{c}"), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    told = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")]
+    return names.join(found, names.conv.eqNullSafe(F.col("r.conv")), "left").select("conv_id", *sums, *told)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.Counting(tokenizer_path()))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,10 +99,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_packing, op3_near_duplicates, op4_quality_rules, op5_pii,
-        op6_importance, op7_chat, op8_mixing, op9_neighbours, op10_language, pipeline,
+        op6_importance, op7_chat, op8_mixing, op9_neighbours, op10_language, op11_target_tries, op12_conversation_repair, op13_token_counts, pipeline,
     )
 }
 
+#: SQL of the CRC-32's table (its polynomial as a fixed value), as the list t.
+_CRC_TABLE = """crc_table AS (
+            SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+            FROM range(256) r(i)
+        )"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of a text's CRC-32, from a relation that crc_table is joined to."""
+    octets = f"list_transform(range(1, CAST(2 * strlen({text}) AS BIGINT), 2), lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)))"
+
+
+def _edited(state: str, cost: str, audit: str, said: str = "''") -> str:
+    """SQL of a state after an edit. A state is its cost in nine digits, its audit, a mark and its repaired text, so that the least of several is the cheapest
+    and of those the one with the least audit."""
+    head, tail = f"split_part({state}, chr(1), 1)", f"substr({state}, strpos({state}, chr(1)))"
+    return f"lpad(CAST(CAST(substr({head}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({head}, 10) || '{audit}' || {tail} || {said}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (
@@ -136,4 +174,78 @@ ORACLE_SQL: dict[str, str] = {
             CAST(sum(n) AS BIGINT) AS formatted_chars
         FROM f GROUP BY conv_id
     """,
+    "op11_target_tries": f"""
+        WITH {_CRC_TABLE}, texts AS (
+            SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark
+        ), w AS (
+            SELECT row_number() OVER () AS row, kind, doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+            FROM texts
+        ), f AS (
+            SELECT row, kind, doc_id, len(w) AS n_words, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w
+        ), u AS (SELECT row, kind, unnest(f) AS x FROM f
+        ), b AS (SELECT x, {_crc32("x")} % 10000 AS bucket FROM (SELECT DISTINCT x FROM u), crc_table
+        ), c AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM u JOIN b USING (x) GROUP BY bucket
+        ), g AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM c
+        ), m AS (SELECT row, floor(sum(gain) / count(*)) AS weight FROM u JOIN b USING (x) JOIN g USING (bucket) WHERE kind = 'd' GROUP BY row
+        ), p AS (
+            SELECT row, doc_id, n_words, len(f) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+            FROM f LEFT JOIN m USING (row) WHERE kind = 'd'
+        ), z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM p
+        ), r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM z WHERE n_words >= 20
+        )
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (row)
+    """,
+    "op12_conversation_repair": f"""
+        WITH RECURSIVE {_CRC_TABLE}, x AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+        ), dice AS (SELECT *, {_crc32("name")} % 20 AS dice FROM x, crc_table
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN dice = 4 THEN 'user' ELSE role END AS role,
+                CASE dice WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN dice = 3 THEN 2 ELSE 1 END))
+            FROM dice WHERE dice <> 0
+        ), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged
+        ), q AS (
+            SELECT conv_id, turn, role, text, k, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair,
+                CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2
+                    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault
+            FROM o
+        ), sums AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM q GROUP BY conv_id
+        ), a AS (  -- the cheapest ways to each state before a row, e none, s system, u user, v assistant, and to the same with turns inserted (j, w)
+            SELECT conv_id, 0 AS k, '000000000' || chr(1) AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS v FROM sums
+            UNION ALL
+            SELECT conv_id, k, e, s, u, v FROM (
+                SELECT t.conv_id, t.k, {_edited("e", "2", "D")} AS e,
+                    least({_edited("s", "2", "D")}, CASE WHEN fault IN (0, 3) AND i = 's' THEN {_edited("e", "extra", "K", "line")} END) AS s,
+                    least({_edited("j", "2", "D")},
+                        CASE WHEN fault IN (0, 3) AND i = 'u' THEN {_edited("least(e, s, w)", "extra", "K", "line")} END,
+                        CASE WHEN fault IN (0, 3) THEN {_edited("least(e, s, w)", "extra + 1", "R", "as_user")} END) AS u,
+                    least({_edited("w", "2", "D")},
+                        CASE WHEN fault IN (0, 3) AND i = 'a' THEN {_edited("j", "extra", "K", "line")} END,
+                        CASE WHEN fault IN (0, 3) THEN {_edited("j", "extra + 1", "R", "as_assistant")} END) AS v
+                FROM (
+                    SELECT *, least(v, {_edited("j", "5", "I", "'assistant:' || chr(10)")}) AS w FROM (
+                        SELECT a.*, least(u, {_edited("e", "5", "I", "'user:' || chr(10)")}, {_edited("s", "5", "I", "'user:' || chr(10)")}, {_edited("v", "5", "I", "'user:' || chr(10)")}) AS j FROM a)
+                ) b JOIN (
+                    SELECT conv_id, k, fault, i, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS extra, role || ':' || text || chr(10) AS line,
+                        'user:' || text || chr(10) AS as_user, 'assistant:' || text || chr(10) AS as_assistant FROM q
+                ) t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.k = b.k + 1
+            )
+        ), done AS (
+            SELECT a.conv_id, least(e, v, {_edited("u", "5", "I", "'assistant:' || chr(10)")}, {_edited("s", "10", "II", "'user:' || chr(10) || 'assistant:' || chr(10)")}) AS best
+            FROM a JOIN sums ON a.conv_id IS NOT DISTINCT FROM sums.conv_id AND a.k = sums.n
+        ), told AS (
+            SELECT sums.*, CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(split_part(best, chr(1), 1), 10) AS audit, left(best[strpos(best, chr(1)) + 1:], -1) AS repaired
+            FROM sums JOIN done ON sums.conv_id IS NOT DISTINCT FROM done.conv_id
+        )
+        SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON c.conv_id IS NOT DISTINCT FROM told.conv_id
+    """,
 }
