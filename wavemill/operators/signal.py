@@ -1,18 +1,15 @@
 """Per-channel transforms over time, detection of events, and iterative refractory rules.
 
-Windows are partitioned by session and channel. What needs a running state (a refractory time counts from the last
-event that was kept) reads each session's events in order as a stream in one grouped pass.
+Windows are partitioned by session, channel and block. What needs a running state (a refractory time counts from the last
+event that was kept) goes through blocks in two levels (`scans`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import jumps
 from .timing import with_halo
 
 #: Samples of a block: windows over time see a block and what its edges need of the next ones.
@@ -43,31 +40,19 @@ def fir(values: DataFrame, taps: list[int]) -> DataFrame:
     return values.withColumn("y", sum(terms[1:], terms[0])).filter("own").drop("block", "own")
 
 
-def rising(values: DataFrame, threshold: int) -> DataFrame:
+def rising(values: DataFrame, threshold: float) -> DataFrame:
     """The samples at which x comes to be above the threshold, the first sample included."""
-    before = F.lag("x").over(over_time("ch"))
-    return values.withColumn("_b", F.coalesce(before, F.lit(threshold))).filter((F.col("x") > threshold) & (F.col("_b") <= threshold)).drop("_b")
+    held = with_halo(values, "sample", 1, 0, BLOCK).withColumn("_b", F.lag("x").over(over_time("ch", "block")))
+    return held.filter((F.col("x") > threshold) & (F.coalesce("_b", F.lit(threshold)) <= threshold) & F.col("own")).drop("_b", "block", "own")
 
 
-def refractory(events: DataFrame, r: int, reject_equal: bool = True) -> DataFrame:
-    """events(session, sample, ch, x) without those too soon after the last one that was kept (gap <= r, or < r).
+def refractory(events: DataFrame, r: int, reject_equal: bool = True, by: tuple[str, ...] = ("session", "ch"), width: int = BLOCK) -> DataFrame:
+    """events without those too soon (by sample) after the last one of their key that was kept: within r, or less than r.
 
-    One event's fate depends on all before it; each session and channel is read in order, in Arrow batches, with the last
-    kept time as the only state.
+    One event's fate depends on all before it: from a kept event the next is the first that is late enough, so the kept ones are a walk.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (s, c, t) in enumerate(zip(batch["session"], batch["ch"], batch["sample"], strict=True)):
-                if (s, c) != key:
-                    key, last = (s, c), None
-                if last is None or (t - last > r if reject_equal else t - last >= r):
-                    keep[i], last = True, t
-            yield batch[keep]
-
-    return events.repartition("session", "ch").sortWithinPartitions("session", "ch", "sample").mapInPandas(run, events.schema)
+    step = max(1, r + 1 if reject_equal else r)
+    return jumps(events.withColumn("_to", F.col("sample") + step), list(by), "sample", "_to", step, width).drop("_to")
 
 
 def windows_around(traces: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:
@@ -83,3 +68,17 @@ def upper_median(values: DataFrame, by: list[str]) -> DataFrame:
     counts = values.groupBy(*by, "x").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(w)}).filter("_upto > _all div 2").groupBy(*by).agg(F.min("x").alias("x"))
+
+
+def stepped(traces: DataFrame) -> DataFrame:
+    """traces(session, sample, xs) with each channel's first difference in time; the first sample stays."""
+    held = with_halo(traces, "sample", 1, 0, BLOCK).withColumn("_b", F.lag("xs").over(over_time("block")))
+    step = F.when(F.col("_b").isNull(), F.col("xs")).otherwise(F.zip_with("xs", "_b", lambda x, b: x - b))
+    return held.withColumn("xs", step).filter("own").drop("_b", "block", "own")
+
+
+def regressed(traces: DataFrame, reference: int) -> DataFrame:
+    """session, sample, ch and y of every channel but the reference: centred, without its regression on that."""
+    rows = traces.select("session", "sample", F.get("xs", reference).alias("ref"), F.posexplode("xs").alias("ch", "x")).filter(F.col("ch") != reference).withColumn("ch", F.col("ch").cast("long"))
+    fit = rows.groupBy("session", "ch").agg(F.avg("ref").alias("mr"), F.avg("x").alias("mx"), F.regr_slope("x", "ref").alias("beta"))
+    return rows.join(fit, ["session", "ch"]).select("session", "sample", "ch", (F.col("x") - F.col("mx") - F.col("beta") * (F.col("ref") - F.col("mr"))).alias("y"))

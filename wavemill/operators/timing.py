@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import recovering
+
 
 def intervals_between(spikes: DataFrame) -> DataFrame:
     """spikes with isi: the time since the cluster's spike before, null for its first."""
@@ -149,25 +150,12 @@ def bursts_by_block(spikes: DataFrame, by: str, gap: int, width: int = 86400) ->
     return a.join(last.select(by, "block", "_before"), [by, "block"]).withColumn("first", F.coalesce("_here", "_before")).drop("block", "own", "_here", "_before")
 
 
-def depression(spikes: DataFrame, constants: dict[str, tuple[float, float]]) -> DataFrame:
+def depression(spikes: DataFrame, constants: dict[str, tuple[float, float]], width: int = 86400) -> DataFrame:
     """spike_id, cluster and for each (part used, time constant) what is available at the spike: 1 at a cluster's first.
 
-    Each value needs the one before it; a cluster's spikes are read in order as a stream, with one number per constant as the state.
+    Each value needs the one before it, and is linear in it: a cluster's blocks of time are put together from their slopes.
     """
-    use = np.array([u for u, _ in constants.values()])
-    time = np.array([tau for _, tau in constants.values()])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, last, left = None, 0, np.ones(len(use))
-        for batch in batches:
-            out = np.empty((len(batch), len(use)))
-            for i, (c, t) in enumerate(zip(batch["cluster"], batch["t"], strict=True)):
-                left = np.ones(len(use)) if c != held else 1 - (1 - left * (1 - use)) * np.exp(-(t - last) / time)
-                held, last, out[i] = c, t, left
-            yield batch[["spike_id", "cluster"]].assign(**dict(zip(constants, out.T, strict=True)))
-
-    fields = "spike_id long, cluster long, " + ", ".join(f"{n} double" for n in constants)
-    return spikes.select("spike_id", "cluster", "t").repartition("cluster").sortWithinPartitions("cluster", "t", "spike_id").mapInPandas(run, fields)
+    return recovering(spikes.select("spike_id", "cluster", "t"), ["cluster"], "t", constants, width, ["spike_id"]).drop("t")
 
 
 def drift_chunks(rows: DataFrame, by: str, at: str, level: str, range_: int, least: int) -> DataFrame:

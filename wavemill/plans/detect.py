@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators import detection as D
 from ..operators import filters as L
 from ..operators import signal as S
 from ..operators import timing as T
@@ -14,26 +15,92 @@ from .registry import query
 from .signal import SPATIAL
 
 
-def _derived(spark: SparkSession, d: str, order: int) -> DataFrame:
-    """session, ch, sample, x of the traces' differences across channels."""
-    y = traces(spark, d).select("session", "sample", F.posexplode(A.spatial(F.col("xs"), order)).alias("ch", "x"))
-    return y.select("session", F.col("ch").cast("long").alias("ch"), "sample", "x")
+def _peaks_sql(of: str, thresholds: list[float], how: D.Peaks, tag: str = "") -> str:
+    """Tables that end in f{tag}(session, sample, ch, value): the detection's events in the lists xs of `of`(session, sample, xs)."""
+    limit = "[" + ", ".join(map(str, map(float, thresholds))) + "][ch + 1]"
+    best = ("coalesce(low, high)" if how.negative_first else "either")
+    ahead = f"(PARTITION BY session ORDER BY sample ROWS BETWEEN CURRENT ROW AND {how.length - 1} FOLLOWING)"
+    return f""", v{tag} AS (SELECT session, sample, unnest(xs) AS x, unnest(range(0, len(xs))) AS ch FROM {of}),
+        p{tag} AS (SELECT *, {limit} AS far, coalesce(lag(x) OVER w, x) AS b, coalesce(lead(x) OVER w, x) AS a, max(sample) OVER (PARTITION BY session) AS last FROM v{tag} WINDOW w AS (PARTITION BY session, ch ORDER BY sample)),
+        r{tag} AS (SELECT *, CASE WHEN x > 0 THEN b <= x AND a <= x WHEN x < 0 THEN b >= x AND a >= x ELSE NOT ((b > 0 AND a < 0) OR (b < 0 AND a > 0)) END AND abs(x) >= far AS real FROM p{tag}),
+        s{tag} AS (SELECT session, sample, last, bool_or(abs(x) >= far) AS over, min(row(x, sample, ch, x)) FILTER (real AND x < 0) AS low, min(row(-x, sample, ch, x)) FILTER (real AND x > 0) AS high,
+            min(row(-abs(x), sample, ch, x)) FILTER (real) AS either FROM r{tag} GROUP BY ALL),
+        w{tag} AS (SELECT session, sample, last, over, min(low) OVER w AS low, min(high) OVER w AS high, min(either) OVER w AS either FROM s{tag} WINDOW w AS {ahead}),
+        e{tag} AS (SELECT session, sample, last, {best} AS best, CASE WHEN {best} IS NULL THEN sample + {how.length} ELSE greatest({best}[2] + {how.length - how.before}, sample + 1) END AS after
+            FROM w{tag} WHERE over AND sample >= {how.before} AND sample + {how.length - 1} <= last),
+        j{tag} AS (SELECT *, min(sample) OVER (PARTITION BY session ORDER BY sample RANGE BETWEEN after - sample FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM e{tag}),
+        k{tag} AS (SELECT session, min(sample) AS sample FROM j{tag} GROUP BY session UNION ALL SELECT j.session, j.next FROM k{tag} k JOIN j{tag} j ON k.session = j.session AND k.sample = j.sample WHERE j.next IS NOT NULL),
+        c{tag} AS (SELECT j.session, best[2] AS sample, best[3] AS ch, best[4] AS value FROM k{tag} k JOIN j{tag} j ON k.session = j.session AND k.sample = j.sample WHERE best IS NOT NULL AND best[2] + {how.after} <= last),
+        d{tag} AS (SELECT *, min(sample) OVER (PARTITION BY session ORDER BY sample RANGE BETWEEN {how.refractory + 1} FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM c{tag}),
+        h{tag} AS (SELECT session, min(sample) AS sample FROM c{tag} GROUP BY session UNION ALL SELECT d.session, d.next FROM h{tag} h JOIN d{tag} d ON h.session = d.session AND h.sample = d.sample WHERE d.next IS NOT NULL),
+        f{tag} AS (SELECT c.session, c.sample, c.ch, c.value FROM c{tag} c JOIN h{tag} h ON c.session = h.session AND c.sample = h.sample)"""
+
+
+_EVENTS = " SELECT session, sample, ch, CAST(value AS DOUBLE) AS value FROM f"
+#: The channels about their middles, and how far from those is beyond the threshold.
+_MIDDLES, _LIMITS = [25, 380, 5, 4], [22, 500, 5, 4]
+_CENTRED = "o AS (SELECT session, sample, list_transform([1, 2, 3, 4], lambda i: xs[i] - [25, 380, 5, 4][i]) AS xs FROM traces)"
+
+
+def _centred(spark: SparkSession, d: str) -> DataFrame:
+    middles = F.array(*map(F.lit, _MIDDLES))
+    return traces(spark, d).withColumn("xs", F.transform("xs", lambda x, i: x - F.get(middles, i)))
+
+
+def _events(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(*more, "session", "sample", "ch", F.col("value").cast("double").alias("value"))
+
+
+@query(sql(", " + _CENTRED + _peaks_sql("o", _LIMITS, D.Peaks(negative_first=False)) + _EVENTS, "traces", recursive=True))
+def absolute_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Events over all channels by the largest peak of each window, either way."""
+    return _events(D.detect(_centred(spark, d), _LIMITS, D.Peaks(negative_first=False)))
+
+
+@query(sql(", " + _CENTRED + _peaks_sql("o", _LIMITS, D.Peaks()) + _EVENTS, "traces", recursive=True))
+def negative_first_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Events over all channels by the lowest peak of each window, or its highest where none is low enough."""
+    return _events(D.detect(_centred(spark, d), _LIMITS))
+
+
+#: Limits of the differences across channels, by order.
+_SPATIAL_LIMITS = {1: [700, 700, 6, 6], 2: [700, 600, 320, 6], 3: [1500, 2800, 1400, 1400]}
 
 
 def _spatial_detection(order: int) -> None:
-    oracle = f""", y AS (SELECT session, sample, list_transform({SPATIAL[order]}, lambda v: CAST(v AS DOUBLE)) AS y FROM traces), v AS (SELECT session, sample, unnest(y) AS x, unnest(range(0, 4)) AS ch FROM y),
-        l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 30) AS b FROM v) SELECT session, ch, sample, x FROM l WHERE x > 30 AND b <= 30"""
+    how = D.Peaks(length=12, before=4, after=8, refractory=6)
+    o = f", o AS (SELECT session, sample, list_transform({SPATIAL[order]}, lambda v: CAST(v AS DOUBLE)) AS xs FROM traces)"
 
-    @query(sql(oracle, "traces"), name=f"spatial_detection_{order}")
+    @query(sql(o + _peaks_sql("o", _SPATIAL_LIMITS[order], how) + _EVENTS, "traces", recursive=True), name=f"spatial_detection_{order}")
     def spatial_detection(spark: SparkSession, d: str) -> DataFrame:
-        """Crossings of differences across channels."""
-        return S.rising(_derived(spark, d, order), 30)
+        """Events in differences across channels."""
+        return _events(D.detect(traces(spark, d).withColumn("xs", A.spatial(F.col("xs"), order)), _SPATIAL_LIMITS[order], how))
 
 
 for _order in SPATIAL:
     _spatial_detection(_order)
 
 
+#: Groups of channels, each with limits and rules of its own.
+_GROUPS = {"a": [1, 0], "b": [3, 2], "c": [2]}
+_GROUP_LIMITS = {"a": [400, 20], "b": [4, 5], "c": [4]}
+_GROUP_RULES = {"a": D.Peaks(), "b": D.Peaks(length=10, before=3, after=6, refractory=4), "c": D.Peaks(length=8, before=2, after=2, refractory=3, negative_first=False)}
+
+
+def _groups_sql() -> str:
+    parts, last = ", " + _CENTRED, []
+    for name, channels in _GROUPS.items():
+        parts += f", o{name} AS (SELECT session, sample, [{', '.join(f'xs[{c + 1}]' for c in channels)}] AS xs FROM o)" + _peaks_sql(f"o{name}", _GROUP_LIMITS[name], _GROUP_RULES[name], name)
+        last.append(f"SELECT '{name}' AS grp, session, sample, {channels}[ch + 1] AS ch, CAST(value AS DOUBLE) AS value FROM f{name}")
+    return parts + " " + " UNION ALL ".join(last)
+
+
+@query(sql(_groups_sql(), "traces", recursive=True))
+def grouped_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Detection over every group of channels, with its own limits and rules."""
+    return _events(D.by_group(_centred(spark, d), _GROUPS, _GROUP_LIMITS, _GROUP_RULES), "grp")
+
+
 @query(sql("""SELECT session, sample, xs[1] - xs[3] AS y0, xs[2] - xs[1] AS y1, xs[3] - (xs[1] + xs[2]) / 2 AS y2, xs[4] - (xs[1] + xs[2] + xs[3]) / 3 AS y3 FROM traces""", "traces"))
 def custom_references(spark: SparkSession, d: str) -> DataFrame:
     """Each channel less its own partner, or less the mean of a set of channels."""
@@ -41,26 +108,17 @@ def custom_references(spark: SparkSession, d: str) -> DataFrame:
     return traces(spark, d).withColumn("y", y).select("session", "sample", *[F.get("y", i).alias(f"y{i}") for i in range(4)])
 
 
-@query(sql(""", c AS (SELECT session, sample, ch, x - avg(x) OVER (PARTITION BY session, sample) AS x FROM tx), y AS (SELECT *, x - coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 0) AS dx FROM c),
-    l AS (SELECT *, coalesce(lag(dx) OVER (PARTITION BY session, ch ORDER BY sample), 25) AS b FROM y) SELECT session, ch, sample, round(dx, 6) AS x FROM l WHERE dx > 25 AND b <= 25""", "tx"))
-def referenced_step_detection(spark: SparkSession, d: str) -> DataFrame:
-    """Crossings of the first difference in time of what is left of the channels' mean."""
-    t = traces(spark, d)
-    mean = F.aggregate("xs", F.lit(0).cast("long"), lambda s, x: s + x) / F.size("xs")
-    c = t.select("session", "sample", mean.alias("m"), F.posexplode("xs").alias("ch", "v")).select("session", "sample", F.col("ch").cast("long").alias("ch"), (F.col("v") - F.col("m")).alias("v"))
-    y = c.withColumn("x", F.col("v") - F.coalesce(F.lag("v").over(S.over_time("ch")), F.lit(0.0))).drop("v")
-    return S.rising(y, 25).select("session", "ch", "sample", F.round("x", 6).alias("x"))
+_STEPS = """, less AS (SELECT session, sample, list_transform(xs, lambda x: x - list_sum(xs) / 4.0) AS c FROM traces), o AS (
+    SELECT session, sample, list_transform([1, 2, 3, 4], lambda i: CAST(c[i] - coalesce(b[i], 0) AS DOUBLE)) AS xs FROM (SELECT *, lag(c) OVER (PARTITION BY session ORDER BY sample) AS b FROM less))"""
+_STEP_LIMITS = [180, 560, 190, 190]
 
 
-@query(sql(""", w AS (SELECT session, ch, sample, x, min(x) OVER w AS low, max(x) OVER w AS high, arg_min(sample, (x, sample)) OVER w AS at_low, arg_max(sample, (x, -sample)) OVER w AS at_high FROM (SELECT session, ch, sample, x - 25 AS x FROM tx) WINDOW w AS (PARTITION BY session, ch ORDER BY sample ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))
-    SELECT session, ch, sample, CASE WHEN low <= -20 THEN at_low ELSE at_high END AS peak, CASE WHEN low <= -20 THEN low ELSE high END AS value FROM w WHERE abs(x) >= 20 AND sample % 8 = 0""", "tx"))
-def negative_first_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """The peak of a window of 8 samples from each event: the lowest value if it is beyond the threshold below, else the highest; ties to the first."""
-    v = trace_values(spark, d).withColumn("x", F.col("x") - 25)
-    at = lambda sign: F.min(F.struct((sign * F.col("x")).alias("v"), "sample")).over(S.over_time("ch").rowsBetween(0, 7))
-    v = v.withColumns({"low": at(F.lit(1)), "high": at(F.lit(-1))}).filter("abs(x) >= 20 AND sample % 8 = 0")
-    down = F.col("low.v") <= -20
-    return v.select("session", "ch", "sample", F.when(down, F.col("low.sample")).otherwise(F.col("high.sample")).alias("peak"), F.when(down, F.col("low.v")).otherwise(-F.col("high.v")).alias("value"))
+@query(sql(_STEPS + _peaks_sql("o", _STEP_LIMITS, D.Peaks(length=12, before=4)) + _EVENTS, "traces", recursive=True))
+def referenced_step_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Events in the first difference in time of what is left of the channels' mean."""
+    mean = F.aggregate("xs", F.lit(0).cast("long"), lambda s, x: s + x) / F.size("xs")
+    t = traces(spark, d).withColumn("_m", mean).withColumn("xs", F.transform("xs", lambda x: x - F.col("_m"))).drop("_m")
+    return _events(D.detect(S.stepped(t), _STEP_LIMITS, D.Peaks(length=12, before=4)))
 
 
 CROSS = ", l AS (SELECT *, lag(x) OVER (PARTITION BY session, ch ORDER BY sample) AS b FROM tx), hi AS MATERIALIZED (SELECT session, ch, sample FROM l WHERE x > 45 AND coalesce(b, 45) <= 45), lo AS MATERIALIZED (SELECT session, ch, sample FROM l WHERE x > 30 AND coalesce(b, 30) <= 30)"
@@ -100,17 +158,19 @@ def noise_windows(spark: SparkSession, d: str) -> DataFrame:
     SELECT session, ch, sample, EXISTS (SELECT 1 FROM f WHERE f.session = lo.session AND f.ch = lo.ch AND lo.sample BETWEEN f.a - 4 AND f.z + 4) AS flat FROM lo""", "tx"))
 def flat_event_mask(spark: SparkSession, d: str) -> DataFrame:
     """Events whose window touches a run of more than three samples in the same tens."""
-    w = S.over_time("ch")
-    v = trace_values(spark, d).withColumn("l", F.expr("x div 10"))
-    v = v.withColumn("new", F.when(F.col("l") == F.lag("l").over(w), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    v = v.withColumn("long", F.count("*").over(Window.partitionBy("session", "ch", "run")) > 3)
-    near = v.withColumn("flat", F.bool_or("long").over(w.rowsBetween(-4, 4)))
+    # in a run of more than three samples are those of any four alike, so eight samples to either side tell
+    w = S.over_time("ch", "block")
+    v = T.with_halo(trace_values(spark, d), "sample", 8, 8, S.BLOCK).withColumn("l", F.expr("x div 10"))
+    v = v.withColumn("four", (F.count("*").over(w.rowsBetween(0, 3)) == 4) & (F.min("l").over(w.rowsBetween(0, 3)) == F.max("l").over(w.rowsBetween(0, 3))))
+    v = v.withColumn("long", F.bool_or("four").over(w.rowsBetween(-3, 0)))
+    near = v.withColumn("flat", F.bool_or("long").over(w.rowsBetween(-4, 4))).filter("own")
     e = S.rising(trace_values(spark, d), 30).select("session", "ch", "sample")
     return e.join(near.select("session", "ch", "sample", "flat"), ["session", "ch", "sample"])
 
 
-@query(sql(CROSS + """, w AS (SELECT hi.session, hi.ch, hi.sample AS at, tx.sample - hi.sample AS k, tx.x FROM hi JOIN tx ON tx.session = hi.session AND tx.ch = hi.ch AND tx.sample BETWEEN hi.sample - 2 AND hi.sample + 3), m AS (SELECT ch, k, avg(x) AS m FROM w GROUP BY ch, k),
-    s AS (SELECT w.session, w.ch, w.at + w.k AS sample, sum(m.m) AS m FROM w JOIN m ON w.ch = m.ch AND w.k = m.k GROUP BY ALL) SELECT tx.session, tx.ch, tx.sample, round(tx.x - coalesce(s.m, 0), 6) AS residual FROM tx LEFT JOIN s USING (session, ch, sample)""", "tx"))
+@query(sql(CROSS.replace(" MATERIALIZED", "") + """, k AS (SELECT session, ch, sample AS at, unnest(range(-2, 4)) AS k FROM hi), w AS (SELECT k.session, k.ch, k.at + k.k AS sample, k.k, tx.x FROM k JOIN tx ON tx.session = k.session AND tx.ch = k.ch AND tx.sample = k.at + k.k),
+    m AS (SELECT ch, k, avg(x) AS m FROM w GROUP BY ch, k), s AS (SELECT w.session, w.ch, w.sample, sum(m.m) AS m FROM w JOIN m ON w.ch = m.ch AND w.k = m.k GROUP BY w.session, w.ch, w.sample)
+    SELECT tx.session, tx.ch, tx.sample, round(tx.x - coalesce(s.m, 0), 6) AS residual FROM tx LEFT JOIN s ON tx.session = s.session AND tx.ch = s.ch AND tx.sample = s.sample""", "tx"))
 def subtract_templates(spark: SparkSession, d: str) -> DataFrame:
     """The record without the mean waveform of each event, overlaps added up."""
     v = trace_values(spark, d)
@@ -145,7 +205,7 @@ def extract_group_chunk(spark: SparkSession, d: str) -> DataFrame:
     SELECT threshold, ch, count(*) AS events, count(DISTINCT session) AS sessions FROM l JOIN g ON x > threshold AND coalesce(b, threshold) <= threshold GROUP BY ALL""", "tx"))
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """What each of several thresholds would detect, in one pass."""
-    v = trace_values(spark, d).withColumn("b", F.lag("x").over(S.over_time("ch")))
+    v = T.with_halo(trace_values(spark, d), "sample", 1, 0, S.BLOCK).withColumn("b", F.lag("x").over(S.over_time("ch", "block"))).filter("own")
     g = F.filter(F.array(*map(F.lit, [20, 30, 40, 45, 48])), lambda t: (F.col("x") > t) & (F.coalesce("b", t) <= t))
     return v.select("session", "ch", F.explode(g).alias("threshold")).groupBy("threshold", "ch").agg(F.count("*").alias("events"), F.count_distinct("session").alias("sessions"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import signal as S
+from ..operators import timing as T
 from ..sources.adapters import features, sql, trace_values, traces
 from .registry import query
 
@@ -48,12 +49,11 @@ def common_average_reference(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("m", mean).select("session", "sample", "m", F.posexplode("xs").alias("ch", "x")).select("session", "sample", F.col("ch").cast("long").alias("ch"), F.round(F.col("x") - F.col("m"), 6).alias("y"))
 
 
-@query(sql(""", r AS (SELECT session, sample, xs[1] AS ref, xs[2] AS x FROM traces), m AS (SELECT session, avg(ref) AS mr, avg(x) AS mx, regr_slope(x, ref) AS beta FROM r GROUP BY session)
-    SELECT r.session, sample, round(x - mx - beta * (ref - mr), 4) AS residual FROM r JOIN m ON r.session = m.session""", "traces"))
+@query(sql(""", r AS (SELECT session, sample, ch, xs[1] AS ref, xs[ch + 1] AS x FROM traces, range(1, 4) c(ch)), m AS (SELECT session, ch, avg(ref) AS mr, avg(x) AS mx, regr_slope(x, ref) AS beta FROM r GROUP BY session, ch)
+    SELECT r.session, sample, r.ch, round(x - mx - beta * (ref - mr), 6) AS residual FROM r JOIN m ON r.session = m.session AND r.ch = m.ch""", "traces"))
 def reference_regression(spark: SparkSession, d: str) -> DataFrame:
-    r = traces(spark, d).select("session", "sample", F.get("xs", 0).alias("ref"), F.get("xs", 1).alias("x"))
-    m = r.groupBy("session").agg(F.avg("ref").alias("mr"), F.avg("x").alias("mx"), F.regr_slope("x", "ref").alias("beta"))
-    return r.join(m, "session").select("session", "sample", F.round(F.col("x") - F.col("mx") - F.col("beta") * (F.col("ref") - F.col("mr")), 4).alias("residual"))
+    """Every channel without what the first tells of it."""
+    return S.regressed(traces(spark, d), 0).withColumn("residual", F.round("y", 6)).drop("y")
 
 
 SPATIAL = {
@@ -76,11 +76,11 @@ for _order in SPATIAL:
     _spatial(_order)
 
 
-@query(sql(", y AS (SELECT session, sample, xs[1] - xs[2] AS a FROM traces) SELECT session, sample, a - coalesce(lag(a) OVER (PARTITION BY session ORDER BY sample), 0) AS y FROM y", "traces"))
+@query(sql(f", y AS (SELECT session, sample, list_transform({SPATIAL[2]}, lambda v: CAST(v AS DOUBLE)) AS y FROM traces), v AS (SELECT session, sample, unnest(y) AS a, unnest(range(0, 4)) AS ch FROM y) SELECT session, ch, sample, a - coalesce(lag(a) OVER (PARTITION BY session, ch ORDER BY sample), 0) AS y FROM v", "traces"))
 def spatiotemporal_difference(spark: SparkSession, d: str) -> DataFrame:
-    a = F.get("xs", 0) - F.get("xs", 1)
-    t = traces(spark, d).withColumn("a", a)
-    return t.select("session", "sample", (F.col("a") - F.coalesce(F.lag("a").over(S.over_time()), F.lit(0))).alias("y"))
+    """Every channel's first difference in time after that across channels."""
+    t = S.stepped(traces(spark, d).withColumn("xs", A.spatial(F.col("xs"), 2)))
+    return t.select("session", "sample", F.posexplode("xs").alias("ch", "y")).withColumn("ch", F.col("ch").cast("long"))
 
 
 @query(sql("SELECT session, sample, round(CAST(xs[2] - (xs[1] + xs[3]) / 2.0 AS DOUBLE), 6) AS e0, round(CAST(xs[1] AS DOUBLE) ^ 2 - 3 * xs[4], 6) AS e1, round(coalesce(xs[2] / nullif(xs[3] + 0.0, 0), 0), 6) AS e2 FROM traces", "traces"))
@@ -97,7 +97,7 @@ def extract_channels(spark: SparkSession, d: str) -> DataFrame:
     return traces(spark, d).filter(F.col("sample").between(100, 199)).select("session", "sample", F.round(at(0) * 1.5, 6).alias("a"), (at(2) - at(0)).alias("b"), (-at(3)).alias("c"))
 
 
-@query(sql(", a AS MATERIALIZED (SELECT session, sample, xs[4] AS c0, xs[3] AS c1, xs[1] AS c2 FROM traces), b AS MATERIALIZED (SELECT session, sample, c2 FROM a WHERE sample < 500) SELECT a.session, a.sample, a.c0, a.c1, b.c2 FROM a JOIN b USING (session, sample)", "traces"))
+@query(sql(", b AS (SELECT session, sample, xs[1] AS c2 FROM traces WHERE sample < 500) SELECT a.session, a.sample, a.xs[4] AS c0, a.xs[3] AS c1, b.c2 FROM traces a JOIN b ON a.session = b.session AND a.sample = b.sample", "traces"))
 def merge_channels(spark: SparkSession, d: str) -> DataFrame:
     """Reordered channels of one record beside another's, cut to the shorter."""
     t = traces(spark, d)
@@ -116,21 +116,26 @@ def concatenate_sessions(spark: SparkSession, d: str) -> DataFrame:
     return t.join(o, "session").select("session", "sample", (F.col("o") + F.col("sample")).alias("at"))
 
 
-@query(sql(", l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 45) AS b FROM tx) SELECT session, ch, sample, x FROM l WHERE x > 45 AND b <= 45", "tx"))
+_CROSSED = """, l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 45) AS b FROM tx), e AS (SELECT session, ch, sample, x FROM l WHERE x > 45 AND b <= 45),
+    j AS (SELECT *, min(sample) OVER (PARTITION BY session, ch ORDER BY sample RANGE BETWEEN {step} FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM e),
+    k AS (SELECT session, ch, min(sample) AS sample FROM e GROUP BY session, ch UNION ALL SELECT j.session, j.ch, j.next FROM k JOIN j ON k.session = j.session AND k.ch = j.ch AND k.sample = j.sample WHERE j.next IS NOT NULL)
+    SELECT e.session, e.ch, e.sample, e.x FROM e JOIN k ON e.session = k.session AND e.ch = k.ch AND e.sample = k.sample"""
+
+
+@query(sql(_CROSSED.format(step=12), "tx", recursive=True))
 def threshold_crossings(spark: SparkSession, d: str) -> DataFrame:
-    return S.rising(trace_values(spark, d), 45).select("session", "ch", "sample", "x")
+    """Upward crossings at least 12 samples after the last one kept."""
+    return S.refractory(S.rising(trace_values(spark, d), 45), 12, reject_equal=False).select("session", "ch", "sample", "x")
 
 
 @query(sql(", l AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS a FROM tx WINDOW w AS (PARTITION BY session, ch ORDER BY sample)) SELECT session, ch, sample, x FROM l WHERE abs(x) > 40 AND x >= b AND x > a", "tx"))
 def local_extrema(spark: SparkSession, d: str) -> DataFrame:
-    w = S.over_time("ch")
-    v = trace_values(spark, d).withColumns({"b": F.lag("x").over(w), "a": F.lead("x").over(w)})
-    return v.filter("abs(x) > 40 AND x >= b AND x > a").select("session", "ch", "sample", "x")
+    w = S.over_time("ch", "block")
+    v = T.with_halo(trace_values(spark, d), "sample", 1, 1, S.BLOCK).withColumns({"b": F.lag("x").over(w), "a": F.lead("x").over(w)})
+    return v.filter("own AND abs(x) > 40 AND x >= b AND x > a").select("session", "ch", "sample", "x")
 
 
-@query(sql(""", l AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY session, ch ORDER BY sample), 45) AS b FROM tx), e AS MATERIALIZED (SELECT session, ch, sample FROM l WHERE x > 45 AND b <= 45),
-    k AS (SELECT session, ch, min(sample) AS sample FROM e GROUP BY session, ch UNION ALL SELECT k.session, k.ch, (SELECT min(e.sample) FROM e WHERE e.session = k.session AND e.ch = k.ch AND e.sample > k.sample + 20) FROM k WHERE k.sample IS NOT NULL)
-    SELECT session, ch, sample FROM k WHERE sample IS NOT NULL""", "tx", recursive=True))
+@query(sql(_CROSSED.format(step=21).replace(", e.x FROM", " FROM"), "tx", recursive=True))
 def refractory_detection(spark: SparkSession, d: str) -> DataFrame:
     """Crossings of each channel without those within 20 samples of the last one kept."""
     return S.refractory(S.rising(trace_values(spark, d), 45), 20).select("session", "ch", "sample")
