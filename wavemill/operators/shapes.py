@@ -35,15 +35,6 @@ def median_and_mad(values: DataFrame, by: list[str]) -> DataFrame:
     return off
 
 
-def nearest_model(values: DataFrame, models: DataFrame, cost: Column) -> DataFrame:
-    """spike_id, cluster, nearest, cost: the model with the smallest summed cost over dimensions, ties to the smaller id.
-
-    models(d, m, ...) has a row per model and dimension and must be small; it is joined on d.
-    """
-    summed = values.join(models, "d").groupBy("spike_id", "cluster", "m").agg(F.sum(cost).alias("cost"))
-    return summed.groupBy("spike_id", "cluster").agg(F.min(F.struct("cost", "m")).alias("b")).select("spike_id", "cluster", F.col("b.m").alias("nearest"), F.col("b.cost").alias("cost"))
-
-
 def weighted_median(rows: DataFrame, by: str, value: str, weight: str) -> DataFrame:
     """by, value: the first value whose cumulative weight reaches half of the total."""
     per = rows.groupBy(by, value).agg(F.sum(weight).alias("_w"))
@@ -87,16 +78,17 @@ def covariances(rows: DataFrame, column: str) -> DataFrame:
 def kth_smallest(rows: DataFrame, by: str, value: str, k: str, parts: int = 256) -> DataFrame:
     """by, value: of each group its k-th smallest value (k: a column, the same within a group; fewer values give no row).
 
-    Values fall into equal parts of the group's range, the part with the k-th is found by counting, and only that part is ranked.
+    Quantiles cut a group's values into parts of about as many, the part with the k-th is found by counting, and only that part's values are counted one by one.
     """
-    ends = rows.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (parts - 1))).otherwise(0)
-    a = rows.join(ends, by).withColumn("_part", at)
-    w = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = a.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.first(k).alias("_k")).withColumn("_upto", F.sum("_n").over(w))
-    hit = counts.filter("_upto >= _k AND _upto - _n < _k").select(by, "_part", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_k"))
-    i = F.row_number().over(Window.partitionBy(by).orderBy(value))
-    return a.join(hit, [by, "_part"]).withColumn("_i", i).filter("_i = _k").select(by, value)
+    cuts = rows.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
+    a = rows.select(F.col(by).alias("_g"), F.col(value).alias("_v"), F.col(k).alias("_want")).join(cuts, F.col("_g").eqNullSafe(F.col("_by")))
+    a = a.select("_g", "_v", "_want", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_part"))
+    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = a.groupBy("_g", "_part").agg(F.count("*").alias("_n"), F.first("_want").alias("_want")).withColumn("_upto", upto).filter("_upto >= _want AND _upto - _n < _want")
+    hit = hit.select(F.col("_g").alias("_hg"), F.col("_part").alias("_hp"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_left"))
+    own = a.join(hit, F.col("_g").eqNullSafe(F.col("_hg")) & (F.col("_part") == F.col("_hp"))).groupBy("_g", "_left", "_v").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return own.withColumn("_upto", upto).filter("_upto >= _left AND _upto - _n < _left").select(F.col("_g").alias(by), F.col("_v").alias(value))
 
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
@@ -109,26 +101,31 @@ def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     return a.withColumn("_i", own).join(each.select("_p", before.alias("_b")), "_p").withColumn(name, F.col("_i") + F.col("_b") - 1).drop("_p", "_i", "_b")
 
 
-def vote(queries: DataFrame, pool: DataFrame, k: int, most: int = 20_000) -> DataFrame:
-    """spike_id, cluster, winner, votes: the cluster most frequent among each query's k nearest rows of the pool, ties to the smaller id.
+def vote(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """spike_id, cluster, winner, votes: the cluster most frequent among each query's k nearest rows of the whole pool, ties to the smaller id.
 
-    The pool are reference rows, up to `most` of them: those with the smallest hashes of their id where there are more, so what is sent to
-    every task is bounded. Distances are squares of whole numbers, ties to the smaller spike_id.
+    The pool is cut into blocks of about so many rows; every block gives its k nearest to each block of queries as one matrix product, and those are merged. Distances
+    are squares of whole numbers, ties to the smaller spike_id. Without a pool no rows.
     """
-    rows = pool.orderBy(F.xxhash64("spike_id"), "spike_id").limit(most).select("spike_id", "cluster", "fet").toPandas().sort_values("spike_id")
-    ids, refs = rows["spike_id"].to_numpy(), rows["cluster"].to_numpy()
-    sent = pool.sparkSession.sparkContext.broadcast((ids, refs, np.stack(rows["fet"].to_numpy()) if len(rows) else np.zeros((0, 0), np.int64)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, refs, x = sent.value
-        for batch in batches:
-            out = []
-            for spike, cluster, q in zip(batch["spike_id"], batch["cluster"], batch["fet"], strict=True):
-                if len(ids):
-                    far = ((x - np.asarray(q)) ** 2).sum(1)
-                    near = refs[np.argsort(far, kind="stable")[:k]]
-                    name, votes = np.unique(near, return_counts=True)
-                    out.append((spike, cluster, name[votes.argmax()], votes.max()))
-            yield pd.DataFrame(out, columns=["spike_id", "cluster", "winner", "votes"])
-
-    return queries.select("spike_id", "cluster", "fet").mapInPandas(run, "spike_id long, cluster long, winner long, votes long")
+    spread = lambda rows, n: F.pmod(F.xxhash64("spike_id"), F.lit(n)).cast("int")
+    many = [max(1, -(-rows.count() // block)) for rows in (queries, pool)]
+    fields = ["spike_id", "cluster", "fet"]
+    left = queries.select(*fields).withColumn("q", spread(queries, many[0])).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(many[1] - 1))))
+    right = pool.select(*fields).withColumn("p", spread(pool, many[1])).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(many[0] - 1))))
+
+    def near(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["spike_id", "cluster", "far", "other", "ref"])
+        b = b.sort_values("spike_id")
+        x, y = (np.stack(t["fet"].to_numpy()).astype(float) for t in (a, b))
+        far = np.rint((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)).astype(np.int64)
+        at = np.argsort(far, axis=1, kind="stable")[:, :k]
+        n = at.shape[1]
+        found = {"spike_id": np.repeat(a["spike_id"].to_numpy(), n), "cluster": np.repeat(a["cluster"].to_numpy(), n), "far": np.take_along_axis(far, at, 1).ravel()}
+        return pd.DataFrame(found | {"other": b["spike_id"].to_numpy()[at].ravel(), "ref": b["cluster"].to_numpy()[at].ravel()})
+
+    found = left.groupBy("q", "p").cogroup(right.groupBy("q", "p")).applyInPandas(near, "spike_id long, cluster long, far long, other long, ref long")
+    w = Window.partitionBy("spike_id").orderBy("far", "other")
+    votes = found.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k).groupBy("spike_id", "cluster", "ref").agg(F.count("*").alias("n"))
+    best = votes.groupBy("spike_id", "cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "ref")).alias("b"))
+    return best.select("spike_id", "cluster", F.col("b.ref").alias("winner"), (-F.col("b.n")).alias("votes"))

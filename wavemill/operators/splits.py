@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .models import Mixture, _costs
+
 
 def _neighbours(grid: np.ndarray) -> np.ndarray:
     """The eight neighbours of every cell; nan from outside."""
@@ -87,15 +89,36 @@ def watershed(points: DataFrame, size: int = 256, least: int = 20) -> DataFrame:
     return placed.join(parts, ["cluster", "_i", "_j"], "left").drop("_i", "_j").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
 
 
-def _log_normal(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
-    return -0.5 * np.log(2 * np.pi) - np.log(sd) - 0.5 * ((x - mean) / sd) ** 2
-
-
-def two_gaussians(values: DataFrame, bins: int = 4096, rounds: int = 100) -> DataFrame:
-    """cluster, n, the two means, deviations and weights, bic1, bic2 and ashman from values(cluster, x).
-
-    Expectation and maximisation from the two sides of the median, on the means of at most `bins` equal parts of a cluster's range; bic1 and bic2 are
-    of one and two Gaussians, ashman the distance of the means in deviations (2 or more: apart). With fewer than 4 values or no extent all but n are null.
+def apart(x: np.ndarray, n: np.ndarray) -> int:
+    """How many of the ordered values x (n of each) go to the left so that both sides vary least about their means."""
+    count, total = np.cumsum(n)[:-1], np.cumsum(n * x)[:-1]
+    # the squares of all are the same; what the two means take of them is largest
+    taken = total**2 / count + ((n @ x) - total) ** 2 / (n.sum() - count)
+    return int(taken.argmax()) + 1
+
+
+def soft_classes(x: np.ndarray, n: np.ndarray, model: Mixture, floor: float, rounds: int) -> Mixture:
+    """Expectation and maximisation on values x, n of each: every value belongs to each class in part. The score is the log likelihood; it ends when that hardly rises."""
+    column, power = x[:, None], np.column_stack([np.ones_like(x), x, x * x])
+    for _ in range(rounds):
+        log = -_costs(column, model)
+        whole = np.logaddexp.reduce(log, axis=1)
+        score = float(n @ whole)
+        if score <= model.score + 1e-9 * abs(score):
+            break
+        sums = (np.exp(log - whole[:, None]) * n[:, None]).T @ power
+        mean = sums[:, 1:2] / np.maximum(sums[:, :1], 1e-300)
+        var = np.maximum(sums[:, 2:] / np.maximum(sums[:, :1], 1e-300) - mean**2, floor)
+        model = Mixture(mean, var, np.maximum(sums[:, 0] / n.sum(), 1e-300), score)
+    return model
+
+
+def two_gaussians(values: DataFrame, bins: int = 4096, rounds: int = 500) -> DataFrame:
+    """cluster, n, the two means, deviations and weights (by rising mean), bic1, bic2 and ashman from values(cluster, x).
+
+    A cluster's range is cut into at most `bins` equal parts, and their means are fitted by one and by two classes, these from the cut with the least variance on its sides; no class is
+    narrower than a part. bic1 and bic2 are their information criteria, ashman the distance of the means in deviations (2 or more: apart). With fewer than 4 values or no
+    extent all but n are null. Null values and values that are no numbers do not count.
     """
     real = values.filter("abs(x) < double('infinity')")
     box = real.groupBy("cluster").agg(F.min("x").alias("_low"), F.max("x").alias("_high"))
@@ -106,36 +129,22 @@ def two_gaussians(values: DataFrame, bins: int = 4096, rounds: int = 100) -> Dat
     def run(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("x")
         x, n = cells["x"].to_numpy(float), cells["n"].to_numpy(float)
-        total = n.sum()
-        out = pd.DataFrame([[int(cells["cluster"].iloc[0]), int(total), *[None] * len(names)]], columns=["cluster", "n", *names])
-        if total < 4 or len(x) < 2:
-            return out
-        left = (np.cumsum(n) <= total / 2) | (np.arange(len(x)) == 0)
-        mean, sd, weight = np.empty(2), np.empty(2), np.empty(2)
-        for k, side in enumerate((left, ~left)):
-            weight[k] = n[side].sum() / total
-            mean[k] = np.average(x[side], weights=n[side])
-            sd[k] = max(np.sqrt(np.average((x[side] - mean[k]) ** 2, weights=n[side])), 1e-6)
-        joint = lambda: _log_normal(x[:, None], mean, sd) + np.log(weight)
-        last = -np.inf
-        for _ in range(rounds):
-            log = joint()
-            norm = np.logaddexp(log[:, 0], log[:, 1])
-            share = np.exp(log - norm[:, None]) * n[:, None]
-            held = share.sum(0)
-            score = float((norm * n).sum())
-            if held.min() < 1 or abs(score - last) < 1e-5:
-                break
-            last, weight = score, held / total
-            mean = (share * x[:, None]).sum(0) / held
-            sd = np.sqrt(np.maximum((share * (x[:, None] - mean) ** 2).sum(0) / held, 1e-12))
-        m = np.average(x, weights=n)
-        s = max(np.sqrt(np.average((x - m) ** 2, weights=n)), 1e-6)
-        log = joint()
-        bic1 = -2 * (_log_normal(x, m, s) * n).sum() + 2 * np.log(total)
-        bic2 = -2 * (np.logaddexp(log[:, 0], log[:, 1]) * n).sum() + 5 * np.log(total)
-        out.loc[0, names] = [*mean, *sd, *weight, bic1, bic2, np.sqrt(2) * abs(mean[0] - mean[1]) / np.sqrt((sd**2).sum())]
-        return out
+        total, found = n.sum(), [None] * len(names)
+        if total >= 4 and len(x) > 1:
+            floor = max((np.ptp(x) / bins) ** 2, 1e-12)
+            cut = apart(x, n)
+            fits = []
+            for sides in ([slice(None)], [slice(cut), slice(cut, None)]):
+                mean = np.array([[np.average(x[s], weights=n[s])] for s in sides])
+                var = np.array([[max(np.average((x[s] - m) ** 2, weights=n[s]), floor)] for s, (m,) in zip(sides, mean, strict=True)])
+                begun = Mixture(mean, var, np.array([n[s].sum() / total for s in sides]), -np.inf)
+                fits.append(soft_classes(x, n, begun, floor, rounds))
+            one, two = fits
+            order = two.mean[:, 0].argsort()
+            mean, sd = two.mean[order, 0], np.sqrt(two.var[order, 0])
+            bic = [(3 * k - 1) * np.log(total) - 2 * fit.score for k, fit in ((1, one), (2, two))]
+            found = [*mean, *sd, *two.weight[order], *bic, np.sqrt(2 / (sd @ sd)) * (mean[1] - mean[0])]
+        return pd.DataFrame([[int(cells["cluster"].iloc[0]), int(total), *found]], columns=["cluster", "n", *names])
 
     return counts.groupBy("cluster").applyInPandas(run, "cluster long, n long, " + ", ".join(f"{c} double" for c in names))
 

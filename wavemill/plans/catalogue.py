@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import curation, detect, drift, matching, models, shapes, signal, timing, units  # noqa: F401
+from . import curation, detect, drift, matching, models, shapes, signal, sorting, timing, units  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

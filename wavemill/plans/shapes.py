@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import distances as N
 from ..operators import shapes as P
 from ..sources.adapters import feature_values, features, spikes, sql, waveform_values
 from .registry import query
@@ -95,23 +96,23 @@ def chunk_state(spark: SparkSession, d: str) -> DataFrame:
 DIAG = ", m AS (SELECT cluster AS m, d, avg(x) AS mu, var_samp(x) AS v, count(*) AS k FROM fx GROUP BY cluster, d), q AS (SELECT fx.spike_id, fx.cluster, m.m, any_value(k) AS k, sum((x - mu) * (x - mu) / v) AS dist FROM fx JOIN m ON fx.d = m.d GROUP BY fx.spike_id, fx.cluster, m.m) "
 
 
-def _models(spark: SparkSession, d: str) -> DataFrame:
-    return feature_values(spark, d).groupBy(F.col("cluster").alias("m"), "d").agg(F.avg("x").alias("mu"), F.var_samp("x").alias("v"), F.count("*").alias("k"))
+def _diagonal(spark: SparkSession, d: str) -> N.Models:
+    """Each cluster's means and variances, without covariances."""
+    return N.models(feature_values(spark, d), F.avg("x"), F.var_samp("x"))
 
 
 @query(sql(DIAG + "SELECT spike_id, cluster, arg_min(m, (dist, m)) AS nearest, round(min(dist), 4) AS cost FROM q GROUP BY spike_id, cluster", "fx"))
 def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """The cluster of the smallest diagonal Mahalanobis distance. Models are a few rows per cluster."""
-    cost = (F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")) / F.col("v")
-    return P.nearest_model(feature_values(spark, d), _models(spark, d), cost).withColumn("cost", F.round("cost", 4))
+    """The cluster of the smallest diagonal Mahalanobis distance."""
+    return N.nearest(features(spark, d), "fet", _diagonal(spark, d)).withColumn("cost", F.round("cost", 4))
 
 
 @query(sql(DIAG + ", r AS (SELECT m, k, dist, row_number() OVER (PARTITION BY m ORDER BY dist) AS i FROM q WHERE cluster <> m AND cluster > 1) SELECT m AS cluster, round(dist, 4) AS isolation FROM r WHERE i = k", "fx"))
 def isolation_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Per cluster of n spikes the n-th smallest distance of others' spikes."""
-    x = feature_values(spark, d).join(_models(spark, d), "d").filter("cluster <> m AND cluster > 1")
-    dist = x.groupBy("spike_id", "m").agg(F.first("k").alias("k"), F.sum((F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")) / F.col("v")).alias("dist"))
-    return P.kth_smallest(dist, "m", "dist", "k").select(F.col("m").alias("cluster"), F.round("dist", 4).alias("isolation"))
+    """Per cluster of n spikes the n-th smallest distance of others' spikes, noise apart."""
+    held = _diagonal(spark, d)
+    found = N.kth_distances(features(spark, d).filter("cluster > 1"), "fet", held, held.count)
+    return spark.createDataFrame(sorted(found.items()), "cluster long, isolation double").withColumn("isolation", F.round("isolation", 4))
 
 
 @query(sql(", v AS (SELECT cluster, d, var_samp(x) AS v FROM fx GROUP BY cluster, d) SELECT cluster, round(power(sum(v), 2) / sum(v * v), 6) AS dimensions FROM v GROUP BY cluster", "fx"))
@@ -220,22 +221,17 @@ ERROR = """, e AS (SELECT q.spike_id, q.cluster, q.m, -0.5 * (dist + l) AS z FRO
 @query(sql(DIAG + ERROR, "fx"))
 def error_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Mean posterior of each cluster's spikes under each diagonal model; the diagonal is 0."""
-    models = _models(spark, d)
-    cost = F.sum((F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")) / F.col("v") + F.log("v"))
-    z = feature_values(spark, d).join(models, "d").groupBy("spike_id", "cluster", "m").agg((-0.5 * cost).alias("z"))
-    w = Window.partitionBy("spike_id")
-    p = z.withColumn("p", F.exp(F.col("z") - F.max("z").over(w))).withColumn("p", F.col("p") / F.sum("p").over(w))
-    return p.groupBy(F.col("cluster").alias("a"), F.col("m").alias("b")).agg(F.avg("p").alias("e")).select("a", "b", F.round(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("e")), 6).alias("error"))
+    e = N.posteriors(features(spark, d), "fet", _diagonal(spark, d))
+    return e.select("a", "b", F.round(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("error")), 6).alias("error"))
 
 
 @query(sql(MAD + """, z AS (SELECT spike_id, fx.cluster, r.cluster AS m, sum(((x - med) / mad) ** 2) AS dist FROM fx JOIN r ON fx.d = r.d WHERE fx.cluster < 2 AND r.cluster >= 2 GROUP BY spike_id, fx.cluster, r.cluster)
     SELECT spike_id, cluster, arg_min(m, (dist, m)) AS nearest, round(min(dist), 3) AS dist, min(dist) <= 64 * power(1 - 2 / (9.0 * 64) + 2.326348 * sqrt(2 / (9.0 * 64)), 3) AS accepted FROM z GROUP BY spike_id, cluster""", "fx"))
 def shadow_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Spikes of the noise clusters go to the robustly nearest unit if the distance passes the chi-square gate (Wilson-Hilferty, 99 %)."""
-    f = feature_values(spark, d)
-    models = P.median_and_mad(f.filter("cluster >= 2"), ["cluster", "d"]).withColumnRenamed("cluster", "m")
-    z = (F.col("x") - F.col("med")) / F.col("mad")
-    out = P.nearest_model(f.filter("cluster < 2"), models, z * z)
+    models = P.median_and_mad(feature_values(spark, d).filter("cluster >= 2"), ["cluster", "d"])
+    held = N.models(models.withColumn("x", F.lit(0)), F.first("med"), F.first(F.col("mad") * F.col("mad")))
+    out = N.nearest(features(spark, d).filter("cluster < 2"), "fet", held)
     gate = 64 * (1 - 2 / (9.0 * 64) + 2.326348 * (2 / (9.0 * 64)) ** 0.5) ** 3
     return out.select("spike_id", "cluster", "nearest", F.round("cost", 3).alias("dist"), (F.col("cost") <= gate).alias("accepted"))
 

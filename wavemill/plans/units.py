@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import curation as C
+from ..operators import distances as N
 from ..operators import shapes as P
 from ..operators import timing as T
 from ..sources.adapters import feature_values, features, intervals, spikes, sql, table, waveform_values
 from .registry import QUERIES, query
-from .shapes import DIAG, ERROR, _models
+from .shapes import DIAG, ERROR, _diagonal
 
 
 @query(sql(DIAG + """, e AS (SELECT m, k, dist / 2 AS h FROM q WHERE cluster <> m AND cluster > 1)
     SELECT m AS cluster, round(sum(list_sum(list_transform(range(0, 32), lambda i: exp(i * ln(h) - h - lgamma(i + 1))))) / any_value(k), 6) AS l_ratio FROM e GROUP BY m""", "fx"))
 def l_ratio(spark: SparkSession, d: str) -> DataFrame:
     """How likely other units' spikes are at their distances from a unit, summed, over its spikes. For an even number of dimensions the chi-square tail is a finite sum."""
-    x = feature_values(spark, d).join(_models(spark, d), "d").filter("cluster <> m AND cluster > 1")
-    gap = F.col("x") - F.col("mu")
-    dist = x.groupBy("spike_id", "m").agg(F.first("k").alias("k"), F.sum(gap * gap / F.col("v")).alias("dist"))
-    tail = A.chi_square_tail(F.col("dist"), 64)
-    return dist.groupBy(F.col("m").alias("cluster")).agg(F.round(F.sum(tail) / F.first("k"), 6).alias("l_ratio"))
+    held = _diagonal(spark, d)
+    sizes = spark.createDataFrame(list(zip(held.names.tolist(), held.count.tolist(), strict=True)), "m long, k long")
+    tails = N.tails(features(spark, d).filter("cluster > 1"), "fet", held).join(F.broadcast(sizes), "m")
+    return tails.select(F.col("m").alias("cluster"), F.round(F.col("total") / F.col("k"), 6).alias("l_ratio"))
 
 
 @query(sql(""", m AS (SELECT cluster, s, ch, avg(x) AS m, CASE WHEN stddev_pop(x) > 0 THEN kurtosis_pop(x) ELSE 0 END AS k FROM wx GROUP BY ALL), p AS (SELECT cluster, ch, max(m) - min(m) AS ptp, arg_max(s, (round(abs(m), 6), -s)) AS peak FROM m GROUP BY ALL),
