@@ -425,6 +425,18 @@ def test_importance(spark, odd, empty):
     assert importance.resample(space(spark), empty, labels).count() == 0
 
 
+def test_importance_of_repeated_rows(spark):
+    # as many as the share says, however many rows stand at the border
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    same = spark.createDataFrame([(1, "one two three")] * 100, "doc_id long, text string")
+    got = importance.resample(space(spark), same, labels).collect()
+    assert len(got) == 100 and sum(x.kept for x in got) == 85
+    mixed = spark.createDataFrame([(i % 3 if i % 4 else None, "one two three") for i in range(90)], "doc_id long, text string")
+    got = importance.resample(space(spark), mixed, labels, importance.Resampling(share=0.5)).collect()
+    assert len(got) == 90 and sum(x.kept for x in got) == 45
+    assert Counter(x.doc_id for x in got) == Counter(x.doc_id for x in mixed.collect())
+
+
 def brute_log_weights(rows, target, how):
     """Bags of words and pairs of words over their buckets, counted one by one."""
     from wavemill.llm.common import WordHashes
@@ -475,7 +487,7 @@ def test_chat(spark):
             (3, 0, "system", "s"), (3, 1, "user", "other"), (4, None, None, None), (4, 5, "a>b\n\\", "</turn> <turn x>\\ \\t"), (5, 0, "assistant", ""), (None, 0, "assistant", "z"), (6, 0, "system", "s"), (6, 1, "user", "hi"), (6, 2, "assistant", "yo")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(0))
     tree = chat.build(space(spark), df)
-    got = {x.conv_id: x for x in chat.read_back(tree).collect()}
+    got = {x.conv_id: x for x in chat.read_back(space(spark), tree).collect()}
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((-1 if t is None else t, r or "", x or ""))
@@ -502,7 +514,24 @@ def test_chat(spark):
         for x in sorted(nodes_of, key=lambda x: x.start):
             assert x.start == at
             at += x.length
-    assert chat.read_back(chat.build(space(spark), df.limit(0))).count() == 0
+    assert chat.read_back(space(spark), chat.build(space(spark), df.limit(0))).count() == 0
+
+
+def test_chat_is_read_from_its_layout(spark):
+    # a layout damaged on purpose is noticed, or says something else
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {c % 3 if t < 2 else c} {'x' * 5000 * (t == 1)}") for c in range(12) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    ws = space(spark)
+    tree = chat.build(ws, df)
+    for width in (100, 4096):
+        good = {x.conv_id: x for x in chat.read_back(ws, tree, width).collect()}
+        assert len(good) == 12 and all(x.n_turns == 4 for x in good.values())
+    swapped = chat.Tree(tree.nodes, tree.stream.withColumn("segment", F.regexp_replace("segment", "turn 0 of 1", "turn 9 of 1")), tree.leaves)
+    changed = {x.conv_id for x in chat.read_back(ws, swapped).collect() if x.turns_sha256 != good[x.conv_id].turns_sha256}
+    assert changed == {c for c in range(12) if c % 3 == 1}
+    for nodes in (tree.nodes.withColumn("position", F.col("position") + 1), tree.nodes.withColumn("attends", F.slice("attends", 2, 9))):
+        with pytest.raises(Exception, match="intervals of a conversation"):
+            chat.read_back(ws, chat.Tree(nodes, tree.stream, tree.leaves)).collect()
 
 
 def brute_targets(sizes, weights=(5, 2, 1)):
@@ -619,6 +648,10 @@ def test_language(spark, odd, empty, small):
     assert told[1] == told[2] == told[6] == "und" and told[9] != "und"
     assert {x.lang_pred for x in langid.identify(odd, langid.learn(empty)).collect()} == {"und"}
     assert langid.identify(empty, model).count() == 0
+    # numerals, fractions and signs are no letters; marks and letters of any script are
+    signs = spark.createDataFrame([(1, "\u00bd \u00b2 3"), (2, "\u2167 \u2464"), (3, "123 -- 4_5"), (4, "\u0301"), (5, "3 \u00aa"), (6, "\u4e2d"), (7, "1 x 2")], "doc_id long, text string")
+    told = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(signs, model).collect()}
+    assert all(told[i] == ("und", 0.0) for i in (1, 2, 3, 4)) and all(told[i][0] != "und" for i in (5, 6, 7))
 
 
 def test_language_by_brute_force():

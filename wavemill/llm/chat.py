@@ -48,12 +48,12 @@ def parsed(formatted: str) -> tuple[str, str]:
 class Tree:
     """nodes(tree, node, parent, depth, length, position, start, attends): start is the place in the tree's
     depth-first layout, position that of the first unit in its conversation, attends the ancestors' intervals [from, to).
-    segments(node, segment): the formatted turn of each node, stored once. turns(conv, depth, node): which nodes a conversation
-    goes through."""
+    stream(tree, start, segment): the layout itself, the formatted turn of each node at its place, once. leaves(conv, node): where each
+    conversation ends."""
 
     nodes: DataFrame
-    segments: DataFrame
-    turns: DataFrame
+    stream: DataFrame
+    leaves: DataFrame
 
 
 def _by_conversation(df: DataFrame, *order) -> DataFrame:
@@ -149,8 +149,10 @@ def build(ws: Workspace, conversations: DataFrame) -> Tree:
     seen = _by_conversation(turns.join(places, "node"), "depth").mapInPandas(_attended, "node binary, attends array<struct<from:long,to:long>>")
     seen = ws.save(seen.groupBy("node").agg(F.first("attends").alias("attends")), "attends")
     tree = ws.save(nodes.join(places, "node").join(seen, "node"), "tree")
-    ws.drop(nodes, forks, branches, paths, laid, runs, places, seen)
-    return Tree(tree, segments, turns.select("conv", "depth", "node"))
+    stream = ws.save(tree.select("node", "tree", "start").join(segments, "node").select("tree", "start", "segment"), "stream")
+    leaves = ws.save(turns.groupBy("conv").agg(F.max_by("node", "depth").alias("node")), "leaves")
+    ws.drop(nodes, forks, branches, paths, laid, runs, places, seen, segments, turns)
+    return Tree(tree, stream, leaves)
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,11 +160,13 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     conv, n, chars, loss_chars, turns, loss = _START, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
     for batch in batches:
         rows = []
-        for c, formatted in zip(batch["conv"], batch["segment"], strict=True):
+        for c, at, position, formatted in zip(batch["conv"], batch["at"], batch["position"], batch["segment"], strict=True):
             if c != conv:
                 if conv is not _START:
                     rows.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                 conv, n, chars, loss_chars, turns, loss = c, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+            if at != chars or (position >= 0 and position != chars):
+                raise ValueError("the intervals of a conversation do not cover it, or its position ids are others")
             role, text = parsed(formatted)
             turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             n, chars = n + 1, chars + len(formatted)
@@ -174,11 +178,21 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)], columns=columns)
 
 
-def read_back(tree: Tree) -> DataFrame:
-    """Per conversation what its nodes' formatted turns say: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+def read_back(ws: Workspace, tree: Tree, width: int = 4096) -> DataFrame:
+    """Per conversation what the laid-out stream says: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The loss mask lies on the texts of assistant turns.
+    A conversation is what its last turn attends to and that turn itself: those intervals are cut out of its tree's stream and must join up, with the position ids
+    that the turn says. The loss mask lies on the texts of assistant turns. Intervals and turns meet by tree and by parts of the layout of this width.
     """
-    rows = _by_conversation(tree.turns.join(tree.segments, "node"), "depth")
+    leaf = tree.leaves.join(tree.nodes, "node")
+    own = F.struct(F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to"))
+    cuts = leaf.select("conv", "tree", "start", "position", F.posexplode(F.concat("attends", F.array(own))).alias("_k", "_cut"), F.concat("attends", F.array(own)).alias("_all"))
+    before = F.aggregate(F.slice("_all", F.lit(1), F.col("_k")), F.lit(0).cast("long"), lambda n, c: n + c["to"] - c["from"])
+    cuts = cuts.select("conv", F.col("tree").alias("_tree"), "_cut.*", before.alias("_before"), F.col("start").alias("_leaf"), F.col("position").alias("_position"))
+    part = lambda x: F.floor(x / width)
+    cuts = ws.save(cuts.withColumn("_part", F.explode(F.sequence(part(F.col("from")), part(F.col("to") - 1)))), "cuts")
+    stream = ws.save(tree.stream.withColumn("part", part(F.col("start"))), "parts")
+    found = stream.join(cuts, (F.col("tree") == F.col("_tree")) & (F.col("part") == F.col("_part")) & (F.col("start") >= F.col("from")) & (F.col("start") < F.col("to")))
+    rows = found.select("conv", "start", "segment", (F.col("_before") + F.col("start") - F.col("from")).alias("at"), F.when(F.col("start") == F.col("_leaf"), F.col("_position")).otherwise(-1).alias("position"))
     fields = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return rows.mapInPandas(_read, fields).withColumn("conv_id", F.col("conv").cast("long")).drop("conv")
+    return _by_conversation(rows, "start").mapInPandas(_read, fields).withColumn("conv_id", F.col("conv").cast("long")).drop("conv")

@@ -13,7 +13,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, WordHashes, Workspace, mixed
@@ -47,11 +47,11 @@ def log_ratios(docs: DataFrame, target: Column, how: Resampling) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, counts = WordHashes(), np.zeros((2, how.buckets), np.int64)
         for batch in batches:
-            for text, is_target in zip(batch["text"], batch["target"], strict=True):
-                n = np.bincount(grams(text, hashes, how), minlength=how.buckets)
-                counts[0] += n
-                if is_target:
-                    counts[1] += n
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                own = [grams(t, hashes, how) for t in part["text"]]
+                for row, found in ((0, own), (1, [g for g, is_target in zip(own, part["target"], strict=True) if is_target])):
+                    counts[row] += np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=how.buckets)
         yield pd.DataFrame({"bucket": np.arange(how.buckets), "raw": counts[0], "target": counts[1]})
 
     sums = docs.select("text", target.alias("target")).mapInPandas(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
@@ -109,7 +109,9 @@ def resample(ws: Workspace, docs: DataFrame, labels: DataFrame, how: Resampling
     scored = ws.save(rows.select(F.col("d").cast("long").alias("doc_id"), "n_grams", "log_weight", key.alias("key")), "scored")
     n = scored.count()
     border, want = _border(scored, ceil(how.share * n)) if n else (0.0, 0)
-    # rows just at the border: as many as are wanted, by doc_id
-    last = scored.filter(F.col("key") == border).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).orderBy(F.col("_id").asc_nulls_last()).limit(want)
-    out = scored.join(F.broadcast(last), scored.doc_id.eqNullSafe(F.col("_id")) & (F.col("key") == border), "left")
-    return out.select("doc_id", "n_grams", "log_weight", "key", ((F.col("key") > border) | F.col("_n").isNotNull()).alias("kept"))
+    # rows just at the border, repeated ones as a number: as many as are wanted, by doc_id
+    same = scored.filter(F.col("key") == border).groupBy("doc_id", "n_grams", "log_weight", "key").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), "n_grams", "log_weight").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = same.withColumn("_before", upto - F.col("_n")).withColumn("_at", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).withColumn("kept", F.col("_before") + F.col("_at") <= want)
+    rest = scored.filter(F.col("key") != border).withColumn("kept", F.col("key") > border)
+    return rest.unionByName(last.select(*rest.columns))

@@ -8,7 +8,6 @@ are scored in batches, by two matrix products each.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -18,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-LETTER = re.compile(r"[^\W\d_]")
+#: A text without such a character has no language, neither to be learned nor told.
+LETTER = r"\p{L}"
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ def learn(docs: DataFrame, how: Kernel = Kernel()) -> Model | None:
 
     Which documents of a language are learned from follows a hash of the doc_id; the presence bits of those few reach the driver.
     """
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).filter(F.col("text").rlike(r"\p{L}"))
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()).filter(F.col("text").rlike(LETTER))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     if not counts:
         return None
@@ -100,16 +100,18 @@ def learn(docs: DataFrame, how: Kernel = Kernel()) -> Model | None:
     how = replace(how, rows=share(how.rows, how.all_rows), landmarks=share(how.landmarks, how.all_landmarks))
     dice = F.pmod(F.xxhash64(F.lit(how.seed), "doc_id"), F.lit(1 << 40))
     under = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, how.rows / r["n"]) * (1 << 40)))]), F.col("lang"))
-    sample = known.filter(dice < under).select("doc_id", "lang", "text")
+    sample = known.filter(dice < under).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text", dice.alias("dice"))
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), how.batch):
                 part = batch.iloc[at : at + how.batch]
                 x = present(list(part["text"]), how).astype(bool)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang": part["lang"].to_numpy(), "bits": [np.packbits(r).tobytes() for r in x]})
+                yield part[["doc_id", "lang", "dice"]].assign(bits=[np.packbits(r).tobytes() for r in x])
 
-    got = sample.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(bits, "doc_id string, lang string, bits binary").limit(2 * how.rows * len(counts)).toPandas()
+    # repeated doc_ids share their dice, so more rows than meant may come under; the least are taken, the same ones every time
+    found = sample.mapInPandas(bits, "doc_id string, lang string, dice long, bits binary")
+    got = found.orderBy("dice", "doc_id", "lang", "bits").limit(2 * how.rows * len(counts)).toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "doc_id", "bits"])
@@ -120,7 +122,7 @@ def learn(docs: DataFrame, how: Kernel = Kernel()) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, how: Kernel = Kernel()) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of every row of docs(doc_id, text); other columns are not read.
 
-    Texts that are null, empty or without a letter, and all texts if there is no model, are `und` with score 0. Repeated
+    Texts that are null, empty or without a letter (digits, numerals and signs are none), and all texts if there is no model, are `und` with score 0. Repeated
     rows are told alike; the whole of a text counts, however long. Empty: no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -128,9 +130,9 @@ def identify(docs: DataFrame, model: Model | None, how: Kernel = Kernel()) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
         for batch in batches:
-            texts = batch.pop("text").tolist()
+            texts, lettered = batch.pop("text").tolist(), batch.pop("lettered").tolist()
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
-            told = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+            told = [i for i, own in enumerate(lettered) if model and own]
             for at in range(0, len(told), how.batch):
                 part = told[at : at + how.batch]
                 y = _kernel(present([texts[i] for i in part], how), model.landmarks, model.sizes) @ model.weights
@@ -139,6 +141,6 @@ def identify(docs: DataFrame, model: Model | None, how: Kernel = Kernel()) -> Da
             yield batch.assign(lang_pred=names, score=scores)
 
     # doc_ids travel as text, so that null ones do not turn the others into floating point
-    rows = docs.select(F.col("doc_id").cast("string").alias("d"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("d"), held_out(F.col("doc_id")).alias("held_out"), "text", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("lettered"))
     out = rows.mapInPandas(run, "d string, held_out boolean, lang_pred string, score double")
     return out.select(F.col("d").cast("long").alias("doc_id"), "held_out", "lang_pred", "score")

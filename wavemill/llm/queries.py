@@ -54,7 +54,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_back(chat.build(Workspace(spark, "op7"), conversations))
+    ws = Workspace(spark, "op7")
+    return chat.read_back(ws, chat.build(ws, conversations))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
