@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,69 +36,97 @@ class Sampling:
     nodes: int = 1_000_000
 
 
-class Edges(dict):
-    """A trie's edges: (parent << 32 | word) -> node, made when first asked for. A word's number is that of its node below the root."""
+def _byte_table() -> np.ndarray:
+    """What a byte does to a CRC-32, from its polynomial (a fixed value)."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
 
-    def __init__(self, trie: Trie):
-        self.trie = trie
 
-    def __missing__(self, key: int) -> int:
-        trie = self.trie
-        node = self[key] = len(trie.states)
-        trie.states.append(zlib.crc32(b" " + trie.words[key & 0xFFFFFFFF], trie.states[key >> 32]))
-        return node
+_TABLE = _byte_table()
+
+
+def continued(state: np.ndarray, tail: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The CRC states of texts (state) with tails of so many bytes behind them: the states moved on by as many zero bytes, and the tails' own CRCs."""
+    state = state.copy()
+    order = np.argsort(length)
+    at = np.searchsorted(length[order], np.arange(length.max(initial=0)), side="right")
+    for k in at:  # the tails that have a k-th byte
+        some = order[k:]
+        state[some] = (state[some] >> 8) ^ _TABLE[state[some] & 255]
+    return state ^ tail
+
+
+class Level:
+    """The nodes of one depth: (parent << 32 | word) in order, and each one's number. By number: states, the CRC of the run's bytes, and counts, how often it came."""
+
+    def __init__(self) -> None:
+        self.keys, self.numbers = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.states, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def grow(self, states: np.ndarray) -> None:
+        self.states = np.concatenate([self.states, states])
+        self.counts = np.concatenate([self.counts, np.zeros(len(states), np.int64)])
 
 
 class Trie(dict):
-    """A task's trie: word -> node below the root. Nodes are numbers; states: the CRC of the bytes of each one's run, which its children go on from.
-    counts: how often each run came."""
+    """A task's trie. Word -> its node below the root, which is the word's number as well; `levels` hold the nodes by depth."""
 
     def __init__(self, how: Sampling):
         self.how = how
         self.forget()
 
     def __missing__(self, word: bytes) -> int:
-        node = self[word] = len(self.states)
-        self.words[node] = word
-        self.states.append(zlib.crc32(word))
+        node = self[word] = len(self)
+        self._new.append(word)
         return node
 
     def forget(self) -> None:
         self.clear()
-        self.states: list[int] = []
-        self.words: dict[int, bytes] = {}
-        self.edges = Edges(self)
-        self.counts, self._buckets = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._new: list[bytes] = []
+        self.levels = [Level() for _ in range(self.how.runs)]
+        self._tails, self._lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def full(self) -> bool:
-        return len(self.states) > self.how.nodes
-
-    def walk(self, words: list[bytes]) -> np.ndarray:
-        """The nodes of all runs of a text: from each word down, as deep as runs go."""
-        own = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        levels = [own]
-        for depth in range(1, min(self.how.runs, len(words))):
-            keys = (levels[-1][:-1] << 32 | own[depth:]).tolist()
-            levels.append(np.fromiter(map(self.edges.__getitem__, keys), np.int64, len(keys)))
-        return np.concatenate(levels)
-
-    def count(self, nodes: list[np.ndarray]) -> None:
-        n = np.bincount(np.concatenate(nodes), minlength=len(self.states))
-        n[: len(self.counts)] += self.counts
-        self.counts = n
-
-    def buckets(self) -> np.ndarray:
-        """The bucket of each node."""
-        new = np.array(self.states[len(self._buckets) :], np.int64) % self.how.buckets
-        self._buckets = np.concatenate([self._buckets, new])
-        return self._buckets
+        return sum(len(level.states) for level in self.levels) > self.how.nodes
+
+    def _words(self, texts: list[list[bytes]]) -> np.ndarray:
+        own = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64)
+        crc = lambda before: np.fromiter((zlib.crc32(before + w) for w in self._new), np.uint32, len(self._new))
+        self.levels[0].grow(crc(b""))
+        self._tails = np.concatenate([self._tails, crc(b" ")])
+        self._lengths = np.concatenate([self._lengths, np.fromiter(map(len, self._new), np.int64, len(self._new)) + 1])
+        self._new.clear()
+        return own
+
+    def walk(self, texts: list[list[bytes]]) -> Iterator[tuple[Level, np.ndarray, np.ndarray]]:
+        """By depth: the level, and of every run of that many words its node and its text's place. Runs that are new get nodes."""
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        own = nodes = self._words(texts)
+        yield self.levels[0], own, text
+        for depth, (above, level) in enumerate(zip(self.levels, self.levels[1:], strict=False), 1):
+            within = text[depth:] == text[: max(0, len(text) - depth)]
+            keys, back = np.unique((nodes[: len(within)] << 32 | own[depth:])[within], return_inverse=True)
+            at = np.searchsorted(level.keys, keys)
+            new = at == len(level.keys)
+            new[~new] = level.keys[at[~new]] != keys[~new]
+            parent, word = keys[new] >> 32, keys[new] & 0xFFFFFFFF
+            first = len(level.states)
+            level.grow(continued(above.states[parent], self._tails[word], self._lengths[word]))
+            level.keys = np.insert(level.keys, at[new], keys[new])
+            level.numbers = np.insert(level.numbers, at[new], first + np.arange(new.sum()))
+            found = level.numbers[np.searchsorted(level.keys, keys)]
+            nodes = np.full(len(within), -1)
+            nodes[within] = found[back]
+            yield level, nodes[within], text[: len(within)][within]
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
-def _slices(columns: Iterator[pa.Array], rows: int = 256) -> Iterator[list[list[bytes]]]:
+def _slices(columns: Iterator[pa.Array], rows: int = 1024) -> Iterator[list[list[bytes]]]:
     """The words of texts, of a few at once."""
     for column in columns:
         for at in range(0, len(column), rows):
@@ -109,12 +138,18 @@ def bucket_totals(texts: DataFrame, how: Sampling) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, totals = Trie(how), np.zeros(how.buckets, np.int64)
+
+        def add() -> None:
+            for level in trie.levels:
+                np.add.at(totals, level.states % how.buckets, level.counts)
+            trie.forget()
+
         for texts in _slices(batch.column("text") for batch in batches):
-            trie.count([trie.walk(t) for t in texts])
+            for level, nodes, _ in trie.walk(texts):
+                level.counts += np.bincount(nodes, minlength=len(level.counts))
             if trie.full():
-                np.add.at(totals, trie.buckets(), trie.counts)
-                trie.forget()
-        np.add.at(totals, trie.buckets(), trie.counts)
+                add()
+        add()
         found = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(totals[found])], names=["bucket", "n"])
 
@@ -139,14 +174,15 @@ def weighed(docs: DataFrame, gain: np.ndarray, how: Sampling) -> DataFrame:
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = Trie(how)
         for column in columns:
-            out = np.zeros((3, len(column)), np.int64)
-            at = 0
+            out, at = np.zeros((3, len(column)), np.int64), 0
             for texts in _slices(iter([column])):
-                nodes = [trie.walk(t) for t in texts]
-                gained = sent.value[trie.buckets()]
-                for text, own in zip(texts, nodes, strict=True):
-                    out[:, at] = len(text), len(own), int(gained[own].sum()) // len(own) if len(own) else 0
-                    at += 1
+                part = out[:, at : at + len(texts)]
+                part[0] = list(map(len, texts))
+                for level, nodes, text in trie.walk(texts):
+                    part[1] += np.bincount(text, minlength=len(texts))
+                    np.add.at(part[2], text, sent.value[level.states % how.buckets][nodes])
+                part[2] //= np.maximum(part[1], 1)
+                at += len(texts)
                 if trie.full():
                     trie.forget()
             yield pa.StructArray.from_arrays(list(map(pa.array, out)), names=["n_words", "n_features", "weight"])
