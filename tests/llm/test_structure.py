@@ -245,3 +245,37 @@ def test_token_query(spark, small):
     docs = table(spark, small, "documents").collect()
     n = dict(zip((d.doc_id for d in docs), counted(tokenizer_path(), [d.text or "" for d in docs]), strict=True))
     assert sorted(map(tuple, got), key=repr) == sorted(((d.doc_id, len((d.text or "").encode()), n[d.doc_id], n[d.doc_id] > 2048) for d in docs), key=repr)
+
+
+@pytest.mark.parametrize("middle", [6, 7])
+def test_plans_need_no_more_than_best_fit(middle):
+    import numpy as np
+
+    from wavemill.llm import packing
+
+    how = packing.Packing("", rounds=128)
+    x = np.clip(np.random.default_rng(middle).lognormal(middle, 1.2, 2000), 1, 4096).astype(int)
+    histogram = dict(Counter(x.tolist()))
+    planned, held = packing.plan(histogram, how), Counter()
+    for config, n in planned:
+        assert n > 0 and sum(a * k for a, k in config.items()) <= how.capacity
+        for a, k in config.items():
+            held[a] += k * n
+    assert held == Counter(histogram)
+    assert sum(n for _, n in planned) <= sum(n for _, n in packing.best_fit(histogram, how.capacity))
+
+
+def test_exchanged_pieces_stay_the_same_pieces():
+    from wavemill.llm import packing
+
+    r = random.Random(2)
+    planned = [(Counter([r.randint(1, 40) for _ in range(2)]), r.randint(1, 4)) for _ in range(30)]
+    given = Counter(r.randint(1, 60) for _ in range(40))
+    count = lambda plan, rest: sum((Counter({x: k * n for x, k in c.items()}) for c, n in plan), Counter(rest))
+    before, room = count(planned, given), sum((100 - sum(x * k for x, k in c.items())) * n for c, n in planned)
+    out = packing.tightened(planned, given, 100)
+    assert count(out, given) == before and sum(n for _, n in out) == sum(n for _, n in planned)
+    assert sum((100 - sum(x * k for x, k in c.items())) * n for c, n in out) < room
+    for config, _ in out:  # no exchange that would fill more is left
+        free = 100 - sum(x * k for x, k in config.items())
+        assert free >= 0 and not any(x < y <= x + free for x in config for y, n in given.items() if n)

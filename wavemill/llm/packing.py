@@ -11,7 +11,7 @@ that pieces find their places by their rank among the pieces of their length.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -28,8 +28,8 @@ from .common import Workspace
 @dataclass(frozen=True)
 class Packing:
     """tokenizer: path of a `tokenizers` file. end: the id after each document. rounds: of multiplicative weights, for each solution. kinds:
-    of lengths, at most. rate: of the weights' change. full: the least share of a sequence that a configuration fills. ranked:
-    into how many parts the ranking of one length is split."""
+    of lengths, at most. rate: of the weights' change. full: the least share of a sequence that a configuration fills. again: shares of the sequences, the
+    emptiest, that are packed again by best fit while the plan is above the volume's bound. ranked: into how many parts the ranking of one length is split."""
 
     tokenizer: str
     capacity: int = 4096
@@ -38,6 +38,7 @@ class Packing:
     kinds: int = 512
     rate: float = 8.0
     full: float = 0.97
+    again: tuple[float, ...] = (0.1, 0.3, 0.6)
     ranked: int = 64
 
 
@@ -272,11 +273,63 @@ def best_fit(left: dict[int, int], capacity: int, begun: Iterable[tuple[Counter,
 
 
 def plan(histogram: dict[int, int], how: Packing) -> list[tuple[Counter, int]]:
-    """Whole configurations for all pieces: the linear program's, whose room takes up what it leaves, by best fit."""
+    """Whole configurations for all pieces: the linear program's, whose room takes up what it leaves, by best fit.
+
+    Where that is more sequences than the volume needs, the emptiest of them, a growing share, are taken apart and their pieces packed again by best fit, as long as
+    that saves some.
+    """
     if not histogram:
         return []
     out, left = rounded(histogram, how)
-    return best_fit(left, how.capacity, out)
+    best = best_fit(left, how.capacity, out)
+    bound = -(-sum(x * n for x, n in histogram.items()) // how.capacity)
+    for share in how.again:
+        if sum(n for _, n in best) <= bound:
+            break
+        kept, pieces = emptiest(best, share)
+        best = min(best, tightened(kept, pieces, how.capacity) + best_fit(pieces, how.capacity), key=lambda p: sum(n for _, n in p))
+    return best
+
+
+def tightened(planned: list[tuple[Counter, int]], pieces: Counter, capacity: int) -> list[tuple[Counter, int]]:
+    """The plan with pieces exchanged for longer ones among those given, as far as there is room: always the exchange that fills most. The given pieces change with it."""
+    order = sorted(x for x, n in pieces.items() if n)
+    out, todo = [], list(planned)
+    while todo:
+        config, n = todo.pop()
+        free = capacity - sum(x * k for x, k in config.items())
+        more = [(order[at - 1] - x, x) for x in config if (at := bisect_right(order, x + free)) and order[at - 1] > x]
+        if not free or not more:
+            out.append((config, n))
+            continue
+        gain, x = max(more)
+        used = min(n, pieces[x + gain])
+        pieces[x + gain] -= used
+        if not pieces[x + gain]:
+            order.remove(x + gain)
+        if not pieces[x]:
+            insort(order, x)
+        pieces[x] += used
+        new = config + Counter([x + gain])
+        new.subtract([x])
+        todo.append((+new, used))
+        if used < n:
+            todo.append((config, n - used))
+    return out
+
+
+def emptiest(planned: list[tuple[Counter, int]], share: float) -> tuple[list[tuple[Counter, int]], Counter]:
+    """The plan without a share of its sequences, those with most room, and the pieces of these."""
+    go = int(np.ceil(share * sum(n for _, n in planned)))
+    kept, pieces = [], Counter()
+    for config, n in sorted(planned, key=lambda c: sum(x * k for x, k in c[0].items())):
+        gone = min(n, go)
+        go -= gone
+        for x, k in config.items():
+            pieces[x] += gone * k
+        if gone < n:
+            kept.append((config, n - gone))
+    return kept, pieces
 
 
 def slots(planned: list[tuple[Counter, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
