@@ -98,3 +98,22 @@ def test_text_and_binary_say_the_same(spark, tmp_path):
     ranges.write(text, str(tmp_path / "binary"), "res", parts=3)
     ranges.joined(str(tmp_path / "binary"), str(tmp_path / "joined"))
     assert (tmp_path / "joined").read_bytes() == x.tobytes()
+
+
+@pytest.mark.parametrize("bits", [16, 32])
+def test_slices_byte_for_byte(spark, tmp_path, bits):
+    x = np.random.default_rng(bits).integers(-30_000, 30_000, (500, 6)).astype(f"<i{bits // 8}")
+    path = tmp_path / "a.dat"
+    path.write_bytes(x.tobytes())
+    for k, (pick, start, count) in enumerate((("4,0,0", 0, None), ("5", 123, 200), ("0,1,2,3,4,5", 499, 1), ("2", 10, 0))):
+        out = str(tmp_path / f"out{k}")
+        ranges.sliced(spark, str(path), out, 6, pick, start, count, bits)
+        ranges.joined(out, str(tmp_path / f"one{k}"))
+        part = x[start:] if count is None else x[start : start + count]
+        assert (tmp_path / f"one{k}").read_bytes() == part[:, [int(c) for c in pick.split(",")]].tobytes()
+    for pick in ("", "1,", "a", "1-2", " 1", "6", "2*1.5"):
+        with pytest.raises(ValueError, match="channel"):
+            ranges.sliced(spark, str(path), str(tmp_path / "no"), 6, pick)
+    for start, count in ((400, 200), (-1, 5), (501, None)):
+        with pytest.raises(ValueError, match="samples"):
+            ranges.sliced(spark, str(path), str(tmp_path / "no"), 6, "0", start, count, bits)

@@ -90,11 +90,6 @@ def test_mixture(spark):
     assert abs(models.penalty(2, 3, 100) - 12 * np.log(100) / 2) < 1e-9
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_rows_only(spark, small, name):
-    assert catalogue.QUERIES[name](spark, small).count() > 0
-
-
 def test_files(spark, tmp_path):
     t, c = np.arange(0, 900, 300, dtype="<i8"), np.array([2, 5, 6, 5], "<i4")
     t.tofile(tmp_path / "a.res")

@@ -130,8 +130,10 @@ def smoothed_windows(means: DataFrame, strength: float) -> DataFrame:
 
     For each cluster and place the sum of n times the squared change and of `strength` times the squared steps between windows next to each other is
     least: a tridiagonal system, solved in order for all places of a cluster at once. A cluster's windows (not its spikes) are in one task; a missing
-    place counts as a window without weight.
+    place counts as a window without weight. Without strength means stay as they are.
     """
+    if strength <= 0:
+        return means.filter("x IS NOT NULL AND n > 0").select("cluster", "win", "d", F.col("x").cast("double").alias("x"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.pivot(index="win", columns="d", values="x").sort_index()

@@ -47,19 +47,32 @@ def butterworth(order: int, cut: float, kind: str) -> Sections:
     return [tuple(map(float, s)) for s in out]
 
 
-def _run(sections: Sections, x: np.ndarray) -> np.ndarray:
-    """x through all sections, each begun in the steady state of the first value."""
+def _run(sections: Sections, x: np.ndarray, width: int = 256) -> np.ndarray:
+    """x through all sections, each begun in the steady state of the first value.
+
+    A section is linear: x is cut into pieces, all of them are filtered from rest side by side, and what the state before a piece adds is the section's free
+    response, times that state. The states before the pieces follow from one another.
+    """
+    n = len(x)
+    rows = -(-n // width)
+    free = np.zeros((width + 1, 2, 2))  # what two states become, sample by sample
     for b0, b1, b2, a1, a2 in sections:
         gain = (b0 + b1 + b2) / (1 + a1 + a2)
-        y = np.empty(len(x))
-        z2 = b2 * x[0] - a2 * gain * x[0]
-        z1 = b1 * x[0] - a1 * gain * x[0] + z2
-        for i, v in enumerate(x.tolist()):
-            w = b0 * v + z1
-            z1 = b1 * v - a1 * w + z2
-            z2 = b2 * v - a2 * w
-            y[i] = w
-        x = y
+        v = np.zeros(rows * width)
+        v[:n] = x
+        v = v.reshape(rows, width).T
+        y, z1, z2 = np.empty_like(v), np.zeros(rows), np.zeros(rows)
+        for i in range(width):
+            y[i] = b0 * v[i] + z1
+            z1, z2 = b1 * v[i] - a1 * y[i] + z2, b2 * v[i] - a2 * y[i]
+        free[0], once = np.eye(2), np.array([[-a1, 1.0], [-a2, 0.0]])
+        for i in range(width):
+            free[i + 1] = once @ free[i]
+        state = np.empty((rows, 2))
+        state[0] = b1 * x[0] - a1 * gain * x[0] + b2 * x[0] - a2 * gain * x[0], b2 * x[0] - a2 * gain * x[0]
+        for k in range(rows - 1):
+            state[k + 1] = free[width] @ state[k] + (z1[k], z2[k])
+        x = (y + free[:width, 0] @ state.T).T.ravel()[:n]
     return x
 
 
@@ -104,10 +117,14 @@ def blockwise(values: DataFrame, step: Step, halo: int, block: int) -> DataFrame
                 own = (place >= number * block) & (place < (number + 1) * block)
                 yield pd.DataFrame({"session": session, "ch": ch, "sample": to[own], "y": y[own]})
 
-    held = with_halo(values, "sample", halo, halo, block).groupBy("session", "ch", "block")
+    return blocks(values, halo, halo, block).mapInPandas(run, "session long, ch long, sample long, y double")
+
+
+def blocks(values: DataFrame, before: int, after: int, block: int) -> DataFrame:
+    """session, ch, block, first and xs: each block's values in order as one array, with so many before and after it, and the number of the first."""
+    held = with_halo(values, "sample", before, after, block).groupBy("session", "ch", "block")
     held = held.agg(F.array_sort(F.collect_list(F.struct("sample", "x"))).alias("w"), F.bool_or("own").alias("any")).filter("any")
-    held = held.select("session", "ch", "block", F.col("w")[0]["sample"].alias("first"), F.transform("w", lambda p: p["x"].cast("double")).alias("xs"))
-    return held.mapInPandas(run, "session long, ch long, sample long, y double")
+    return held.select("session", "ch", "block", F.col("w")[0]["sample"].alias("first"), F.transform("w", lambda p: p["x"].cast("double")).alias("xs"))
 
 
 def spline(x: np.ndarray, times: int) -> np.ndarray:
@@ -124,13 +141,34 @@ def spline(x: np.ndarray, times: int) -> np.ndarray:
     return v * x[:, k] + u * x[:, k + 1] + ((v**3 - v) * second[:, k] + (u**3 - u) * second[:, k + 1]) / 6
 
 
-def splined(rows: DataFrame, column: str, times: int) -> DataFrame:
-    """rows with the array column and `fine`, its spline (rounded to four places)."""
+def windowed_sinc(x: np.ndarray, times: int, lobes: int = 3) -> np.ndarray:
+    """Equally spaced rows of x at `times` places a step, by a sinc under the main lobe of one `lobes` as wide; weights are made to sum to one, and the ends are held."""
+    n = x.shape[1]
+    at = np.arange((n - 1) * times + 1) / times
+    k = np.floor(at).astype(int)[:, None] + np.arange(1 - lobes, lobes + 1)
+    off = at[:, None] - k
+    w = np.where(np.abs(off) < lobes, np.sinc(off) * np.sinc(off / lobes), 0.0)
+    return (x[:, np.clip(k, 0, n - 1)] * (w / w.sum(1, keepdims=True))).sum(2)
+
+
+def smoothed(x: np.ndarray, strength: float = 0.15) -> np.ndarray:
+    """Rows of x with least squares of what changes and, by strength, of second differences: a low-pass of about 0.6 of half the rate at 0.15."""
+    n = x.shape[1]
+    bend = np.diff(np.eye(n), 2, axis=0) if n > 2 else np.zeros((0, n))
+    return np.linalg.solve(np.eye(n) + strength * bend.T @ bend, x.T).T
+
+
+#: How values between samples come about: through the samples, through smoothed ones, or band-limited.
+BETWEEN = {"spline": spline, "smooth": lambda x, times: spline(smoothed(x), times), "lanczos": windowed_sinc}
+
+
+def splined(rows: DataFrame, column: str, times: int, kind: str = "spline") -> DataFrame:
+    """rows with the array column and `fine`, its values at `times` places a sample (rounded to four places). Null and empty arrays have none."""
+    between = BETWEEN[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fine = [spline(np.asarray(x, float)[None, :], times)[0].round(4) for x in batch[column]]
-            yield batch.assign(fine=fine)
+            yield batch.assign(fine=[None if x is None or not len(x) else between(np.asarray(x, float)[None, :], times)[0].round(4) for x in batch[column]])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, fields + ", fine array<double>")
@@ -148,7 +186,7 @@ def tapers(length: int, bandwidth: float, number: int) -> tuple[np.ndarray, np.n
     return vectors, np.einsum("ki,ij,kj->k", vectors, inside, vectors)
 
 
-def multitaper(values: DataFrame, length: int, step: int, bandwidth: float, number: int) -> DataFrame:
+def multitaper(values: DataFrame, length: int, step: int, bandwidth: float, number: int, block: int = 16_384) -> DataFrame:
     """session, ch, start and power (by frequency, length // 2 + 1 of them) of each whole window: the mean of the tapers' spectra, weighted by
     their energy in the band, of what is left of the window's mean."""
     vectors, weight = tapers(length, bandwidth, number)
@@ -161,7 +199,13 @@ def multitaper(values: DataFrame, length: int, step: int, bandwidth: float, numb
                 power = np.abs(np.fft.rfft(x[:, None, :] * vectors[None], axis=2)) ** 2
                 yield batch.assign(power=list(((power * weight[None, :, None]).sum(1) / weight.sum()).round(6)))
 
-    starts = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("sample") - length) / step) + 1), F.floor(F.col("sample") / step))
-    w = values.withColumn("start", F.explode(F.transform(starts, lambda k: k * step))).groupBy("session", "ch", "start").agg(F.array_sort(F.collect_list(F.struct("sample", "x"))).alias("w"))
-    w = w.filter(F.size("w") == length).select("session", "ch", "start", F.transform("w", lambda p: p["x"].cast("double")).alias("xs"))
-    return w.mapInPandas(run, "session long, ch long, start long, power array<double>")
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for session, ch, number, first, xs in zip(batch["session"], batch["ch"], batch["block"], batch["first"], batch["xs"], strict=True):
+                low, high = max(first, number * block), min(first + len(xs) - length, (number + 1) * block - 1)
+                starts = np.arange(-(-low // step) * step, high + 1, step)
+                if len(starts):
+                    x = np.lib.stride_tricks.sliding_window_view(np.asarray(xs, float), length)[starts - first]
+                    yield from run(iter([pd.DataFrame({"session": session, "ch": ch, "start": starts, "xs": list(x)})]))
+
+    return blocks(values, 0, length, block).mapInPandas(cut, "session long, ch long, start long, power array<double>")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 Numbers = list[float]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, pa.Table]]:
+def runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, pa.Table]]:
     """Each run of rows that are alike in these columns, with what they are."""
     held, own = [], None
     for batch in batches:
@@ -53,7 +53,7 @@ def scan(
     ends = ["_key", "_block"]
 
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(*key, summary(table)) for key, table in _runs(batches, *ends)]
+        found = [(*key, summary(table)) for key, table in runs(batches, *ends)]
         columns = list(zip(*found, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.float64()))], names=[*ends, "_map"])
 
@@ -68,7 +68,7 @@ def scan(
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_block"), pa.array(states, pa.list_(pa.float64()))], names=[*ends, "_entry"])
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in _runs(batches, *ends):
+        for _, table in runs(batches, *ends):
             # the block's state stands before its rows
             yield from emit(table.slice(1), table.column("_entry")[0].as_py()).to_batches()
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import recovering
+from .scans import recovering, runs
 
 
 def intervals_between(spikes: DataFrame) -> DataFrame:
@@ -72,20 +74,34 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], low: int, high
     return l.join(r, on, how).drop("_b", "_rb")
 
 
-def correlogram(a: DataFrame, b: DataFrame, keys: list[str], window: int, size: int, skip_self: bool) -> DataFrame:
+def correlogram(a: DataFrame, b: DataFrame, keys: list[str], window: int, size: int, skip_self: bool, width: int = 86_400) -> DataFrame:
     """keys, bin, n: pairs by lag b - a, over 2 * half + 1 bins with half = (window / size - 1) / 2 in whole numbers, absent ones 0.
 
-    A lag belongs to bin floor(lag / size + 1/2). A train with itself leaves out each spike's pair with itself.
+    A lag belongs to bin floor(lag / size + 1/2). With skip_self a spike's pair with itself, by spike_id, does not count. Pairs are not made: in each block of time the places
+    of a's bin edges among b's times are looked up, and a bin holds the difference of two places, summed.
     """
     half = (window // size - 1) // 2
     reach = (half + 1) * size
-    right = b.select(F.col("t").alias("rt"), F.col("spike_id").alias("r_id"), *[F.col(k).alias(f"r_{k}") for k in keys])
-    pairs = band_join(a, right, keys, -reach, reach)
-    if skip_self:
-        pairs = pairs.filter(F.col("spike_id") != F.col("r_id"))
-    found = pairs.withColumn("bin", F.floor((F.col("rt") - F.col("t")) / size + 0.5)).filter(F.abs("bin") <= half).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    frame = a.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(-half).cast("long"), F.lit(half).cast("long"))))
-    return frame.join(found, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    edges = (np.arange(-half, half + 2) - 0.5) * size
+    left = a.select(*keys, "t", "spike_id", F.floor(F.col("t") / width).alias("block"), F.lit(True).alias("asks"))
+    right = with_halo(b.select(*keys, "t", "spike_id"), "t", reach, reach, width).drop("own").withColumn("asks", F.lit(False))
+    both = left.unionByName(right).withColumn("_key", F.to_json(F.struct(*keys)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _), table in runs(batches, "_key", "block"):
+            asks = table.column("asks").to_numpy().astype(bool)
+            t, ids = table.column("t").to_numpy().astype(float), table.column("spike_id").to_numpy()
+            if asks.any():
+                n = np.diff(np.searchsorted(t[~asks], t[asks][:, None] + edges, "left").sum(0))
+                if skip_self:
+                    n[half] -= np.isin(ids[asks], ids[~asks]).sum()
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(n)), pa.array(np.arange(-half, half + 1)), pa.array(n.astype(np.int64))], names=["_key", "bin", "n"])
+
+    dealt = both.repartition("_key", "block").sortWithinPartitions("_key", "block", "t")
+    found = dealt.mapInArrow(run, "_key string, bin long, n long").groupBy("_key", "bin").agg(F.sum("n").alias("n"))
+    types = {f.name: f.dataType.simpleString() for f in a.schema}
+    named = F.from_json("_key", ", ".join(f"{k} {types[k]}" for k in keys))
+    return found.select(named.alias("k"), "bin", "n").select("k.*", "bin", "n")
 
 
 def previous(queries: DataFrame, events: DataFrame, by: str) -> DataFrame:
@@ -112,6 +128,12 @@ def with_halo(rows: DataFrame, at: str, before: int, after: int, width: int) ->
     return rows.withColumn("block", F.explode(F.sequence(of(F.col(at) - after), of(F.col(at) + before)))).withColumn("own", F.col("block") == of(F.col(at)))
 
 
+def with_span(rows: DataFrame, by: str) -> DataFrame:
+    """rows with t0 and t1, the first and last time of their group: an aggregate that is joined, so no group is in one task."""
+    ends = rows.groupBy(F.col(by).alias("_by")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    return rows.join(ends, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
 def clean(spikes: DataFrame, by: str, n: int, width: int = 86400) -> DataFrame:
     """spikes with clean: whether no other spike of the group is in [t - (n - 1), t + n]; a neighbour exactly n later spoils the earlier one alone."""
     w = Window.partitionBy(by, "block").orderBy("t").rangeBetween(-(n - 1), n)

@@ -205,6 +205,8 @@ def nearest_chain(spark: SparkSession, d: str) -> DataFrame:
 def similarity_orders(spark: SparkSession, d: str) -> DataFrame:
     """Units in the orders of single linkage, of the second eigenvector of the graph of similarities and of its first axis. SQL can't express them."""
     gap = QUERIES["similarity_matrix"](spark, d).filter("a <> b").select("a", "b", F.round(1 - F.col("cosine"), 9).alias("gap"))
+    C.checkpoint_dir(spark)
+    gap = gap.checkpoint()  # three orders of it
     by = [O.ordered(gap, f).withColumnRenamed("place", n) for f, n in ((O.linkage, "linkage"), (O.fiedler, "fiedler"), (O.first_axis, "axis"))]
     return by[0].join(by[1], "cluster").join(by[2], "cluster")
 

@@ -34,17 +34,15 @@ def burst_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(", m AS (SELECT min(t) AS t0, grp FROM spikes GROUP BY grp) SELECT s.grp, (t - t0) // 86400 AS block, count(*) AS n, count(DISTINCT cluster) AS clusters FROM spikes s JOIN m ON s.grp = m.grp GROUP BY s.grp, block", "spikes"))
 def time_blocks(spark: SparkSession, d: str) -> DataFrame:
-    origin = F.min("t").over(Window.partitionBy("grp"))
-    return spikes(spark, d).withColumn("block", F.floor((F.col("t") - origin) / 86400)).groupBy("grp", "block").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"))
+    s = T.with_span(spikes(spark, d), "grp")
+    return s.withColumn("block", F.floor((F.col("t") - F.col("t0")) / 86400)).groupBy("grp", "block").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"))
 
 
 @query(sql(""", m AS (SELECT grp, min(t) AS t0, max(t) + 1 AS t1 FROM spikes GROUP BY grp)
     SELECT s.grp, CAST(least(5, floor((t - t0) * 6 / (t1 - t0))) AS BIGINT) AS chunk, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM spikes s JOIN m ON s.grp = m.grp GROUP BY s.grp, chunk""", "spikes"))
 def chunk_edges(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("grp")
-    t0, t1 = F.min("t").over(w), F.max("t").over(w) + 1
-    chunk = F.least(F.lit(5).cast("long"), F.floor((F.col("t") - t0) * 6 / (t1 - t0)))
-    return spikes(spark, d).withColumn("chunk", chunk).groupBy("grp", "chunk").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    chunk = F.least(F.lit(5).cast("long"), F.floor((F.col("t") - F.col("t0")) * 6 / (F.col("t1") + 1 - F.col("t0"))))
+    return T.with_span(spikes(spark, d), "grp").withColumn("chunk", chunk).groupBy("grp", "chunk").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
 @query(sql(""", c AS (SELECT cluster AS id, grp, sum(t) // count(*) AS m FROM spikes GROUP BY cluster, grp),

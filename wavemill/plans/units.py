@@ -213,12 +213,13 @@ def monopole_profile(spark: SparkSession, d: str) -> DataFrame:
     return m.join(c, "cluster").select("cluster", "ch", F.round(p, 4).alias("predicted"), F.round(F.col("a") - p, 4).alias("off"))
 
 
-@query(sql("""SELECT cluster, '{"cluster":' || cluster || ',"n":' || count(*) || ',"ids":[' || string_agg(spike_id, ',' ORDER BY spike_id) || ']}' AS record FROM features WHERE cluster >= 2 GROUP BY cluster""", "features"))
+@query(sql("""SELECT cluster, spike_id // 100 AS part, '{"cluster":' || cluster || ',"part":' || spike_id // 100 || ',"n":' || count(*) || ',"ids":[' || string_agg(spike_id, ',' ORDER BY spike_id) || ']}' AS record
+    FROM features WHERE cluster >= 2 GROUP BY cluster, spike_id // 100""", "features"))
 def curation_records(spark: SparkSession, d: str) -> DataFrame:
-    """A unit's state as a line of JSON."""
+    """A unit's state as lines of JSON, one for each range of a hundred ids, so that no line grows with the unit."""
     ids = F.sort_array(F.collect_list("spike_id")).alias("ids")
-    u = features(spark, d).filter("cluster >= 2").groupBy("cluster").agg(F.count("*").alias("n"), ids)
-    return u.select("cluster", F.to_json(F.struct("cluster", "n", "ids")).alias("record"))
+    u = features(spark, d).filter("cluster >= 2").groupBy("cluster", F.expr("spike_id div 100").alias("part")).agg(F.count("*").alias("n"), ids)
+    return u.select("cluster", "part", F.to_json(F.struct("cluster", "part", "n", "ids")).alias("record"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS name, strftime(strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d'), '%d.%m.%Y') AS told, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def _parsed(spark: SparkSession, path: str, parse, fields: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,10 +73,8 @@ def waveforms(spark: SparkSession, path: str, samples: int, channels: int) -> Da
 
 
 def signal(spark: SparkSession, path: str, channels: int) -> DataFrame:
-    """sample, xs of interleaved 16-bit files: fixed-length records, split by Spark between tasks."""
-    raw = spark.sparkContext.binaryRecords(path, 2 * channels).zipWithIndex()
-    rows = raw.map(lambda r: (r[1], np.frombuffer(r[0], "<i2").tolist()))
-    return spark.createDataFrame(rows, "sample long, xs array<short>")
+    """sample, xs of an interleaved 16-bit file, by byte ranges; one that does not hold whole samples is refused."""
+    return ranges.read(spark, path, "dat", channels=channels)
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 #: Kind of file -> name of the row number, of the value and its type, and how a value is stored. All are little-endian.
 KINDS = {
     "dat": ("sample", "xs", "array<short>", "<i2"),
+    "dat32": ("sample", "xs", "array<int>", "<i4"),
     "res": ("spike_id", "t", "long", "<i8"),
     "clu": ("spike_id", "cluster", "long", "<i4"),
     "fet": ("spike_id", "fet", "array<long>", "<i8"),
@@ -119,7 +120,7 @@ def layout(path: str, options: dict) -> tuple[Layout, list[Part]]:
     elif kind == "spk":
         values = int(options["samples"]) * int(options["channels"])
     else:
-        values = int(options["channels"]) if kind == "dat" else 1
+        values = int(options["channels"]) if kind in ("dat", "dat32") else 1
     if values < 1:
         raise ValueError(f"{path}: records of {values} values")
     own, out, first = Layout(kind, values), [], 0
@@ -250,7 +251,7 @@ class Writer(DataSourceArrowWriter):
 
 
 class SpikeFiles(DataSource):
-    """Format `spikefile`. Options: kind (dat, res, clu, fet, spk); channels and samples of a record; start and count, rows to read; pick, channels of a signal to read, as 0,2,...; bytes of a
+    """Format `spikefile`. Options: kind (dat, dat32, res, clu, fet, spk); channels and samples of a record; start and count, rows to read; pick, channels of a signal to read, as 0,2,...; bytes of a
     partition. To write: values of a record and header."""
 
     @classmethod
@@ -302,6 +303,32 @@ def write(rows: DataFrame, path: str, kind: str, parts: int | None = None) -> No
     ordered.write.format("spikefile").options(**{k: str(v) for k, v in options.items()}).mode("append").save(path)
 
 
+def channel_list(text: str, channels: int) -> list[int]:
+    """The channels of a list like 0,4,4,1, in its order. A slice is taken as it is, so anything but plain numbers of channels that there are is refused."""
+    out = []
+    for token in text.split(","):
+        if not re.fullmatch("[0-9]+", token):
+            raise ValueError(f"{token!r} is no plain number of a channel")
+        if int(token) >= channels:
+            raise ValueError(f"channel {token} of {channels}, numbered from 0")
+        out.append(int(token))
+    return out
+
+
+def sliced(spark: SparkSession, path: str, out: str, channels: int, pick: str, start: int = 0, count: int | None = None, bits: int = 16) -> None:
+    """A signal's chosen channels, repeated or in another order if so listed, and `count` of its samples from `start` on, byte for byte. Samples that are not there, and files
+    with a broken record, are refused. Every task reads its range and writes its part."""
+    kind = {16: "dat", 32: "dat32"}[bits]
+    chosen = channel_list(pick, channels)
+    _, parts = layout(path, {"kind": kind, "channels": channels})
+    there = sum(p.rows for p in parts)
+    count = there - start if count is None else count
+    if start < 0 or count < 0 or start + count > there:
+        raise ValueError(f"samples {start} to {start + count} of {there}")
+    rows = read(spark, path, kind, channels=channels, start=start, count=count, pick=",".join(map(str, chosen)))
+    write(rows.withColumn("sample", F.col("sample") - start), out, kind)
+
+
 def joined(path: str, out: str) -> None:
     """The parts of a directory as one file, as a stream."""
     store, target = _open(out)
