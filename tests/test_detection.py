@@ -139,3 +139,25 @@ def test_rising_over_blocks(spark, monkeypatch):
     steps = signal.stepped(df.select("session", "sample", F.array("x", (-F.col("x"))).alias("xs")))
     d = np.diff(x, prepend=0)
     assert {r["sample"]: r["xs"] for r in steps.collect()} == {i: [int(v), -int(v)] for i, v in enumerate(d)}
+
+
+@pytest.mark.parametrize("width", [13, 86_400])
+def test_pair_rates_and_correlograms_count_pairs(spark, width):
+    r = random.Random(width)
+    rows = [(i, r.randint(0, 4) if i % 9 else None, r.randint(-200, 400)) for i in range(250)] + [(900, 1, None)]
+    df = spark.createDataFrame(rows, "spike_id long, cluster long, t long").repartition(3)
+    known = [(i, c, t) for i, c, t in rows if c is not None and t is not None]
+    want = {}
+    for _, a, t in known:
+        for _, b, u in known:
+            if a < b and abs(t - u) <= 25:
+                n = want.setdefault((a, b), [0, 0])
+                n[abs(t - u) > 6] += 1
+    assert {(x["a"], x["b"]): [x["centre"], x["flank"]] for x in timing.pair_rates(df, "cluster", 6, 25, width).collect()} == want
+    got = timing.correlogram(df.filter("t IS NOT NULL"), df.filter("t IS NOT NULL"), ["cluster"], 50, 5, True, width).collect()
+    bins = {}
+    for i, a, t in rows:
+        for j, b, u in rows:
+            if a == b and i != j and t is not None and u is not None and abs(k := math.floor((u - t) / 5 + 0.5)) <= 4:
+                bins[a, k] = bins.get((a, k), 0) + 1
+    assert {(x["cluster"], x["bin"]): x["n"] for x in got if x["n"]} == bins and len(got) == 9 * len({c for _, c, t in rows if t is not None})

@@ -255,6 +255,26 @@ def test_artefacts(spark, small, records):
     assert (bursts.sort_values(["session", "sample"]).groupby("session")["sample"].diff().dropna() >= 15).all()
 
 
+def test_coherence_and_places(spark, small, records, vectors):
+    s, n = np.zeros((4, 4, 33), complex), 0
+    for session in {k[0] for k in records}:
+        x = np.stack([records[session, c] for c in range(4)], 1)
+        for at in range(0, len(x) - 63, 32):
+            w = x[at : at + 64] * np.hanning(64)[:, None]
+            f = np.fft.rfft(w - w.mean(0), axis=0)
+            s, n = s + np.einsum("fi,fj->ijf", f, f.conj()), n + 1
+    f = np.arange(33) / 64
+    for _, r in got(spark, small, "channel_coherence").iterrows():
+        own = (f >= 0.02) & (f < 0.15) if r["band"] == "low" else (f >= 0.15) & (f < 0.5)
+        want = np.abs(s[r["a"], r["b"], own]) ** 2 / (s[r["a"], r["a"], own] * s[r["b"], r["b"], own]).real
+        assert r["windows"] == n and abs(r["coherence"] - want.mean()) < 2e-6
+    places = got(spark, small, "site_places").sort_values("ch")
+    xy = places[["x", "y"]].to_numpy()
+    assert np.allclose(xy.mean(0), 0, atol=1e-2) and (places["stress"] < 0.5).all() and xy[0, 0] >= 0
+    far = np.linalg.norm(xy[:, None] - xy, axis=2) + np.diag(np.full(8, np.inf))
+    assert abs(np.median(far.min(1)) - 20) < 0.1
+
+
 def test_moves(spark, small, vectors):
     ids, cluster, _ = vectors
     rows = got(spark, small, "reassigned_spikes")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wavemill.operators import cem, cores, dips, distances, reassign, shapes
+from wavemill.operators import adaptation, cem, cores, dips, distances, reassign, shapes
 
 
 def rows_of(parts):
@@ -330,10 +330,42 @@ def test_reassignment(spark, width, veto):
         w = base[true].ravel() * rng.uniform(0.5, 1.1) + rng.normal(0, 6, 6)
         rows.append((i, said, t, [float(v) for v in w]))
     how = reassign.Moves(tail=60.0, veto=veto)
-    df = spark.createDataFrame([("g", *r) for r in rows] + [("g", 900, None, 4, rows[0][3]), ("g", 901, 2, None, rows[0][3]), ("g", 902, 2, 5, None)], "g string, spike_id long, cluster long, t long, fet array<double>")
+    df = spark.createDataFrame([("g", *r) for r in rows] + [("g", 900, None, 4, rows[0][3]), ("g", 901, 2, None, rows[0][3]), ("g", 902, 2, 5, None), ("g", 903, 1, 900_000, rows[0][3])], "g string, spike_id long, cluster long, t long, fet array<double>")
     got = reassign.reassigned(df, ["g"], "fet", 2, units, how, width).collect()
     want = plain_moves(rows, units, how, 2)
     assert want and sorted((r["spike_id"], r["cluster"], r["t"], r["to"]) for r in got) == sorted(m[:4] for m in want)
     gain = {m[0]: m[4] for m in want}
     assert all(abs(r["gain"] - gain[r["spike_id"]]) < 1e-6 for r in got)
     assert reassign.reassigned(df.limit(0), ["g"], "fet", 2, units, how, width).count() == 0
+
+
+def test_adaptation_constants(spark):
+    rng = np.random.default_rng(11)
+    fast, slow = [(0.5, 5.0), (0.5, 20.0), (0.2, 20.0)], [(0.1, 60.0), (0.1, 200.0)]
+
+    def lacks(times, use, tau):
+        out, missing = [], 0.0
+        for a, b in zip([None, *times], times, strict=False):
+            missing = 0.0 if a is None else (missing * (1 - use) + use) * np.exp(-(b - a) / tau)
+            out.append(missing)
+        return np.array(out)
+
+    rows, truth = [], {2: (1, 0), 3: (0, 1)}
+    base = rng.normal(0, 50, (3, 6))
+    for c, (i, j) in truth.items():
+        times = np.cumsum(rng.integers(1, 25, 400))
+        x = base[0] + np.outer(lacks(times, *fast[i]), base[1]) + np.outer(lacks(times, *slow[j]), base[2]) + rng.normal(0, 1, (400, 6))
+        rows += [(len(rows) + k, c, int(t), [float(v) for v in w]) for k, (t, w) in enumerate(zip(times, x, strict=True))]
+    rows += [(9000, 7, 5, [1.0] * 6), (9001, None, 5, [1.0] * 6), (9002, 2, None, [1.0] * 6), (9003, 2, 5, None)]
+    df = spark.createDataFrame(rows, "spike_id long, cluster long, t long, fet array<double>")
+    for width in (50, 86_400):
+        got = {r["cluster"]: r for r in adaptation.fitted(df, "fet", 6, fast, slow, width).collect()}
+        for c, (i, j) in truth.items():
+            assert (got[c]["fast_use"], got[c]["fast_time"]) == fast[i] and (got[c]["slow_use"], got[c]["slow_time"]) == slow[j]
+            times = np.array([r[2] for r in rows if r[1] == c and r[2] and r[3]])
+            x = np.array([r[3] for r in rows if r[1] == c and r[2] and r[3]])
+            z = np.column_stack([np.ones(400), lacks(times, *fast[i]), lacks(times, *slow[j])])
+            rest = ((x - z @ np.linalg.lstsq(z, x, rcond=None)[0]) ** 2).sum()
+            assert got[c]["n"] == 400 and abs(got[c]["left"] - rest / ((x - x.mean(0)) ** 2).sum()) < 1e-6
+        assert got[7]["n"] == 1 and got[7]["left"] is None
+    assert adaptation.fitted(df.limit(0), "fet", 6, fast, slow).count() == 0

@@ -97,7 +97,7 @@ def scored(spikes: DataFrame, by: list[str], column: str, channels: int, units:
         own = np.array([place.get(c, -1) for c in table.column("cluster").to_pylist()], int)
         pick = np.flatnonzero(inside & (own >= 0))
         before = None if state is None else np.array(state, float).reshape(-1, 3)
-        x = np.array(table.column(column).take(pa.array(pick, pa.int64())).to_pylist(), float).reshape(len(pick), -1)
+        x = np.array(table.column(column).take(pa.array(pick, pa.int64())).to_pylist(), float).reshape(len(pick), shapes.shape[2])
         hit = (x @ flat.T).reshape(len(pick), len(units), 3) if len(pick) else np.zeros((0, len(units), 3))
         energy = (x * x).sum(1)
         left, near = np.empty((len(pick), len(units))), np.zeros((len(pick), len(units)), bool)
@@ -118,7 +118,7 @@ def scored(spikes: DataFrame, by: list[str], column: str, channels: int, units:
                 has = i < len(every)
                 gap[has] = np.minimum(gap[has], every[i[has]] - t[pick][has])
                 near[:, k] = gap < veto
-        waves = x.reshape(len(pick), -1, channels)
+        waves = x.reshape(len(pick), shapes.shape[2] // channels, channels)
         size = np.ptp(waves, axis=1)[np.arange(len(pick)), main[own[pick]]] if len(pick) else np.zeros(0)
         rows = table.take(pa.array(pick, pa.int64()))
         return pa.table({c: rows.column(c) for c in (*by, "spike_id", "cluster", "t")} | {"size": pa.array(size), "left": pa.array(list(left), pa.list_(pa.float64())), "near": pa.array(list(near), pa.list_(pa.bool_()))})

@@ -104,6 +104,33 @@ def correlogram(a: DataFrame, b: DataFrame, keys: list[str], window: int, size:
     return found.select(named.alias("k"), "bin", "n").select("k.*", "bin", "n")
 
 
+def pair_rates(spikes: DataFrame, unit: str, centre: int, flank: int, width: int = 86_400) -> DataFrame:
+    """a, b (units, a < b), centre and flank: how many pairs of their spikes(unit, t) are at most `centre` apart, and how many farther but at most `flank`. Pairs of units without any are left out.
+
+    No pairs of spikes are made: in each block of time the ends of the ranges around a unit's spikes are looked up among every other unit's times. A block works on its spikes times its units.
+    """
+    rows = spikes.select(F.col(unit).cast("long").alias("u"), "t").filter("u IS NOT NULL AND t IS NOT NULL")
+    held = with_halo(rows, "t", flank, flank, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs(batches, "block"):
+            t, units, own = table.column("t").to_numpy().astype(float), table.column("u").to_numpy(), table.column("own").to_numpy().astype(bool)
+            mine, codes = np.unique(units[own], return_inverse=True)
+            found = []
+            for b in np.unique(units):
+                times = t[units == b]
+                near = np.searchsorted(times, t[own] + centre, "right") - np.searchsorted(times, t[own] - centre, "left")
+                far = np.searchsorted(times, t[own] + flank, "right") - np.searchsorted(times, t[own] - flank, "left")
+                for i, (n, m) in enumerate(zip(np.bincount(codes, near, len(mine)), np.bincount(codes, far, len(mine)), strict=True)):
+                    if mine[i] < b and m:
+                        found.append((int(mine[i]), int(b), int(n), int(m - n)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "centre", "flank"])
+
+    dealt = held.repartition("block").sortWithinPartitions("block", "t")
+    return dealt.mapInArrow(run, "a long, b long, centre long, flank long").groupBy("a", "b").agg(F.sum("centre").alias("centre"), F.sum("flank").alias("flank"))
+
+
 def previous(queries: DataFrame, events: DataFrame, by: str) -> DataFrame:
     """queries(by, t, spike_id) with the time and id of the last event strictly before (union, then last over the time order)."""
     w = Window.partitionBy(by).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)

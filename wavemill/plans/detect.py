@@ -259,12 +259,12 @@ def supersampled(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(CROSS.replace("45", "49") + """, e AS (SELECT session, ch, sample FROM hi), w AS (SELECT e.session, e.ch, e.sample, list(tx.x ORDER BY tx.sample) AS waveform FROM e JOIN tx ON tx.session = e.session AND tx.ch = e.ch AND tx.sample >= e.sample - 4 AND tx.sample < e.sample + 8 GROUP BY e.session, e.ch, e.sample),
     p AS (SELECT *, unnest(range(0, (len(waveform) - 1) * 4 + 1)) AS j FROM w), k AS (SELECT *, unnest(range(-2, 4)) AS k FROM p), v AS (SELECT *, j % 4 / 4.0 - k AS u, waveform[greatest(0, least(len(waveform) - 1, j // 4 + k)) + 1] AS x FROM k),
     g AS (SELECT *, CASE WHEN u = 0 THEN 1 WHEN abs(u) >= 3 THEN 0 ELSE 3 * sin(pi() * u) * sin(pi() * u / 3) / (pi() * u) ** 2 END AS g FROM v)
-    SELECT session, ch, sample, j, round(sum(g * x) / sum(g), 3) AS fine FROM g GROUP BY session, ch, sample, j""", "tx"))
+    SELECT session, ch, sample, j, round(sum(g * x) / sum(g), 4) AS fine FROM g GROUP BY session, ch, sample, j""", "tx"))
 def band_limited_waveforms(spark: SparkSession, d: str) -> DataFrame:
     """Waveforms of events at four values a sample, by a windowed sinc."""
     v = trace_values(spark, d)
     fine = L.splined(S.windows_around(v, S.rising(v, 49), 4, 8), "waveform", 4, "lanczos")
-    return fine.select("session", "ch", "sample", F.posexplode("fine").alias("j", "fine")).withColumns({"j": F.col("j").cast("long"), "fine": F.round("fine", 3)})
+    return fine.select("session", "ch", "sample", F.posexplode("fine").alias("j", "fine")).withColumn("j", F.col("j").cast("long"))
 
 
 @query()

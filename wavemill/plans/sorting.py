@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import adaptation as N
 from ..operators import artefacts as A
 from ..operators import cem as E
 from ..operators import cores as C
 from ..operators import dips as D
 from ..operators import drift as Q
 from ..operators import forests as L
+from ..operators import geometry as G
 from ..operators import models as M
 from ..operators import reassign as R
 from ..operators import timing as T
@@ -164,3 +166,33 @@ def variational_classes(spark: SparkSession, d: str) -> DataFrame:
     f = _timed_scores(spark, d).select("spike_id", "scores")
     prior = V.Prior(classes=6, rounds=25)
     return V.classified(f, "scores", 3, V.fit(f, "scores", 3, prior), prior).select("spike_id", "class", F.round("share", 4).alias("share"))
+
+
+@query()
+def channel_coherence(spark: SparkSession, d: str) -> DataFrame:
+    """How coherent every two channels are in two bands, from windows of 64 samples."""
+    spectra, windows = G.cross_spectra(traces(spark, d), 4, 64, 32)
+    rows = []
+    for band, low, high in (("low", 0.02, 0.15), ("high", 0.15, 0.5)):
+        c = G.coherence(spectra, low, high)
+        rows += [(a, b, band, windows, round(float(c[a, b]), 6)) for a in range(4) for b in range(a + 1, 4)]
+    return spark.createDataFrame(rows, "a long, b long, band string, windows long, coherence double")
+
+
+@query()
+def site_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where the sites of the waveforms may lie: places whose distances follow how alike the sites' events are in size and shape."""
+    sizes, shapes = G.event_likeness(features(spark, d), "fet", CHANNELS)
+    places, stress = G.placed(G.unlike({"size": sizes, "shape": shapes}, {"size": 1.0, "shape": 1.0}), CHANNELS)
+    return spark.createDataFrame([(c, round(float(x), 3), round(float(y), 3), round(stress, 6)) for c, (x, y) in enumerate(places)], "ch long, x double, y double, stress double")
+
+
+#: Parts used and time constants that are tried.
+_FAST, _SLOW = [(0.4, 21_600.0), (0.4, 43_200.0), (0.2, 43_200.0)], [(0.1, 216_000.0), (0.1, 432_000.0)]
+
+
+@query()
+def adaptation_constants(spark: SparkSession, d: str) -> DataFrame:
+    """The time constants under which each unit's history explains its waveforms best."""
+    h = features(spark, d).join(spikes(spark, d).select("spike_id", "t"), "spike_id")
+    return N.fitted(h, "fet", SIZE, _FAST, _SLOW).withColumn("left", F.round("left", 6))

@@ -230,19 +230,43 @@ def session_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", name.alias("name"), F.date_format(back, "dd.MM.yyyy").alias("told"), F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"))
 
 
-@query(sql(""", b AS (SELECT spike_id, grp, t FROM spikes), c AS (SELECT x.grp AS a, y.grp AS b, count(*) FILTER (abs(x.t - y.t) <= 60) AS centre, count(*) FILTER (abs(x.t - y.t) > 60) AS flank FROM b x JOIN b y ON x.grp < y.grp AND y.t BETWEEN x.t - 600 AND x.t + 600 GROUP BY ALL)
-    SELECT a, b, centre, flank, round((centre / 121.0) / (flank / 1080.0), 6) AS dip, flank >= 50 AND (centre / 121.0) / (flank / 1080.0) <= 0.30 AS merged FROM c""", "spikes"))
+_DIP = """, h AS (SELECT f.cluster, s.t FROM features f JOIN spikes s ON f.spike_id = s.spike_id), n AS (SELECT cluster, count(*) AS n FROM h GROUP BY cluster), m AS (SELECT cluster, d, avg(x) AS m FROM fx GROUP BY cluster, d),
+    g AS (SELECT a.cluster AS a, b.cluster AS b, corr(a.m, b.m) AS r FROM m a JOIN m b ON a.d = b.d AND a.cluster < b.cluster GROUP BY a.cluster, b.cluster),
+    c AS (SELECT x.cluster AS a, y.cluster AS b, count(*) FILTER (abs(x.t - y.t) <= 3600) AS centre, count(*) FILTER (abs(x.t - y.t) > 3600) AS flank FROM h x JOIN h y ON x.cluster < y.cluster AND abs(x.t - y.t) <= 36000 GROUP BY ALL),
+    p AS (SELECT c.a, c.b, centre, flank, r, (centre / 7201.0) / (nullif(flank, 0) / 64800.0) AS dip, x.n AS na, y.n AS nb FROM c JOIN g ON c.a = g.a AND c.b = g.b JOIN n x ON x.cluster = c.a JOIN n y ON y.cluster = c.b),
+    q AS (SELECT a, b, centre, flank, round(r, 6) AS alike, round(dip, 6) AS dip, coalesce(round(r, 9) >= -0.05 AND na >= 30 AND nb >= 30 AND flank >= 20 AND dip <= 0.9, false) AS merged FROM p)"""
+
+
+def _dips(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of units with the rate of spikes near each other over that farther off, how alike their means are, and whether all gates hold."""
+    f = features(spark, d)
+    h = f.select("spike_id", "cluster").join(spikes(spark, d).select("spike_id", "t"), "spike_id")
+    n = h.groupBy("cluster").agg(F.count("*").alias("n"))
+    m = feature_values(spark, d).groupBy("cluster", "d").agg(F.avg("x").alias("m"))
+    a, b = m.select("d", F.col("cluster").alias("ga"), F.col("m").alias("ma")), m.select("d", F.col("cluster").alias("gb"), F.col("m").alias("mb"))
+    alike = a.join(b, "d").filter("ga < gb").groupBy("ga", "gb").agg(F.corr("ma", "mb").alias("r"))
+    c = T.pair_rates(h, "cluster", 3600, 36_000)
+    p = c.join(alike, (F.col("a") == F.col("ga")) & (F.col("b") == F.col("gb")))
+    for side in ("a", "b"):
+        p = p.join(n.select(F.col("cluster").alias(f"u{side}"), F.col("n").alias(f"n{side}")), F.col(side) == F.col(f"u{side}"))
+    dip = (F.col("centre") / 7201.0) / (F.nullif("flank", F.lit(0)) / 64800.0)
+    gates = (F.round("r", 9) >= -0.05) & (F.col("na") >= 30) & (F.col("nb") >= 30) & (F.col("flank") >= 20) & (dip <= 0.9)
+    return p.select("a", "b", "centre", "flank", F.round("r", 6).alias("alike"), F.round(dip, 6).alias("dip"), F.coalesce(gates, F.lit(False)).alias("merged"))
+
+
+@query(sql(_DIP + " SELECT * FROM q", "fx", "spikes"))
 def correlogram_dip(spark: SparkSession, d: str) -> DataFrame:
-    """Whether two groups leave a gap around each other's events: the rate at small lags over that at larger ones. Counts over ranges for each group, no pairs."""
-    s = T.with_halo(spikes(spark, d), "t", 600, 600, 86400)
-    names = [r[0] for r in spikes(spark, d).select("grp").distinct().collect()]  # the groups, a few
-    w = Window.partitionBy("block").orderBy("t")
-    around = lambda g, k: F.count_if(F.col("grp") == g).over(w.rangeBetween(-k, k))
-    counts = F.array(*[F.struct(F.lit(g).alias("b"), around(g, 60).alias("centre"), around(g, 600).alias("all")) for g in names])
-    c = s.withColumn("c", counts).filter("own").select(F.col("grp").alias("a"), F.explode("c").alias("c")).filter("a < c.b")
-    c = c.groupBy("a", F.col("c.b").alias("b")).agg(F.sum("c.centre").alias("centre"), (F.sum("c.all") - F.sum("c.centre")).alias("flank"))
-    dip = (F.col("centre") / 121.0) / (F.nullif("flank", F.lit(0)) / 1080.0)
-    return c.select("a", "b", "centre", "flank", F.round(dip, 6).alias("dip"), ((F.col("flank") >= 50) & (dip <= 0.30)).alias("merged"))
+    """Whether two units leave a gap around each other's spikes, as one unit's do: the rate at small lags over that at larger ones, for units alike and large enough."""
+    return _dips(spark, d)
+
+
+@query(sql(_DIP + """, u AS (SELECT a, b FROM q WHERE merged UNION SELECT b, a FROM q WHERE merged UNION SELECT cluster, cluster FROM n), w AS (SELECT a AS node, a AS root FROM u UNION SELECT u.a, w.root FROM w JOIN u ON u.b = w.node)
+    SELECT node AS cluster, min(root) AS merged FROM w GROUP BY node""", "fx", "spikes", recursive=True))
+def dip_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Units joined by gaps around each other's spikes, each group under its lowest id."""
+    f = features(spark, d).select("spike_id", "cluster").join(spikes(spark, d).select("spike_id"), "spike_id")
+    alone = f.select(F.col("cluster").alias("a"), F.col("cluster").alias("b")).distinct()
+    return C.groups(_dips(spark, d).filter("merged").select("a", "b").unionByName(alone)).select(F.col("node").alias("cluster"), F.col("root").alias("merged"))
 
 
 @query(sql(""", m AS (SELECT cluster, d, avg(x) AS m FROM fx GROUP BY ALL), p AS (SELECT a.cluster AS a, b.cluster AS b FROM m a JOIN m b ON a.d = b.d AND a.cluster < b.cluster GROUP BY ALL HAVING sum(a.m * b.m) / sqrt(sum(a.m * a.m) * sum(b.m * b.m)) >= 0.15),

@@ -46,3 +46,36 @@ def refractory(events: DataFrame, r: int) -> DataFrame:
         yield pd.DataFrame({"grp": [key[0]] * len(kept), "t": kept})
 
     return events.groupBy("grp").applyInPandasWithState(step, "grp string, t long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def refractory_in_time(events: DataFrame, r: int, late: str) -> DataFrame:
+    """grp, t of events(at, grp) more than r milliseconds after the last one kept, t in milliseconds, whatever order they arrive in.
+
+    A group's events wait in its state until the watermark, `late` behind the latest event seen, has passed them; then they are judged in order of time, as a batch would. A timer of event time
+    wakes a group that gets no more events, and a group that has none waiting and whose last kept one is r behind is forgotten. Events behind the watermark are left out by Spark
+    and counted: see dropped(). Null times and repeated times are judged like others; null times never come out.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = state.get if state.exists else (None, [])
+        held = sorted([*held, *(int(t) for b in batches for t in b["t"].dropna())]) if not state.hasTimedOut else list(held)
+        now, kept = state.getCurrentWatermarkMs(), []
+        while held and held[0] <= now:
+            t = held.pop(0)
+            if last is None or t - last > r:
+                kept.append(t)
+                last = t
+        if held or (last is not None and last + r > now):
+            state.update((last, held))
+            state.setTimeoutTimestamp(max(now + 1, held[0] if held else last + r))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"grp": [key[0]] * len(kept), "t": kept})
+
+    timed = events.withWatermark("at", late).select("grp", "at", F.unix_millis("at").alias("t"))
+    return timed.groupBy("grp").applyInPandasWithState(step, "grp string, t long", "last long, held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def dropped(query) -> int:
+    """How many rows of a started query came behind the watermark so far."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
