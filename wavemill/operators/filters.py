@@ -47,13 +47,14 @@ def butterworth(order: int, cut: float, kind: str) -> Sections:
     return [tuple(map(float, s)) for s in out]
 
 
-def _run(sections: Sections, x: np.ndarray, width: int = 256) -> np.ndarray:
+def _run(sections: Sections, x: np.ndarray) -> np.ndarray:
     """x through all sections, each begun in the steady state of the first value.
 
     A section is linear: x is cut into pieces, all of them are filtered from rest side by side, and what the state before a piece adds is the section's free
     response, times that state. The states before the pieces follow from one another.
     """
     n = len(x)
+    width = max(8, int(np.sqrt(n)))  # as many steps within pieces as there are pieces
     rows = -(-n // width)
     free = np.zeros((width + 1, 2, 2))  # what two states become, sample by sample
     for b0, b1, b2, a1, a2 in sections:
