@@ -1,5 +1,7 @@
 """Operators that SQL can't express, file readers, streams and small vectors with known results."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +179,22 @@ def test_streams(spark, small, tmp_path):
             last[r.grp], n = r.t, n + 1
     assert kept.count() == n
     assert out(events.bursts(stream, "2 hours", "1 hour"), "bursts", "complete").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_overlapping_pairs(spark):
+    r = random.Random(2)
+    rows = [(i if i % 40 else None, r.choice([0, 1, None]), a := r.randint(-300, 300), a + r.choice([0, 1, 7, 64, 500])) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, grp long, a long, b long")
+    found = timing.overlaps(df, "grp", 64)
+    want = sorted(
+        (i, j, min(b, d) - max(a, c), max(b, d) - min(a, c))
+        for i, g, a, b in rows for j, h, c, d in rows if None not in (i, j, g) and g == h and i < j and a < b and c < d and min(b, d) > max(a, c)
+    )
+    assert sorted(map(tuple, found.collect())) == want
+    # only one side of the join lies in all of its buckets: a pair is formed once
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_share(spark):
+    pairs = spark.range(1, 700).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
+    assert pairs.filter(A.share(F.col("k"), F.col("n"), 6) != F.round(F.col("k") / F.col("n"), 6)).count() == 0
