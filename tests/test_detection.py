@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemill.operators import detection, scans, signal, timing
+from wavemill.sources import adapters
 
 
 def walked(rows):
@@ -161,3 +162,21 @@ def test_pair_rates_and_correlograms_count_pairs(spark, width):
             if a == b and i != j and t is not None and u is not None and abs(k := math.floor((u - t) / 5 + 0.5)) <= 4:
                 bins[a, k] = bins.get((a, k), 0) + 1
     assert {(x["cluster"], x["bin"]): x["n"] for x in got if x["n"]} == bins and len(got) == 9 * len({c for _, c, t in rows if t is not None})
+
+
+def test_rows_of_a_scan_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(i % 5, i // 5, i // 5 + 4) for i in range(1000)], "k long, at long, to long").mapInArrow(counted, "k long, at long, to long")
+    assert scans.jumps(rows, ["k"], "at", "to", 4, 20).count() == 5 * 50
+    assert seen.value == 1000
+
+
+def test_traces_are_dealt_once(spark, small):
+    found = detection.crossings(adapters.traces(spark, small), [40, 500, 5, 4], detection.Peaks())
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

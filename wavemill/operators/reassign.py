@@ -127,7 +127,7 @@ def scored(spikes: DataFrame, by: list[str], column: str, channels: int, units:
     # a block sees what a veto may need of its neighbours; its own rows alone change states
     types = dict(held.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*by, "spike_id", "cluster", "t")) + ", size double, left array<double>, near array<boolean>"
-    return scan(held, by, F.col("block"), ["t", "spike_id"], ["cluster", "own"], summary, follow, emit, schema)
+    return scan(held, by, F.col("block"), ["t", "spike_id"], summary, follow, emit, schema)
 
 
 def reassigned(spikes: DataFrame, by: list[str], column: str, channels: int, units: list[Worn], how: Moves = Moves(), width: int = 86_400) -> DataFrame:
