@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemill.operators import detection, scans, signal, timing
+from wavemill.plans import catalogue
 from wavemill.sources import adapters
 
 
@@ -180,3 +181,23 @@ def test_rows_of_a_scan_are_computed_once(spark):
 def test_traces_are_dealt_once(spark, small):
     found = detection.crossings(adapters.traces(spark, small), [40, 500, 5, 4], detection.Peaks())
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_flat_runs(spark, small):
+    r = random.Random(4)
+    rows = [(s, i, [r.choice([1, 1, 1, 2, None]) for _ in range(2)]) for s in range(3) for i in range(200)]
+    got = sorted(map(tuple, signal.flat_runs(spark.createDataFrame(rows, "session long, sample long, xs array<long>").repartition(5), 2).collect()))
+    want = []
+    for s in range(3):
+        for c in range(2):
+            lengths, last = [], None
+            for x in (xs[c] for k, _, xs in rows if k == s):
+                if x is not None and x == last:
+                    lengths[-1] += 1
+                else:
+                    lengths.append(1)
+                last = x
+            want.append((s, c, max(lengths), sum(n > 3 for n in lengths)))
+    assert got == want
+    # no row of one channel is dealt or sorted
+    assert catalogue.QUERIES["flat_runs"](spark, small)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
