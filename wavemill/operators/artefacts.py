@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +53,17 @@ def fourth_moments(rows: DataFrame, column: str, mean: np.ndarray, white: np.nda
     """Means of all products of four whitened channels, as a tensor. Tasks add up products of products."""
     size = len(white)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((size * size, size * size)), 0
         for batch in batches:
             if len(batch):
-                z = (np.stack(batch[column].to_numpy()).astype(float) - mean) @ white.T
+                z = (batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1).astype(float) - mean) @ white.T
                 two = np.einsum("ni,nj->nij", z, z).reshape(len(z), -1)
                 total, n = total + two.T @ two, n + len(z)
-        yield pd.DataFrame({"cell": np.arange(total.size + 1), "value": np.append(total.ravel(), n)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size + 1)), pa.array(np.append(total.ravel(), n))], names=["cell", "value"])
 
     sums = np.zeros(size**4 + 1)
-    for r in rows.select(column).mapInPandas(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("v")).collect():  # channels to the fourth
+    for r in rows.select(column).mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("v")).collect():  # channels to the fourth
         sums[r["cell"]] = r["v"]
     return (sums[:-1] / max(1.0, sums[-1])).reshape(size, size, size, size)
 
@@ -95,10 +95,8 @@ def fixed_points(moments: np.ndarray, how: Finding) -> np.ndarray:
 def common(traces: DataFrame, channels: int, how: Finding = Finding()) -> Component | None:
     """The component of traces(session, sample, xs) that is most alike on all channels; None where channels are fewer than two or do not vary apart from each other."""
     part = traces if how.length is None else traces.filter(F.col("sample").between(how.start, how.start + how.length - 1))
-    long = part.select("session", "sample", F.posexplode("xs").alias("ch", "x")).select("session", F.col("ch").cast("long").alias("ch"), "sample", "x")
-    fast = filters.blockwise(long, filters.zero_phase(filters.butterworth(4, how.cut, "high")), 512, 65_536).filter(F.col("sample") % how.every == 0)
-    rows = fast.groupBy("session", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("ch", "y"))), lambda p: p["y"]).alias("ys")).filter(F.size("ys") == channels)
-    rows = rows.select("ys").checkpoint()
+    fast = filters.filtered(part, filters.zero_phase(filters.butterworth(4, how.cut, "high")), 512, 65_536).filter(F.col("sample") % how.every == 0)
+    rows = fast.filter(F.size("ys") == channels).select("ys").checkpoint()
     n, mean, cov = gram(rows, "ys", channels)
     value, vector = np.linalg.eigh(cov)
     if channels < 2 or n <= channels or value[0] <= 1e-12 * max(value[-1], 1e-300):
@@ -109,7 +107,7 @@ def common(traces: DataFrame, channels: int, how: Finding = Finding()) -> Compon
     loads, unmix = back @ w.T, w @ white
     score = np.abs((loads / np.linalg.norm(loads, axis=0)).sum(0)) / np.sqrt(channels)
     k = int(score.argmax())
-    level = gram(part, "xs", channels)[1]
+    level = np.array(part.agg(F.array(*[F.avg(F.get("xs", i)) for i in range(channels)])).first()[0], float)
     return Component(level, loads[:, k], unmix[k], float(score[k]), len(w))
 
 
