@@ -774,3 +774,34 @@ def test_pipeline(spark, small):
     got = corpus_pipeline.run(spark, small)
     assert got.count() > 0 and got.filter("length > 4096").count() == 0
     assert corpus_pipeline.personal_data(spark, table(spark, small, "documents"), small).columns == table(spark, small, "documents").columns
+
+
+def test_shorts_lose_no_link():
+    # what two shorts share is no less than what their sets share, equal top bits counted as often as both have them
+    r = np.random.default_rng(5)
+    for bits in (63, 50, 48):  # few top bits are left, so many are equal
+        for n in (0, 1, 40, 900):
+            x = np.unique(r.integers(0, 2**bits, n, dtype=np.uint64))
+            y = np.unique(np.r_[x[: 2 * n // 3], r.integers(0, 2**bits, n // 3, dtype=np.uint64)])
+            a, b = neardup._short(x), neardup._short(y)
+            assert len(a) == 2 * len(x)
+            top = lambda v: Counter((v >> np.uint64(48)).tolist())
+            shared = len(np.intersect1d(neardup._numbered(a), neardup._numbered(b)))
+            assert shared == sum((top(x) & top(y)).values()) >= len(np.intersect1d(x, y))
+
+
+def test_whole_sets_are_shuffled_only_where_shorts_leave_it_open(spark, monkeypatch):
+    # of pairs that shorts tell apart none reaches the whole sets, with pairs sent to every task or shuffled
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 2**64, 100, dtype=np.uint64)) for _ in range(20)]
+    for i in range(0, 20, 4):
+        sets[i + 1] = np.unique(np.r_[sets[i][:95], sets[i + 1][:5]])  # linked, as 90 of 100 and more are shared
+        sets[i + 2] = np.unique(np.r_[sets[i][:80], sets[i + 2][:20]])  # not
+    held = spark.createDataFrame([(i, x.tobytes(), neardup._short(x)) for i, x in enumerate(sets)] * 2, "node long, set binary, short binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(20) for j in range(i + 1, 20)], "a long, b long")
+    met, alike = {}, neardup._alike
+    monkeypatch.setattr(neardup, "_alike", lambda p, s, column, how: met.setdefault(column, []).append(p.count()) or alike(p, s, column, how))
+    for sent in (1000, 0):
+        got = neardup._confirmed(space(spark), pairs, held, neardup.Forest(sent=sent)).collect()
+        assert sorted((x.a, x.b) for x in got) == [(i, i + 1) for i in range(0, 20, 4)]
+    assert met == {"short": [190, 190], "set": [5, 5]}

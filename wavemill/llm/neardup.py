@@ -168,21 +168,49 @@ def _neighbours(how: Forest, notes: bool = True):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _short(x: np.ndarray) -> bytes:
+    """The top 16 bits of each hash of a sorted set, in order: a quarter of the set's bytes."""
+    return (x >> U(48)).astype(">u2").tobytes()
+
+
+def _numbered(short: bytes) -> np.ndarray:
+    """Equal values of a short told apart by their number, so that two shorts share as many as the smaller count of each value, summed."""
+    x, at = np.frombuffer(short, ">u2").astype(U), np.arange(len(short) // 2)
+    first = np.maximum.accumulate(np.where(np.r_[True, x[1:] != x[:-1]], at, 0)) if len(x) else at
+    return (x << U(32)) | (at - first).astype(U)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, column: str, how: Forest) -> DataFrame:
+    """Those of the stored pairs (a, b) that are similar enough by a column of sets(node, set, short). Equal hashes have equal top bits, so shorts share no less
+    than their sets do, and no pair whose sets are similar enough is lost by them.
+
+    Up to so many pairs go to every task, and only the sets they name are shuffled; more meet the sets by a shuffle.
+    """
+    numbers = _numbered if column == "short" else lambda x: np.frombuffer(x, U)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                x, y = numbers(x), numbers(y)
                 shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                ok.append(100 * shared >= how.percent * (len(x) + len(y) - shared))
             yield batch.loc[ok, ["a", "b"]]
 
-    x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long").distinct()
+    x = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    if pairs.count() <= how.sent:
+        y = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        pairs = F.broadcast(pairs)
+    return x.join(pairs, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long").distinct()
+
+
+def _confirmed(ws: Workspace, pairs: DataFrame, sets: DataFrame, how: Forest, screen: bool = True) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. With screen their shorts meet first, and whole sets only where those leave it open."""
+    held = ws.save(pairs.select("a", "b"), "pairs")
+    if screen:
+        held = ws.save(_alike(held, sets, "short", how), "screened")
+    return _alike(held, sets, "set", how)
 
 
 def _rarest(ws: Workspace, sets: DataFrame, how: Forest) -> DataFrame:
@@ -271,37 +299,37 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
     order = ("tree", "label", "node")
     found = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(how), "a long, b long, bits long")
     found = ws.save(found.groupBy("a", "b").agg(F.max("bits").alias("bits")), "found")
-    # neighbours across the borders of partitions: a few rows of each
-    border = found.filter(F.col("b") <= BORDER).select(F.col("a").alias("node"), (BORDER - F.col("b")).cast("int").alias("tree")).join(classes, "node")
-    border = border.select("node", "n", "sketch", "tree", label(F.col("tree")).alias("label"))
+    # neighbours across the borders of partitions: a few rows of each, so that the classes stay where they lie
+    border = found.filter(F.col("b") <= BORDER).select(F.col("a").alias("node"), (BORDER - F.col("b")).cast("int").alias("tree"))
+    border = classes.join(F.broadcast(border), "node").select("node", "n", "sketch", "tree", label(F.col("tree")).alias("label"))
     region = F.substring("label", 1, 2 * how.least)
     border = border.repartition("tree", region).sortWithinPartitions(*order).mapInPandas(_neighbours(how, notes=False), "a long, b long, bits long")
     pairs = found.filter("b >= 0").unionByName(ws.save(border.groupBy("a", "b").agg(F.max("bits").alias("bits")), "border"))
-    crowded = found.filter(F.col("b") == CROWDED).select(F.col("a").alias("node"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct()
-    wanted = ws.save(classes.join(wanted, "node", "left_semi").select("doc_id", "node", "shingles"), "wanted")
+    crowded = found.filter(F.col("b") == CROWDED).select(F.col("a").alias("node"), F.lit(True).alias("crowded"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("crowded")).unionByName(crowded).groupBy("node").agg(F.bool_or("crowded").alias("crowded"))
+    wanted = ws.save(classes.join(wanted, "node").select("doc_id", "node", "shingles", "crowded"), "wanted")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
             rows = []
-            for node, digest, text in zip(batch["node"], batch["shingles"], batch["text"], strict=True):
+            for node, digest, crowded, text in zip(batch["node"], batch["shingles"], batch["crowded"], batch["text"], strict=True):
                 if node not in seen:
                     own = shingle_set(text, how.shingle, hashes).tobytes()
                     if xxhash.xxh3_128_digest(own) == digest:  # not another text under this doc_id
                         seen.add(node)
-                        rows.append((node, own))
-            yield pd.DataFrame(rows, columns=["node", "set"]).astype({"node": "int64"})
+                        rows.append((node, crowded, own, _short(np.frombuffer(own, U))))
+            yield pd.DataFrame(rows, columns=["node", "crowded", "set", "short"]).astype({"node": "int64", "crowded": "bool"})
 
     # up to so many ids are sent to every task, which then reads the texts where they lie; more meet them by a shuffle
     known = F.broadcast(wanted) if wanted.count() <= how.sent else wanted
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id").select("node", "shingles", "text")
-    sets = ws.save(texts.mapInPandas(sets_of, "node long, set binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(known, "doc_id").select("node", "shingles", "crowded", "text")
+    sets = ws.save(texts.mapInPandas(sets_of, "node long, crowded boolean, set binary, short binary"), "sets")
     # first each node's most alike candidate, which joins most of every group; then the two most alike between any two parts
     ends = F.explode(F.array("a", "b")).alias("node")
     alike = (F.desc("bits"), F.xxhash64("a", "b"), "a", "b")
     best = pairs.select("a", "b", "bits", ends).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*alike))).filter("r = 1").select("a", "b").distinct()
-    joined = components(ws, ws.save(_confirmed(best, sets, how.percent), "links"))
+    joined = components(ws, ws.save(_confirmed(ws, best, sets, how, screen=False), "links"))
     as_links = lambda: joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     def apart() -> DataFrame:
@@ -310,13 +338,13 @@ def near_duplicates(ws: Workspace, docs: DataFrame, how: Forest = Forest()) -> D
         return out.filter("_a <> _b").withColumns({"_a": F.least("_a", "_b"), "_b": F.greatest("_a", "_b")})
 
     rank = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(*alike))
-    links = ws.save(_confirmed(apart().withColumn("r", rank).filter("r <= 2"), sets, how.percent), "links")
+    links = ws.save(_confirmed(ws, apart().withColumn("r", rank).filter("r <= 2"), sets, how), "links")
     joined = components(ws, as_links().unionByName(links))
     # last all that are still apart, with the exact candidates of crowded regions
     of = classes.select("node", "n").join(joined, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    exact = _across(ws, _rarest(ws, sets.join(crowded, "node", "left_semi"), how), of, how)
+    exact = _across(ws, _rarest(ws, sets.filter("crowded"), how), of, how)
     more = ws.save(apart().select("a", "b").unionByName(exact).distinct(), "more")
-    joined = components(ws, as_links().unionByName(_confirmed(more, sets, how.percent)))
+    joined = components(ws, as_links().unionByName(_confirmed(ws, more, sets, how)))
     # a component is named by its smallest doc_id; every class gets its component's name, then every document its class's
     root = classes.select("shingles", "node", "doc_id").join(joined, "node", "left").select("shingles", "doc_id", F.coalesce("root", "node").alias("root"))
     root = ws.save(root, "rooted")
