@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -201,3 +202,37 @@ def test_flat_runs(spark, small):
     assert got == want
     # no row of one channel is dealt or sorted
     assert catalogue.QUERIES["flat_runs"](spark, small)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_templates_without_joins(spark, small):
+    # the record is dealt once, by session: neither events nor their waveforms nor the means are joined by a shuffle
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["subtract_templates"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert set(re.findall(r"hashpartitioning\((\w+)#\d+\w*(.*?), \d+\)", plan)) == {("session", "")}
+
+
+def test_templates_of_odd_records(spark):
+    # nulls in a channel, a null session, events at both ends and overlaps, against plain loops
+    r = random.Random(8)
+    value = lambda: r.choice([None, 3, 20, 44, 46, 50, 60])
+    rows = [(s, i, [value(), value()]) for s, n in ((1, 60), (2, 3), (None, 25), (3, 1)) for i in range(n)]
+    x = {(s, i, c): xs[c] for s, i, xs in rows for c in (0, 1)}
+    over = lambda v: v is not None and v > 45
+    events = [(s, i, c) for (s, i, c), v in x.items() if s is not None and over(v) and not over(x.get((s, i - 1, c)))]
+    held, less = {}, {}
+    for s, i, c in events:
+        for k in range(-2, 4):
+            if x.get((s, i + k, c)) is not None:
+                held.setdefault((c, k), []).append(x[s, i + k, c])
+    for s, i, c in events:
+        for k in range(-2, 4):
+            less[s, i + k, c] = less.get((s, i + k, c), 0) + (sum(held[c, k]) / len(held[c, k]) if (c, k) in held else 0)
+    want = {(s, i, c): None if v is None else round(v - less.get((s, i, c), 0), 6) for (s, i, c), v in x.items()}
+    got = signal.without_templates(spark.createDataFrame(rows, "session long, sample long, xs array<long>"), 2, 45, 2, 3).collect()
+    assert len(got) == len(want)
+    assert {(x.session, x.sample, x.ch): None if x.y is None else round(x.y, 6) for x in got} == want
