@@ -195,6 +195,30 @@ def test_overlapping_pairs(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
 
 
+def test_overlapping_pairs_in_chunks(spark):
+    r = random.Random(5)
+    rows = [(i, i % 3, a := r.randint(-4000, 4000), a + r.choice([1, 3, 40, 900, 70000])) for i in r.sample(range(1000), 400)]
+    found = timing.overlaps(spark.createDataFrame(rows, "id long, grp long, a long, b long"), "grp", 500, size=16, run=5)
+    want = sorted((i, j, min(b, d) - max(a, c), max(b, d) - min(a, c)) for i, g, a, b in rows for j, h, c, d in rows if g == h and i < j and min(b, d) > max(a, c))
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_overlapping_pairs_take_few_bytes(spark, small, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    copies = adapters.table(spark, small, "orders").crossJoin(spark.range(30).withColumnRenamed("id", "k")).withColumn("o_custkey", F.col("o_custkey") + 160 * F.col("k")).drop("k")
+    copies.write.parquet(f"{tmp_path}/orders.parquet")
+    catalogue.QUERIES["interval_iou"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+    db.execute(f"CREATE TABLE found AS FROM '{tmp_path}/out/*.parquet'")
+    db.execute(f"CREATE TABLE want AS {catalogue.ORACLE_SQL['interval_iou']}")
+    count = lambda of: db.execute(f"SELECT count(*) FROM {of}").fetchone()[0]
+    n = count("found")
+    assert n == count("want") == count("found f JOIN want w ON f.a = w.a AND f.b = w.b AND f.overlap = w.overlap AND abs(f.iou - w.iou) < 1e-9")
+    assert size < 1.2 * n
+
+
 def test_share(spark):
     pairs = spark.range(1, 700).select(F.col("id").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
     assert pairs.filter(A.share(F.col("k"), F.col("n"), 6) != F.round(F.col("k") / F.col("n"), 6)).count() == 0
